@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, nearest, packing, piece_codec
+from . import exact_dedup, katz, nearest, packing, piece_codec, substring_dedup
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_sentencepiece": piece_codec.op7_sentencepiece,
+    "op8_katz_scoring": katz.op8_katz_scoring,
     "op10_nearest": nearest.op10_nearest,
 }
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE}
