@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, katz, nearest, packing, piece_codec, substring_dedup
+from . import exact_dedup, katz, language, nearest, packing, piece_codec, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_language_id": language.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
