@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .common import binaries, documents, materialize, text_batches
 
-CAPACITY, END_ID, CACHED_WORDS = 4096, 1, 300_000
+CAPACITY, END_ID, CACHED_WORDS = 4096, 1, 500_000
 
 
 @lru_cache(2)
@@ -35,20 +35,27 @@ def _encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path), {}, {}
 
 
 def encode_words(texts: list[bytes], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and never looks across it, so words are encoded once and remembered; the memory of
-    words is emptied when full.
+    The tokenizer drops white space and never looks across it, so words are encoded once and remembered. When the memory
+    of words is full, it becomes the old one, from which words that come again are taken over.
     """
-    tokenizer, known = _encoder(path)
+    tokenizer, known, old = _encoder(path)
     if len(known) > CACHED_WORDS:
+        old.clear()
+        old.update(known)
         known.clear()
     split = [t.split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
+    new = []
+    for w in {w for words in split for w in words if w not in known}:
+        if w in old:
+            known[w] = old[w]
+        else:
+            new.append(w)
     for i in range(0, len(new), 20_000):
         part = new[i : i + 20_000]
         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, katz, language, nearest, packing, piece_codec, substring_dedup, toxicity
+from . import exact_dedup, katz, language, line_dedup, nearest, ngram_join, packing, piece_codec, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_language_id": language.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_sentencepiece": piece_codec.op7_sentencepiece,
     "op8_katz_scoring": katz.op8_katz_scoring,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_nearest": nearest.op10_nearest,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE}
