@@ -92,7 +92,7 @@ def forward_backward(e: np.ndarray, a: np.ndarray, start: np.ndarray, end: np.nd
     return gamma, moves
 
 
-def fit(texts: list[bytes], labels: np.ndarray, n: int, rounds: int = 60, rate: float = 0.15, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts: list[bytes], labels: np.ndarray, n: int, rounds: int = 40, rate: float = 0.15, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights (slots, languages) and transition scores."""
     words, number, cuts = distinct(texts)
     letters = has_letter(words)
@@ -191,7 +191,7 @@ def train(docs: DataFrame, folds: int, sample: int) -> tuple[list[str], np.ndarr
     return langs, *fit(texts, np.array([langs.index(r["lang"]) for r in rows]), len(langs))
 
 
-def identify(docs: DataFrame, folds: int = 5, sample: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 5, sample: int = 800) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, and the share of words in each learned language."""
     langs, w, a = train(docs, folds, sample)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("word_shares", T.ArrayType(T.DoubleType()))])
