@@ -1,12 +1,19 @@
-"""All queries over the reference model and their oracle SQL."""
+"""All queries over the graph model and their oracle SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .. import fixtures as X
+from ..operators.recall import KEY, recall_context, recall_match
+from . import columns, graph
+
+MODULES = (columns, graph)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").count()
+    """Recalled context of every user message."""
+    g, messages = X.graph(spark, sf_dir), X.spark_table(spark, sf_dir, "messages")
+    return recall_context(g, recall_match(g, messages).select(*KEY, "name", "rank"))
