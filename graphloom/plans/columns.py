@@ -57,9 +57,15 @@ QUERIES["b5_hyphen_ngrams"] = lambda s, d: _talk(s, d).select("conv_id", "turn",
 ORACLES["b5_hyphen_ngrams"] = f"SELECT conv_id, turn, array_to_string(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(1, least(3, len(w) - i + 1) + 1), lambda k: array_to_string(w[i : i + k - 1], '-')))), ',') AS grams FROM (SELECT conv_id, turn, {TOKENS} AS w FROM conversations)"
 
 QUERIES["b6_stem_variants"] = lambda s, d: _talk(s, d).select(F.explode(C.content_words(F.col("text"))).alias("word")).distinct().select("word", F.array_join(C.stem_variants(F.col("word")), ",").alias("stems"))
-STEMS_SQL = """list_filter([word, CASE WHEN word LIKE '%ies' THEN concat(substr(word, 1, len(word) - 3), 'y') WHEN word LIKE '%es' THEN substr(word, 1, len(word) - 2) WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN substr(word, 1, len(word) - 1) END,
+_STEMS = """list_filter([word, CASE WHEN word LIKE '%ies' THEN concat(substr(word, 1, len(word) - 3), 'y') WHEN word LIKE '%es' THEN substr(word, 1, len(word) - 2) WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN substr(word, 1, len(word) - 1) END,
  CASE WHEN word LIKE '%ing' AND len(word) > 5 THEN substr(word, 1, len(word) - 3) END, CASE WHEN word LIKE '%ed' AND len(word) > 4 THEN substr(word, 1, len(word) - 2) END], lambda x: x IS NOT NULL)"""
-ORACLES["b6_stem_variants"] = f"SELECT word, array_to_string({STEMS_SQL}, ',') AS stems FROM (SELECT DISTINCT unnest({CONTENT}) AS word FROM conversations)"
+
+
+def stems_sql() -> str:
+    return _STEMS
+
+
+ORACLES["b6_stem_variants"] = f"SELECT word, array_to_string({stems_sql()}, ',') AS stems FROM (SELECT DISTINCT unnest({CONTENT}) AS word FROM conversations)"
 
 QUERIES["b7_name_parts"] = lambda s, d: X.spark_table(s, d, "entities").select("id", F.array_join(F.sort_array(C.name_parts(F.col("name"))), ",").alias("parts"))
 ORACLES["b7_name_parts"] = X.oracle(f"SELECT id, array_to_string(list_sort({NAME_PARTS}), ',') AS parts FROM entities", "entities")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixtures as X
 from ..operators.recall import KEY, recall_context, recall_match
-from . import columns, graph
+from . import audits, columns, graph, lessons, recall, sessions
 
-MODULES = (columns, graph)
+MODULES = (columns, graph, recall, lessons, sessions, audits)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 

@@ -32,7 +32,8 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
 def read_jsonl_lenient(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A2: lines(file, line, ...) -> rows whose line is a JSON object, and the rejected others; blank lines are dropped."""
     rows = lines.where(F.trim("line") != "")
-    good = F.trim("line").startswith("{") & F.expr("try_parse_json(line) IS NOT NULL")
+    one = F.expr("try_parse_json(concat('[', line, ']')) IS NOT NULL AND try_variant_get(try_parse_json(concat('[', line, ']')), '$[1]', 'variant') IS NULL")
+    good = F.trim("line").startswith("{") & F.trim("line").endswith("}") & one  # the parser alone would let text behind an object pass
     return rows.where(good), rows.where(~good)
 
 
