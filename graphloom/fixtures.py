@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .model import Graph
+from .tables import written
 
 AS_OF = "2024-01-31"
 
@@ -104,6 +105,12 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(*(spark_table(spark, sf_dir, n) for n in ("entities", "relationships", "properties")))
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph written once, for queries that read its tables many times."""
+    g = graph(spark, sf_dir)
+    return Graph(*(written(t, "graph") for t in (g.entities, g.relationships, g.properties)))
+
+
 def oracle(query: str, *names: str, extra: dict[str, str] | None = None) -> str:
     """The query after the CTEs it builds on."""
     use = needed(list(names))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import content_words, hyphen_ngrams, is_question, name_parts, query_tokens, skip_reason, stem_variants
 from ..model import Graph
+from ..tables import written
 from .fuzzy import partial_ratio, token_set_ratio
 from .index import bm25_search, concept_index, idf_table
 
@@ -124,14 +125,14 @@ def recall_match(graph: Graph, messages: DataFrame, fuzzy: bool = True) -> DataF
     place = lambda *order: F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)).cast("long")
     exact = match_exact(graph, messages).select(*KEY, "name", F.lit(1).alias("stage"), place(F.desc("relevance"), F.col("name")).alias("place"))
     concept = match_concept(graph, messages).select(*KEY, "name", F.lit(2).alias("stage"), F.col("pos").cast("long").alias("place"))
-    found = _first_stage(exact.unionByName(concept))
+    found = written(_first_stage(exact.unionByName(concept)), "recall")  # read by each later stage
 
     def open_below(found: DataFrame, n: int) -> DataFrame:
         full = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n).select(*KEY)
         return messages.join(full, KEY, "left_anti")
 
     text = match_fulltext(graph, open_below(found, 3)).select(*KEY, "name", F.lit(3).alias("stage"), F.col("pos").cast("long").alias("place"))
-    found = _first_stage(found.unionByName(text))
+    found = written(_first_stage(found.unionByName(text)), "recall")
     if fuzzy:
         last = match_fuzzy(graph, open_below(found, 2)).select(*KEY, "name", F.lit(4).alias("stage"), place(F.col("kind"), F.desc("score"), F.col("name"), F.col("word")).alias("place"))
         found = _first_stage(found.unionByName(last))
@@ -159,14 +160,14 @@ def recall_context(graph: Graph, matches: DataFrame, hub_names: DataFrame | None
     V9: obsolete and hub edges are filtered before the limits of 6 for each entity.
     """
     by = lambda *c: Window.partitionBy(*KEY).orderBy(*c)
-    seen = visible(graph, matches).withColumn("at", F.row_number().over(by(F.col("rank"))))
+    seen = written(visible(graph, matches).withColumn("at", F.row_number().over(by(F.col("rank")))), "recalled")
     entities = seen.where("at <= 4").select(*KEY, F.lit("entity").alias("part"), F.col("at").alias("pos"), F.concat(F.col("name"), F.lit(" ["), F.coalesce("type", F.lit("")), F.lit("]")).alias("line"))
     drive = seen.where("at <= 5").select(*KEY, "at", F.col("id").alias("me"))
     edges = recall_edges(graph, hub_names)
     cols = ["source_id", "source", "relation", "target", "target_id", "weight"]
     near = drive.join(edges.select(*cols), F.col("me") == F.col("source_id")).unionByName(drive.join(edges.select(*cols), F.col("me") == F.col("target_id")).where("source_id <> target_id"))
     w = Window.partitionBy(*KEY, "at").orderBy("relation", "source", "target")
-    near = near.withColumn("r", F.row_number().over(w)).where("r <= 6")
+    near = written(near.withColumn("r", F.row_number().over(w)).where("r <= 6"), "near")
     weight = F.when(F.col("weight") != 1.0, F.concat(F.lit(" ["), F.col("weight").cast("string"), F.lit("]"))).otherwise("")
     lines = near.withColumn("pos", F.row_number().over(by(F.col("at"), F.col("r")))).where("pos <= 6").select(*KEY, F.lit("edge").alias("part"), "pos", F.concat("source", F.lit(" --["), "relation", F.lit("]--> "), "target", weight).alias("line"))
     other = near.select(*KEY, F.when(F.col("me") == F.col("source_id"), F.col("target_id")).otherwise(F.col("source_id")).alias("id")).distinct()
@@ -233,5 +234,5 @@ def phrase_blacklist(log: DataFrame, rows: int = 50, phrases: int = 20) -> DataF
 def recall(graph: Graph, messages: DataFrame, fuzzy: bool = True) -> DataFrame:
     """The whole way from messages to payloads; C1 comes first."""
     open_messages = messages.where(skip_reason(F.col("text")).isNull())
-    emitted = session_dedup(graph, recall_match(graph, open_messages, fuzzy), open_messages)
+    emitted = written(session_dedup(graph, recall_match(graph, open_messages, fuzzy), open_messages), "emitted")
     return assemble_payload(recall_context(graph, emitted.select(*KEY, F.lower("name").alias("name"), "rank")), emitted)

@@ -17,7 +17,7 @@ KEY = R.KEY
 
 
 def _gm(s, d):
-    return X.graph(s, d), X.spark_table(s, d, "messages")
+    return X.stored_graph(s, d), X.spark_table(s, d, "messages")
 
 
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({e}), '[a-z][a-z0-9]{{2,}}'), lambda w: w NOT IN (" + _in(STOP_CONCEPTS) + ")))"
@@ -45,9 +45,9 @@ COMMON = {
 }
 G = ("entities", "relationships", "properties", "messages")
 
-QUERIES["g1_concept_index"] = lambda s, d: I.concept_index(X.graph(s, d))
+QUERIES["g1_concept_index"] = lambda s, d: I.concept_index(X.stored_graph(s, d))
 ORACLES["g1_concept_index"] = X.oracle("SELECT term, name FROM fine", *G, extra={k: COMMON[k] for k in ("concepts", "idf", "fine")})
-QUERIES["g2_idf_table"] = lambda s, d: I.idf_table(X.graph(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+QUERIES["g2_idf_table"] = lambda s, d: I.idf_table(X.stored_graph(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 ORACLES["g2_idf_table"] = X.oracle("SELECT term, df, round(idf, 6) AS idf FROM idf", *G, extra={k: COMMON[k] for k in ("concepts", "idf")})
 
 BM25 = {
@@ -72,7 +72,7 @@ ORACLES["g3_bm25_search"] = X.oracle(
     "SELECT session_id, turn, name, round(score, 6) AS score, pos::INTEGER AS pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY score, name) AS pos FROM scored) WHERE pos <= 10",
     *G, extra={"said": COMMON["said"], "terms_": "SELECT DISTINCT session_id, turn, word FROM (SELECT session_id, turn, unnest(words) AS word FROM said) WHERE len(word) >= 5 AND NOT contains(word, '-')", **BM25},
 )
-QUERIES["g4_hyphen_index"] = lambda s, d: I.postings(X.graph(s, d), I.HYPHENS)
+QUERIES["g4_hyphen_index"] = lambda s, d: I.postings(X.stored_graph(s, d), I.HYPHENS)
 ORACLES["g4_hyphen_index"] = X.oracle(POSTINGS.replace("{p}", "[\\p{L}\\p{N}_-]+"), "entities")
 
 EXACT = f"""SELECT session_id, turn, name, len(list_intersect(parts, words))::INTEGER AS relevance FROM (SELECT DISTINCT session_id, turn, words, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(1, least(3, len(w) - i + 1) + 1), lambda k: array_to_string(w[i : i + k - 1], '-'))))) AS gram
@@ -139,16 +139,16 @@ CONTEXT = {
     "gone": "SELECT DISTINCT entity_id FROM properties WHERE key = 'status' AND value = 'obsolete'",
     "deg": "SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM relationships UNION ALL SELECT target_id FROM relationships) GROUP BY id",
     "hubs": "SELECT name FROM entities JOIN deg USING (id) ORDER BY n DESC, name LIMIT 3",
-    "seen": "SELECT session_id, turn, id, e.name, e.type, row_number() OVER (PARTITION BY session_id, turn ORDER BY rank)::INTEGER AS at FROM matched m JOIN entities e ON lower(e.name) = m.name WHERE id NOT IN (FROM gone)",
+    "seen": "SELECT session_id, turn, id, e.name, e.type, row_number() OVER (PARTITION BY session_id, turn ORDER BY rank)::INTEGER AS spot FROM matched m JOIN entities e ON lower(e.name) = m.name WHERE id NOT IN (FROM gone)",
     "edge": "SELECT source_id, s.name AS source, relation, t.name AS target, target_id, weight FROM relationships JOIN entities s ON s.id = source_id JOIN entities t ON t.id = target_id WHERE source_id NOT IN (FROM gone) AND target_id NOT IN (FROM gone) AND s.name NOT IN (FROM hubs)",
-    "near": "SELECT *, row_number() OVER (PARTITION BY session_id, turn, at ORDER BY relation, source, target) AS r FROM (SELECT session_id, turn, at, id AS me, edge.* FROM seen JOIN edge ON id = source_id WHERE at <= 5 UNION ALL SELECT session_id, turn, at, id, edge.* FROM seen JOIN edge ON id = target_id WHERE at <= 5 AND source_id <> target_id) QUALIFY r <= 6",
+    "near": "SELECT *, row_number() OVER (PARTITION BY session_id, turn, spot ORDER BY relation, source, target) AS r FROM (SELECT session_id, turn, spot, id AS me, edge.* FROM seen JOIN edge ON id = source_id WHERE spot <= 5 UNION ALL SELECT session_id, turn, spot, id, edge.* FROM seen JOIN edge ON id = target_id WHERE spot <= 5 AND source_id <> target_id) QUALIFY r <= 6",
     "other": "SELECT DISTINCT session_id, turn, CASE WHEN me = source_id THEN target_id ELSE source_id END AS id FROM near",
 }
 ORACLES["g10_recall_context"] = X.oracle(
-    f"""SELECT session_id, turn, 'entity' AS part, at AS pos, concat(name, ' [', type, ']') AS line FROM seen WHERE at <= 4
- UNION ALL SELECT * FROM (SELECT session_id, turn, 'edge', row_number() OVER (PARTITION BY session_id, turn ORDER BY at, r)::INTEGER AS pos, concat(source, ' --[', relation, ']--> ', target, CASE WHEN weight <> 1.0 THEN concat(' [', weight, ']') ELSE '' END) FROM near) WHERE pos <= 6
+    f"""SELECT session_id, turn, 'entity' AS part, spot AS pos, concat(name, ' [', type, ']') AS line FROM seen WHERE spot <= 4
+ UNION ALL SELECT * FROM (SELECT session_id, turn, 'edge', row_number() OVER (PARTITION BY session_id, turn ORDER BY spot, r)::INTEGER AS pos, concat(source, ' --[', relation, ']--> ', target, CASE WHEN weight <> 1.0 THEN concat(' [', weight, ']') ELSE '' END) FROM near) WHERE pos <= 6
  UNION ALL SELECT * FROM (SELECT session_id, turn, 'connected', row_number() OVER (PARTITION BY session_id, turn ORDER BY {_ORDER}, name)::INTEGER AS pos, concat(name, ' [', type, ']') FROM other JOIN entities USING (id) WHERE (session_id, turn, id) NOT IN (SELECT (session_id, turn, id) FROM seen) AND name NOT IN (FROM hubs) AND type NOT IN ({_in(R.HIDDEN_TYPES)}) AND coalesce(description, '') <> '') WHERE pos <= 4
- UNION ALL SELECT * FROM (SELECT session_id, turn, 'property', row_number() OVER (PARTITION BY session_id, turn ORDER BY at, r)::INTEGER AS pos, concat(name, '.', key, ' = ', substr(value, 1, 150)) FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn, at ORDER BY key) AS r FROM seen JOIN properties ON entity_id = id WHERE at <= 4) WHERE r <= 3) WHERE pos <= 6""",
+ UNION ALL SELECT * FROM (SELECT session_id, turn, 'property', row_number() OVER (PARTITION BY session_id, turn ORDER BY spot, r)::INTEGER AS pos, concat(name, '.', key, ' = ', substr(value, 1, 150)) FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn, spot ORDER BY key) AS r FROM seen JOIN properties ON entity_id = id WHERE spot <= 4) WHERE r <= 3) WHERE pos <= 6""",
     *G, extra=CONTEXT,
 )
 
