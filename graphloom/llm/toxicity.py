@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import binaries, documents, mix, pack, text_batches, unpack
+from .common import binaries, documents, materialize, mix, pack, text_batches, unpack
 
 STEMS = (4, 5, 6)
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -63,80 +63,107 @@ def _chunks(texts: list[bytes], limit: int = 1 << 20):
         yield part
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Toxic labels and distinct features of at most `sample` labelled documents."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(toxic, text) of at most `sample` labelled documents."""
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return materialize(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxicity-sample")
 
-    def run(batches):
-        for b in text_batches(batches):
-            keys, cuts = features(binaries(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array([pack(np.unique(keys[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["toxic", "keys"])
-
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, keys binary").collect()  # bounded by `sample`
-    rows.sort(key=lambda r: (r["toxic"], bytes(r["keys"])))
-    return np.array([r["toxic"] for r in rows]), [unpack(bytes(r["keys"]))[0] for r in rows]
 
+def telling(rows: DataFrame, least: int, z_least: float, most: int = 50_000, parts: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features that go with toxic rows, or with others, more than chance allows, and their z; at most `most`."""
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") > 0).alias("bad")).first()
+    if not total["bad"]:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    p = total["bad"] / total["n"]
 
-def fit(toxic: np.ndarray, keys: list[np.ndarray], rounds: int = 400, rate: float = 0.1, ridge: float = 2e-5, least: int = 4, z_least: float = 6.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def count(batches):
+        for b in text_batches(batches):
+            keys, cuts = features(binaries(b.column("text")))
+            bad = b.column("toxic").to_numpy() > 0
+            each = [np.unique(keys[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            flat = np.concatenate(each)
+            toxic = np.repeat(bad, [len(k) for k in each])
+            names, number = np.unique(flat, return_inverse=True)
+            df, t = np.bincount(number, minlength=len(names)), np.bincount(number, toxic, len(names))
+            at = np.searchsorted(names >> np.uint64(60), np.arange(parts + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([pack(names[x:y], df[x:y].astype(np.uint32), t[x:y].astype(np.uint32)) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["part", "counts"])
+
+    def choose(table: pa.Table) -> pa.Table:
+        keys, df, t = (np.concatenate(x) for x in zip(*map(unpack, table.column("counts").to_pylist()), strict=True))
+        names, number = np.unique(keys, return_inverse=True)
+        df, t = np.bincount(number, df), np.bincount(number, t)
+        z = (t - df * p) / np.sqrt(df * p * max(1 - p, 1e-9))
+        use = (df >= least) & (np.abs(z) >= z_least)
+        return pa.table([pa.array(names[use].view(np.int64)), pa.array(z[use])], ["key", "z"])
+
+    found = rows.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(choose, "key long, z double").orderBy(F.desc(F.abs("z")), "key").limit(most).collect()
+    keys, z = np.array([r["key"] for r in found], np.int64).view(np.uint64), np.array([r["z"] for r in found])
+    by = np.argsort(keys)
+    return keys[by], z[by]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int, least: int = 4, z_least: float = 6.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted feature hashes, their weights and the two thresholds."""
-    none = np.zeros(0, np.uint64), np.zeros(0), np.array([40.0, 41.0])
-    if not len(toxic) or not (toxic > 0).any():
-        return none
-    size = np.array([len(k) for k in keys])
-    flat, row = np.concatenate(keys), np.repeat(np.arange(len(keys)), size)
-    names, number = np.unique(flat, return_inverse=True)
-    p = (toxic > 0).mean()
-    df = np.bincount(number)
-    t = np.bincount(number, toxic[row] > 0, len(names))
-    z = (t - df * p) / np.sqrt(df * p * max(1 - p, 1e-9))
-    use = np.flatnonzero((df >= least) & (np.abs(z) >= z_least))
-    if not len(use):
-        return none
-    place = np.full(len(names), -1)
-    place[use] = np.arange(len(use))
-    keep = place[number] >= 0
-    col, row = place[number[keep]], row[keep]
-    telling = np.bincount(row, z[use][col] > 0, len(keys))
-    bad = toxic > 0
-    grade = np.where(bad, 1 + (telling > np.median(telling[bad])), 0)
-    w, cut = np.zeros(len(use)), np.array([1.0, 2.0])
+    rows = sampled(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
+    names, z = telling(rows, least, z_least)
+    if not len(names):
+        return names, z, np.array([40.0, 41.0])
+
+    def pick(batches):
+        for b in text_batches(batches):
+            row, col = hits(binaries(b.column("text")), names)
+            cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([pack(col[x:y].astype(np.int32)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["toxic", "cols"])
+
+    got = sorted(rows.mapInArrow(pick, "toxic int, cols binary").collect(), key=lambda r: (r["toxic"], bytes(r["cols"])))  # bounded by `sample`
+    cols = [unpack(bytes(r["cols"]))[0] for r in got]
+    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+    return names, *fit(np.array([r["toxic"] for r in got]) > 0, row, np.concatenate(cols), z)
+
+
+def fit(bad: np.ndarray, row: np.ndarray, col: np.ndarray, z: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by gradient steps on the likelihood of the grades."""
+    n = len(bad)
+    told = np.bincount(row, z[col] > 0, n)
+    grade = np.where(bad, 1 + (told > np.median(told[bad])), 0)
+    w, cut = np.zeros(len(z)), np.array([1.0, 2.0])
     m1, v1, m2, v2 = 0.0, 0.0, 0.0, 0.0
+    i = np.arange(n)
     for r in range(1, rounds + 1):
-        x = np.bincount(row, w[col], len(keys))
+        x = np.bincount(row, w[col], n)
         above = 1 / (1 + np.exp(-np.clip(x[:, None] - cut, -30, 30)))
-        edge = np.column_stack([np.ones(len(x)), above, np.zeros(len(x))])
-        i = np.arange(len(x))
-        hi, lo = edge[i, grade], edge[i, grade + 1]
-        like = np.maximum(hi - lo, 1e-9)
-        slope = np.column_stack([np.zeros(len(x)), above * (1 - above), np.zeros(len(x))])
+        edge = np.column_stack([np.ones(n), above, np.zeros(n)])
+        like = np.maximum(edge[i, grade] - edge[i, grade + 1], 1e-9)
+        slope = np.column_stack([np.zeros(n), above * (1 - above), np.zeros(n)])
         dx = (slope[i, grade] - slope[i, grade + 1]) / like
         dc = np.array([((grade == j + 1) * -slope[:, j + 1] / like + (grade == j) * slope[:, j + 1] / like).mean() for j in range(2)])
-        dw = np.bincount(col, dx[row], len(w)) / len(x) - ridge * w
+        dw = np.bincount(col, dx[row], len(w)) / n - ridge * w
         m1, v1, m2, v2 = 0.9 * m1 + 0.1 * dw, 0.99 * v1 + 0.01 * dw * dw, 0.9 * m2 + 0.1 * dc, 0.99 * v2 + 0.01 * dc * dc
         w = w + rate * (m1 / (1 - 0.9**r)) / (np.sqrt(v1 / (1 - 0.99**r)) + 1e-7)
         cut = cut + rate * (m2 / (1 - 0.9**r)) / (np.sqrt(v2 / (1 - 0.99**r)) + 1e-7)
         cut[1] = max(cut[1], cut[0] + 0.1)
-    return names[use], w, cut
+    return w, cut
+
+
+def hits(texts: list[bytes], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs among the named features."""
+    keys, cuts = features(texts)
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    hit = np.flatnonzero(names[at] == keys)
+    pair = np.unique((np.searchsorted(cuts, hit, "right") - 1) * len(names) + at[hit])
+    return pair // len(names), pair % len(names)
 
 
 def severities(texts: list[bytes], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Expected severity of each text."""
     names, w, cut = model
-    keys, cuts = features(texts)
     x = np.zeros(len(texts))
     if len(names):
-        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        hit = np.flatnonzero(names[at] == keys)
-        row = np.searchsorted(cuts, hit, "right") - 1
-        pair = np.unique(row * len(names) + at[hit])
-        x = np.bincount(pair // len(names), w[pair % len(names)], len(texts))
+        row, col = hits(texts, names)
+        x = np.bincount(row, w[col], len(texts))
     return (1 / (1 + np.exp(-np.clip(x[:, None] - cut, -30, 30)))).sum(1)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000):
-    return fit(*sampled(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample))
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 20_000) -> DataFrame:
     """One row per document: doc_id, severity (expected grade, 0 to 2), toxic."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
