@@ -12,6 +12,7 @@ full pieces and a last one; repeated rows are packed each; an empty table gives
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -25,6 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import binaries, documents, materialize, text_batches
 
+LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 CAPACITY, END_ID, CACHED_WORDS = 4096, 1, 500_000
 
 
@@ -33,34 +35,60 @@ def _encoder(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    return Tokenizer.from_file(path), {}, {}
+    tokenizer = Tokenizer.from_file(path)
+    plain = Tokenizer(tokenizer.model)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer, plain, {}, {}
+
+
+def _encode(tokenizer, words: list[str]) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _encode_plain(tokenizer, words: list[str]) -> list[bytes]:
+    """Words that the tokenizer's normaliser and splitter leave whole, as one text."""
+    e = tokenizer.encode(" ".join(words), add_special_tokens=False)
+    raw = np.array(e.ids, "<u4").tobytes()
+    cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(words) + 1))).tolist()
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def encode_words(texts: list[bytes], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never looks across it, so words are encoded once and remembered. When the memory
-    of words is full, it becomes the old one, from which words that come again are taken over.
+    of words is full, it becomes the old one, from which words that come again are taken over. Of a word of Latin-1
+    letters, case doesn't matter and a full stop or comma behind it is encoded by itself; its lower-case form needs
+    neither normalising nor splitting.
     """
-    tokenizer, known, old = _encoder(path)
+    tokenizer, plain, known, old = _encoder(path)
     if len(known) > CACHED_WORDS:
         old.clear()
         old.update(known)
         known.clear()
     split = [t.split() for t in texts]
-    new = []
-    for w in {w for words in split for w in words if w not in known}:
-        if w in old:
-            known[w] = old[w]
+    new = set().union(*split).difference(known)
+    again = new.intersection(old)
+    known.update(zip(again, map(old.__getitem__, again), strict=True))
+    shaped, others = [], []
+    for w in new - again:
+        s = w.decode()
+        m = LETTERS.fullmatch(s)
+        if m:
+            shaped.append((w, m[1].lower(), m[2]))
         else:
-            new.append(w)
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+            others.append((w, s))
+    for i in range(0, len(others), 20_000):
+        part = others[i : i + 20_000]
+        known.update(zip([w for w, _ in part], _encode(tokenizer, [s for _, s in part]), strict=True))
+    bases = list({b for _, b, _ in shaped})
+    forms = dict(zip(bases, _encode_plain(plain, bases), strict=True)) if bases else {}
+    tails = dict(zip(["", ".", ","], [b"", *_encode(tokenizer, [".", ","])], strict=True)) if shaped else {}
+    for w, base, tail in shaped:
+        known[w] = forms[base] + tails[tail] if tail else forms[base]
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
