@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -13,9 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK = 1 << 20
 
 
+RECORDS = "1000"  # rows a record batch: long texts in batches of ten thousand would fill a worker
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", RECORDS)
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document ids and texts; other columns are never read."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
+    spark = tuned(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,9 +54,31 @@ def binaries(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Give freed memory back to the system; workers live long and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def gathered(batches, limit: int):
+    """Record batches joined to about `limit` bytes, as small ones cost more than their share."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_batches(batches, limit: int = 4 << 20):
-    """Slices of record batches with about `limit` bytes of text each, so memory doesn't follow text length."""
-    for batch in batches:
+    """Record batches with about `limit` bytes of text each, so memory doesn't follow text length."""
+    for batch in gathered(batches, limit):
         sizes = [len(x) for x in binaries(batch.column("text"))] if batch.num_rows else []
         start = total = 0
         for i, n in enumerate(sizes):
@@ -57,6 +88,7 @@ def text_batches(batches, limit: int = 4 << 20):
                 start, total = i + 1, 0
         if start < len(sizes):
             yield batch.slice(start)
+        trim()
 
 
 def _powers(base: int, n: int) -> np.ndarray:
