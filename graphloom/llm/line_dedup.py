@@ -61,8 +61,10 @@ def line_rows(docs: DataFrame, t: Threshold, rarity: Rarity | None, fewest: int)
                     n = np.diff(cuts)
                     owner = np.repeat(np.arange(len(n)), n)
                     ordered = np.sort((owner.astype(np.uint64) << np.uint64(48)) | rarity.order(values)) & np.uint64((1 << 48) - 1)
-                    bit = np.uint64(1) << (mix(values) & np.uint64(63))
-                    parity = np.bitwise_xor.reduceat(bit, cuts[:-1]) if len(n) else np.zeros(0, np.uint64)
+                    h = mix(values)
+                    bit = np.uint64(1) << (h & np.uint64(63))
+                    halves = np.stack([np.where((h >> np.uint64(6)) & np.uint64(1) == k, bit, np.uint64(0)) for k in (0, 1)], 1)
+                    parity = np.bitwise_xor.reduceat(halves, cuts[:-1], axis=0) if len(n) else np.zeros((0, 2), np.uint64)
                     cols += [pa.array(n, pa.int32()), pa.array([ordered[c : c + p].tobytes() for c, p in zip(cuts, t.probe(n), strict=False)], pa.binary()), pa.array([x.tobytes() for x in parity], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
 

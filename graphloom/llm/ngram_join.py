@@ -1,7 +1,7 @@
 """N-gram Jaccard join with R-trees over count vectors.
 
 A document's set holds its distinct shingles. Shingles are hashed into groups; the counts of the groups are a point, and
-the summed coordinate minima of two points bound what the sets share. Equal sets are one class. Classes are filed under
+the summed coordinate minima of two points bound what the sets share, and parity sketches of the sets bound it again. Equal sets are one class. Classes are filed under
 the rarest shingles of a prefix, and each file is searched through an R-tree whose boxes bound the overlap the same way;
 surviving pairs are verified on the sets themselves. Linked classes become components by joins. Shingles are 48-bit
 hashes.
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import binaries, documents, materialize, mix, text_batches, words_of
-from .setjoin import Rarity, Threshold, connected, count_tokens, maybe, segments_sorted, similar
+from .setjoin import Rarity, Threshold, connected, count_tokens, maybe, segments_sorted, similar, sketches
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -57,7 +57,7 @@ def signatures(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def class_rows(docs: DataFrame, k: int, t: Threshold, rarity: Rarity, groups: int) -> DataFrame:
     """Per document: doc_id, text_hash, n, id of its class, prefix and count vector."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("vector", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("vector", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches):
         for b in text_batches(batches):
@@ -68,7 +68,7 @@ def class_rows(docs: DataFrame, k: int, t: Threshold, rarity: Rarity, groups: in
             ordered = np.sort((owner.astype(np.uint64) << np.uint64(48)) | rarity.order(values)) & np.uint64((1 << 48) - 1)
             p = np.where(n > 0, t.probe(n), 0)
             counts = np.bincount(owner * groups + (values % np.uint64(groups)).astype(np.int64), minlength=len(texts) * groups).astype(np.uint32).reshape(len(texts), groups)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int32()), pa.array(signatures(values, cuts).view(np.int64)), pa.array([ordered[c : c + m].tobytes() for c, m in zip(cuts, p, strict=False)], pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int32()), pa.array(signatures(values, cuts).view(np.int64)), pa.array([ordered[c : c + m].tobytes() for c, m in zip(cuts, p, strict=False)], pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(sketches(values, cuts), pa.binary())], schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
@@ -85,7 +85,7 @@ def ngram_join(docs: DataFrame, k: int = 3, least: Fraction = Fraction(90, 100),
     rarity = Rarity(count_tokens(docs.select("text"), tokens_of))
     rows = materialize(class_rows(docs, k, t, rarity, groups), "ngram-rows")
     full = rows.where("n > 0")
-    classes = materialize(full.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector"), F.min("doc_id").alias("doc_id")).select("id", "n", "prefix", "vector", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62)).alias("doc"), F.lit(0).alias("line"), F.col("id").alias("state"), "doc_id"), "ngram-classes")
+    classes = materialize(full.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")).select("id", "n", "prefix", "vector", "sketch", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62)).alias("doc"), F.lit(0).alias("line"), F.col("id").alias("state"), "doc_id"), "ngram-classes")
 
     def sets_of(known):
         def run(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, materialize, pack, unpack
+from .common import buckets, materialize, mix, pack, unpack
 
 BITS, LEVELS = 48, 4
 LOW = np.uint64((1 << BITS) - 1)
@@ -373,20 +373,64 @@ def candidate_pairs(classes: DataFrame, t: Threshold, first_round: bool, same_st
     return _filed(classes, n, wide).groupBy("bucket").applyInArrow(lambda x: _bucket_pairs(x, t, first_round, same_state, wide), "a long, b long").distinct()
 
 
+def sketches(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """Parity bits of each set's hashed elements: as many as the set is large, rounded up to a power of two, 64 at least."""
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        size = max(64, 1 << int(b - a - 1).bit_length()) if b > a else 64
+        out.append(np.packbits(np.bincount((mix(values[a:b]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes())
+    return out
+
+
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def prune(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b, maybe): whether the parity sketches, which bound the symmetric difference from below, leave a pair open."""
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            for n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+                ok.append((n + m - apart) // 2 >= t.need(n + m))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "maybe"])
+
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, maybe boolean")
+
+
+def _judged(pairs: DataFrame, classes: DataFrame, sets_of, t: Threshold) -> DataFrame:
+    """(a, b, alike): sketches first, then the sets of those that they leave open."""
+    cut = None
+    if "sketch" in classes.columns:
+        seen = materialize(prune(pairs, classes, t), "pruned")
+        pairs, cut = seen.where("maybe").select("a", "b"), seen.where("NOT maybe").select("a", "b", F.lit(False).alias("alike"))
+    if pairs.isEmpty():
+        return cut if cut is not None else pairs.withColumn("alike", F.lit(False))
+    sets = materialize(sets_of(present(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")), "sets")
+    done = materialize(verify(pairs, sets, t), "judged")
+    return done if cut is None else done.unionByName(cut)
+
+
 def similar(classes: DataFrame, sets_of, t: Threshold, same_state: bool, wide: bool, settle) -> DataFrame:
     """Pairs (a, b) of classes that reach the threshold: enough to settle everything, by the two rounds.
 
     sets_of(filter) gives (id, tokens) of the classes that a Bloom filter may hold; settle(links) gives (id, state) of
     the classes that the first round's links have settled.
     """
-    found = materialize(candidate_pairs(classes, t, True, same_state, wide), "pairs")
-    pairs, named = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("id"))
-    members = found.select(F.explode(F.array("a", "b")).alias("id"))
-    sets = materialize(sets_of(present(members, "id")), "sets")
-    judged = materialize(verify(pairs, sets, t), "judged")
+    columns = ["id", "n", "prefix", "vector", "doc", "line", "state"]
+    found = materialize(candidate_pairs(classes.select(*columns), t, True, same_state, wide), "pairs")
+    named = found.where("a = b").select(F.col("a").alias("id"))
+    judged = _judged(found.where("a <> b"), classes, sets_of, t)
     links = judged.where("alike").select("a", "b")
     if named.isEmpty():
         return links
-    second = classes.join(named, "id", "left_semi").drop("state").join(settle(links), "id", "left").select("id", "n", "prefix", "vector", "doc", "line", F.coalesce("state", F.col("id") if same_state else F.lit(0).cast("long")).alias("state"))
-    rest = candidate_pairs(second, t, False, same_state, wide).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    return links.unionByName(materialize(verify(rest, sets, t).where("alike").select("a", "b"), "judged"))
+    second = classes.join(named, "id", "left_semi").drop("state").join(settle(links), "id", "left").withColumn("state", F.coalesce("state", F.col("id") if same_state else F.lit(0).cast("long")))
+    rest = materialize(candidate_pairs(second.select(*columns), t, False, same_state, wide).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(_judged(rest, classes, sets_of, t).where("alike").select("a", "b"))
