@@ -11,7 +11,7 @@ P = "entity_id long, key string, value string, updated date"
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    names = ["voice-fnol-poc", "axios", "agam", "lonely", "other"]
+    names = ["voice-fnol-poc", "axios", "lexi", "lonely", "other"]
     e = spark.createDataFrame([(i, n, "tool" if i < 3 else "lesson", f"about {n}", None, None, None) for i, n in enumerate(names)], E)
     r = spark.createDataFrame([(0, 1, "uses", 1.0, None), (1, 2, "part-of", 0.3, None), (0, 2, "part-of", 0.7, None)], R)
     p = spark.createDataFrame([(4, "status", "obsolete", None), (3, "trigger-tool", '["npm install", "x"]', None), (3, "trigger-error", '["bad (", "fail.*now"]', None), (4, "trigger-tool", "{broken", None)], P)
@@ -32,9 +32,9 @@ def test_recall_and_obsolete(spark, graph):
 
 
 def test_session_dedup(spark, graph):
-    m = _messages(spark, "about axios please", "about axios once more", "what is axios?", "axios and agam both")
+    m = _messages(spark, "about axios please", "about axios once more", "what is axios?", "axios and lexi both")
     got = [(r["turn"], r["name"], r["first_fire"]) for r in recall.session_dedup(graph, recall.match_exact(graph, m).selectExpr("session_id", "turn", "name", "1 AS rank"), m).orderBy("turn", "rank").collect()]
-    assert got == [(0, "axios", True), (2, "axios", False), (3, "agam", False)]
+    assert got == [(0, "axios", True), (2, "axios", False), (3, "lexi", False)]
 
 
 def test_tokenizers(graph):
@@ -53,16 +53,16 @@ def test_upsert_is_idempotent(spark, graph):
 
 
 def test_merge_and_delete(spark, graph):
-    g = mutate.merge_entities(graph, spark.createDataFrame([("axios", "agam")], "source string, target string"))
+    g = mutate.merge_entities(graph, spark.createDataFrame([("axios", "lexi")], "source string, target string"))
     assert {(r["source_id"], r["target_id"], r["relation"], r["weight"]) for r in g.relationships.collect()} == {(0, 2, "uses", 1.0), (0, 2, "part-of", 0.7), (2, 2, "part-of", 0.3)}
-    g = mutate.delete_entities(graph, spark.createDataFrame([("agam",)], "name string"))
+    g = mutate.delete_entities(graph, spark.createDataFrame([("lexi",)], "name string"))
     assert g.relationships.count() == 1 and mutate.graph_integrity(g).count() == 0
 
 
 def test_paths(spark, graph):
     pairs = spark.createDataFrame([(2, 0), (0, 3)], "a long, b long")
     got = query.shortest_path(graph, pairs).collect()
-    assert [(r["a"], r["b"], r["length"], r["path"]) for r in got] == [(2, 0, 1, "agam -[~part-of]-> voice-fnol-poc")]
+    assert [(r["a"], r["b"], r["length"], r["path"]) for r in got] == [(2, 0, 1, "lexi -[~part-of]-> voice-fnol-poc")]
     seen, edges = query.traverse(graph, spark.createDataFrame([(3,), (1,)], "start long"), 0)
     assert seen.count() == 2 and edges.count() == 2
 
