@@ -194,6 +194,12 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob)[0], dtype=np.uint64)
 
 
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; sorting is several times faster here than hashing them."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def crc_mod(doc_id: int | None, mod: int) -> int:
     """crc32 of the id's decimal text modulo `mod`; a null id counts as the text 'None'."""
     return zlib.crc32(str(doc_id).encode()) % mod

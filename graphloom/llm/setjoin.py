@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, materialize, mix, pack, unpack
+from .common import buckets, distinct_sorted, materialize, mix, pack, unpack
 
 BITS, LEVELS = 48, 4
 LOW = np.uint64((1 << BITS) - 1)
@@ -27,7 +27,7 @@ LOW = np.uint64((1 << BITS) - 1)
 
 def segments_sorted(values: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 48-bit values of each segment (at most 65,536), ascending, with their segments."""
-    x = np.unique((segment.astype(np.uint64) << np.uint64(BITS)) | values)
+    x = distinct_sorted((segment.astype(np.uint64) << np.uint64(BITS)) | values)
     return x & LOW, (x >> np.uint64(BITS)).astype(np.int64)
 
 
@@ -223,7 +223,7 @@ def verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             alike = []
             for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                common = len(x) + len(y) - len(distinct_sorted(np.concatenate([x, y])))
                 alike.append(t.den * common >= t.num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
 

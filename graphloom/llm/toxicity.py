@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import binaries, documents, materialize, mix, pack, text_batches, unpack
+from .common import binaries, distinct_sorted, documents, materialize, mix, pack, text_batches, unpack
 
 STEMS = (4, 5, 6)
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -80,7 +80,7 @@ def telling(rows: DataFrame, least: int, z_least: float, most: int = 50_000, par
         for b in text_batches(batches):
             keys, cuts = features(binaries(b.column("text")))
             bad = b.column("toxic").to_numpy() > 0
-            each = [np.unique(keys[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            each = [distinct_sorted(keys[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             flat = np.concatenate(each)
             toxic = np.repeat(bad, [len(k) for k in each])
             names, number = np.unique(flat, return_inverse=True)
@@ -150,7 +150,7 @@ def hits(texts: list[bytes], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     keys, cuts = features(texts)
     at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
     hit = np.flatnonzero(names[at] == keys)
-    pair = np.unique((np.searchsorted(cuts, hit, "right") - 1) * len(names) + at[hit])
+    pair = distinct_sorted((np.searchsorted(cuts, hit, "right") - 1) * len(names) + at[hit])
     return pair // len(names), pair % len(names)
 
 
