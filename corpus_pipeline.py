@@ -37,7 +37,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _changed(docs, line_dedup(docs, carry=_others(docs)))
+    return _changed(docs, line_dedup(docs, fewest=1, carry=_others(docs)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct words. Lines with the same tokens are one class; classes are joined by prefix,
+A line's tokens are its distinct words. Lines with the same tokens are one class; classes too short to match any other
+class (at 0.8, those of one to three tokens) are settled by that, without pairs. The others are joined by prefix,
 positional and length filters over rarest-first tokens (and by the parity of hashed tokens, which bounds the symmetric
 difference); Jaccard is verified on the tokens. A line goes when a line that comes before it, by doc_id and line number,
 reaches the threshold; lines are judged on the input, so the order of work doesn't matter.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; lines end at line feeds; lines with fewer than
-`fewest` distinct words stay and match nothing; a null text counts as empty; rows with a null doc_id keep all lines and
+`fewest` distinct words stay and match nothing (op9 and the pipeline say 1, so only blank lines do); a null text counts as empty; rows with a null doc_id keep all lines and
 match nothing; rows with the same id and text have the same result.
 """
 
@@ -65,7 +66,7 @@ def line_rows(docs: DataFrame, t: Threshold, rarity: Rarity | None, fewest: int)
                     bit = np.uint64(1) << (h & np.uint64(63))
                     halves = np.stack([np.where((h >> np.uint64(6)) & np.uint64(1) == k, bit, np.uint64(0)) for k in (0, 1)], 1)
                     parity = np.bitwise_xor.reduceat(halves, cuts[:-1], axis=0) if len(n) else np.zeros((0, 2), np.uint64)
-                    cols += [pa.array(n, pa.int32()), pa.array([ordered[c : c + p].tobytes() for c, p in zip(cuts, t.probe(n), strict=False)], pa.binary()), pa.array([x.tobytes() for x in parity], pa.binary())]
+                    cols += [pa.array(n, pa.int32()), pa.array([ordered[c : c + p].tobytes() for c, p in zip(cuts, np.where(t.alone(n), 0, t.probe(n)), strict=False)], pa.binary()), pa.array([x.tobytes() for x in parity], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, T.StructType([T.StructField(x, kinds[x]) for x in names]))
@@ -96,7 +97,7 @@ def repeated_lines(docs: DataFrame, least: Fraction, fewest: int) -> DataFrame:
         return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "id long, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens"))
 
     settle = lambda links: links.select(F.col("b").alias("id")).distinct().withColumn("state", F.lit(1).cast("long"))
-    later = similar(classes, sets_of, t, False, False, settle).select(F.col("b").alias("id")).distinct().withColumn("later", F.lit(True))
+    later = similar(classes.where("length(prefix) > 0"), sets_of, t, False, False, settle).select(F.col("b").alias("id")).distinct().withColumn("later", F.lit(True))
     judged = classes.select("id", F.struct("doc", "line").alias("e")).join(later, "id", "left")
     here = F.struct(F.col("doc_id").cast("long").alias("doc"), "line")
     return line_rows(docs, t, None, fewest).join(judged, "id").where(F.coalesce("later", F.lit(False)) | (here > F.col("e"))).groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("gone"))
@@ -123,4 +124,4 @@ def line_dedup(docs: DataFrame, least: Fraction = Fraction(80, 100), fewest: int
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), fewest=1)

@@ -84,6 +84,10 @@ class Threshold:
     def longest(self, n: np.ndarray) -> np.ndarray:
         return n * self.den // self.num
 
+    def alone(self, n: np.ndarray) -> np.ndarray:
+        """Whether a set of n elements can reach the threshold with equal sets only."""
+        return (self.longest(n) == n) & (self.longest(n - 1) < n)
+
 
 class Tree:
     """R-tree over count vectors, packed by size and then by vector."""

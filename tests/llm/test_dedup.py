@@ -8,7 +8,7 @@ from fractions import Fraction
 import pytest
 
 from graphloom.llm.exact_dedup import MisraGries, exact_dedup
-from graphloom.llm.line_dedup import line_dedup
+from graphloom.llm.line_dedup import line_dedup, op9_line_dedup
 from graphloom.llm.ngram_join import drop_near_copies, ngram_join
 from graphloom.llm.substring_dedup import substring_dedup
 
@@ -108,6 +108,24 @@ def test_lines(rows, docs):
     assert {r[0]: tuple(r)[1:] for r in line_dedup(docs).collect()} == want
 
 
+def without_repeats(rows):
+    """Brute force over all lines but blank ones: (doc_id, lines, lines gone, text that stays)."""
+    lines = [(i, j, frozenset(WORD.findall(low(x)))) for i, t in sorted(rows) for j, x in enumerate((t or "").split("\n"))]
+    lines = [x for x in lines if x[2]]
+    gone = {(i, j) for n, (i, j, s) in enumerate(lines) if any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:n])}
+    kept = {i: [x for j, x in enumerate((t or "").split("\n")) if (i, j) not in gone] for i, t in rows}
+    return {i: ((t or "").count("\n") + 1, (t or "").count("\n") + 1 - len(kept[i]), "\n".join(kept[i])) for i, t in rows}
+
+
+def test_short_lines(spark, rows, tmp_path):
+    menu = ["Home", "home", "Les.", "And ornd.", "ornd. And and", "a b c", "c b a", "a b d", "p q r s", "p q r s t", "q r s u", "", " "]
+    short = [*rows, *((1000 + i, "\n".join(menu[i % 5 :] + menu[: i % 3])) for i in range(20))]
+    spark.createDataFrame(short, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = without_repeats(short)
+    assert want[1019][1] > 5
+    assert {r[0]: tuple(r)[1:] for r in op9_line_dedup(spark, str(tmp_path)).collect()} == {i: (n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, (n, gone, t) in want.items()}
+
+
 @pytest.mark.parametrize("window", [5, 50])
 def test_spans(rows, docs, window):
     words, first, want = {i: WORD.findall(t or "") for i, t in rows}, {}, {}
