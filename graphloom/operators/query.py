@@ -55,10 +55,11 @@ def traverse(graph: Graph, starts: DataFrame, depth: int = 2) -> tuple[DataFrame
     return seen, at("source_id").unionByName(at("target_id")).distinct()
 
 
-def shortest_path(graph: Graph, pairs: DataFrame, hops: int = 4) -> DataFrame:
+def shortest_path(graph: Graph, pairs: DataFrame, hops: int | None = None) -> DataFrame:
     """pairs(a, b ids) -> (a, b, length, path): the smallest by node names among the shortest; label: the smallest.
 
-    A forward label comes before a backward one. Pairs without a path of at most `hops` steps have none.
+    A forward label comes before a backward one. Pairs that aren't connected, or only by more than `hops` steps where it
+    is given, have none. What is found is written anew every eighth hop, so long paths don't grow the plan.
     """
     names = graph.entities.select(F.col("id").alias("next"), F.col("name").alias("next_name"))
     best = F.min(F.struct(F.col("label").startswith("~").alias("back"), "label")).alias("l")
@@ -68,13 +69,17 @@ def shortest_path(graph: Graph, pairs: DataFrame, hops: int = 4) -> DataFrame:
     seen = frontier.select("a", "b", "node")
     found = frontier.where("a = b").select("a", "b", F.lit(0).alias("length"), "names", "labels")
     frontier = frontier.where("a <> b")
-    for d in range(1, hops + 1):
+    d = 0
+    while (hops is None or d < hops) and not frontier.isEmpty():
+        d += 1
         ahead = frontier.join(steps, "node").select("a", "b", F.col("next").alias("node"), F.struct(F.concat("names", F.array("next_name")).alias("names"), F.concat("labels", F.array("label")).alias("labels")).alias("p"))
         ahead = written(ahead.join(seen, ["a", "b", "node"], "left_anti").groupBy("a", "b", "node").agg(F.min("p").alias("p")).select("a", "b", "node", "p.names", "p.labels"), "path")
         hit = ahead.where("node = b").select("a", "b", F.lit(d).alias("length"), "names", "labels")
         found = found.unionByName(hit)
         frontier = ahead.join(hit.select("a", "b"), ["a", "b"], "left_anti")
         seen = seen.unionByName(ahead.select("a", "b", "node"))
+        if d % 8 == 0:
+            seen, found = written(seen, "path"), written(found, "path")
     text = F.array_join(F.concat(F.array(F.element_at("names", 1)), F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.concat(F.lit("-["), F.element_at("labels", i), F.lit("]-> "), F.element_at("names", i + 1)))), " ")
     return found.select("a", "b", "length", F.when(F.col("length") > 0, text).otherwise(F.element_at("names", 1)).alias("path"))
 

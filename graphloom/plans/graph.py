@@ -251,7 +251,7 @@ def f4(s, d):
     who = g.entities.where("type IN ('region', 'nation')").select("id")
     pairs = who.select(F.col("id").alias("a")).join(who.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
     small = g.with_(relationships=g.relationships.where("relation = 'part-of'"))
-    return Q.shortest_path(small, pairs, 4)
+    return Q.shortest_path(small, pairs)
 
 
 QUERIES["f4_shortest_path"] = f4

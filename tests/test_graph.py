@@ -67,6 +67,20 @@ def test_paths(spark, graph):
     assert seen.count() == 2 and edges.count() == 2
 
 
+def test_long_paths(spark):
+    e = spark.createDataFrame([(i, f"n{i:02}", "tool", None, None, None, None) for i in range(14)], E)
+    r = spark.createDataFrame([(i, i + 1, "next", 1.0, None) for i in range(10)] + [(11, 12, "next", 1.0, None)], R)
+    chain = Graph(e, r, spark.createDataFrame([], P))
+    pairs = spark.createDataFrame([(0, 5), (10, 0), (0, 11), (3, 3), (13, 0)], "a long, b long")
+    got = {(r["a"], r["b"]): (r["length"], r["path"]) for r in query.shortest_path(chain, pairs).collect()}
+    assert got == {
+        (0, 5): (5, "n00" + "".join(f" -[next]-> n{i:02}" for i in range(1, 6))),
+        (10, 0): (10, "n10" + "".join(f" -[~next]-> n{i:02}" for i in range(9, -1, -1))),
+        (3, 3): (0, "n03"),
+    }
+    assert {(r["a"], r["b"]) for r in query.shortest_path(chain, pairs, 5).collect()} == {(0, 5), (3, 3)}
+
+
 def test_lessons(spark, graph):
     t = lessons.trigger_table(graph)
     e = spark.createDataFrame([(1, 7, 1, "npm install axios", "it will fail right now"), (2, 7, 2, "npm install x", "bad ( thing")], "event_id long, session_id long, ts long, command string, output string").selectExpr("event_id", "session_id", "timestamp_seconds(ts) AS ts", "command", "output")
