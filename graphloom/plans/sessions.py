@@ -118,8 +118,11 @@ ORACLES["a10_parse_payloads"] = "SELECT doc_id, concat(source, '-', lang) AS nam
 
 
 def _sessions(s, d):
-    """One session a document: paths, installs, errors and research headers around its text."""
-    return _t(s, d, "documents").select(F.col("doc_id").alias("session_id"), (F.col("doc_id") % 5).alias("user_turns"), F.concat(F.lit("cd /workspaces/coding/"), "source", F.lit("/x and /workspaces/coding/dist/y; git checkout -b "), "lang", F.lit("/b1\nnpm install --save-dev pkg-"), "lang", F.lit("\nError: the thing number "), F.col("doc_id"), F.lit(" has gone wrong\nerror: file not found at all anywhere\n## Investigation: Topic "), "lang", F.lit("\n**Framework:** Deep\n## Research: Depth "), "source", F.lit("\n**Depth:** Quick Look | x\n")).alias("text"))
+    """One session a document: its whole text, then paths, installs, errors and research headers.
+
+    The headers come last, so the end of the longest session has them too.
+    """
+    return _t(s, d, "documents").select(F.col("doc_id").alias("session_id"), (F.col("doc_id") % 5).alias("user_turns"), F.concat(F.coalesce("text", F.lit("")), F.lit("\ncd /workspaces/coding/"), "source", F.lit("/x and /workspaces/coding/dist/y; git checkout -b "), "lang", F.lit("/b1\nnpm install --save-dev pkg-"), "lang", F.lit("\nError: the thing number "), F.col("doc_id"), F.lit(" has gone wrong\nerror: file not found at all anywhere\n## Investigation: Topic "), "lang", F.lit("\n**Framework:** Deep\n## Research: Depth "), "source", F.lit("\n**Depth:** Quick Look | x\n")).alias("text"))
 
 
 QUERIES["i1_extract_projects"] = lambda s, d: E.extract_projects(_sessions(s, d))
