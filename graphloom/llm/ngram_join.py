@@ -2,7 +2,8 @@
 
 A document's set holds its distinct shingles. Shingles are hashed into groups; the counts of the groups are a point, and
 the summed coordinate minima of two points bound what the sets share, and parity sketches of the sets bound it again. Equal sets are one class. Classes are filed under
-the rarest shingles of a prefix, and each file is searched through an R-tree whose boxes bound the overlap the same way;
+the rarest shingles of a prefix, and each file of more than 64 is searched through an R-tree whose boxes bound the overlap
+the same way (the others pairwise, by the same bounds);
 surviving pairs are verified on the sets themselves. Linked classes become components by joins. Shingles are 48-bit
 hashes.
 
