@@ -1,10 +1,14 @@
 """The pipeline against its parts' definitions."""
 
 import re
+import zlib
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+from graphloom.llm import toxicity
 from graphloom.llm.common import materialize
-from tests.llm.test_dedup import components
+from tests.llm.test_dedup import components, without_repeats
 from fractions import Fraction
 
 D = "/root/testdata/sf0.001"
@@ -29,3 +33,57 @@ def test_stages(spark):
         seen |= own
     packed = corpus_pipeline.STAGES[-1][1](spark, before, D)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in before.select("doc_id").collect()}
+
+
+def without_spans(rows, window=50):
+    words, first, out = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in rows}, {}, {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][p : p + window]), i)
+    for i, t in rows:
+        w = words[i]
+        gone = {q for p in range(len(w) - window + 1) if first[tuple(w[p : p + window])] < i for q in range(p, p + window)}
+        out[i] = [x for q, x in enumerate(w) if q not in gone] if gone else t
+    return out
+
+
+def test_rows_and_texts_of_stages(spark):
+    """Each stage's rows and texts against brute force; toxicity against its model, applied here one text at a time."""
+    from tokenizers import Tokenizer
+
+    before = spark.read.parquet(f"{D}/documents.parquet")
+    model = toxicity.train(before, spark.read.parquet(f"{D}/labels.parquet"), 20_000)
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        after = materialize(stage(spark, before, D), f"rows-{i}")
+        rows = [(r["doc_id"], r["text"]) for r in before.collect()]
+        texts = dict(rows)
+        assert len(texts) == len(rows)
+        if name == "toxicity":
+            want = {d: t for d, t in rows if toxicity.severities([(t or "").encode()], model)[0] < 0.3}
+        elif name == "line dedup":
+            want = {d: x[2] for d, x in without_repeats(rows).items() if not x[1] or x[2].split()}
+            assert any(x[1] for x in without_repeats(rows).values())
+        elif name == "n-gram Jaccard join":
+            want = {c: texts[c] for _, c in components(rows, 5, Fraction(80, 100)).values()}
+        else:
+            want = {d: x for d, x in without_spans(rows).items() if x or x == texts[d]}
+            assert any(isinstance(x, list) for x in want.values())
+        got = after.collect()
+        kept = {r["doc_id"]: r["text"] for r in got}
+        # where words go, the space between the others is not compared
+        kept = {d: re.findall(r"[^\x20\x09-\x0D]+", t) if isinstance(want.get(d), list) else t for d, t in kept.items()}
+        assert kept == want and len(got) == len(want), name
+        assert all(r["n_chars"] == len(r["text"]) for r in got), name
+        before = after
+    tok, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for r in before.collect():
+        ids = [*tok.encode(r["text"], add_special_tokens=False).ids, 1]
+        for p, a in enumerate(range(0, len(ids), 4096)):
+            want[r["doc_id"], p] = (a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes()))
+    got = corpus_pipeline.STAGES[-1][1](spark, before, D).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        assert all(x + n == y for (x, n), (y, _) in zip(sorted(b), sorted(b)[1:])) and sum(n for _, n in b) <= 4096
