@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK = 1 << 20
-
-
+CHUNK = 1 << 19
 RECORDS = "1000"  # rows a record batch: long texts in batches of ten thousand would fill a worker
 
 
@@ -28,9 +28,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is set, a folder of this machine."""
+    """The folder all executors share; only in local mode, and where none is set, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -91,65 +93,79 @@ def text_batches(batches, limit: int = 4 << 20):
         trim()
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    step = base & (2**64 - 1)
-    while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step % 2**64
-    return out
-
-
-_BASE = 0x9E3779B97F4A7C15
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_PLAIN = np.random.default_rng(20240131).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _PLAIN.copy()
-_FOLDED[65:91] = _PLAIN[97:123]
-_tables: dict[str, np.ndarray] = {}
+_SPACE = bytes(1 if c in (9, 10, 11, 12, 13, 32) else 0 for c in range(256))
+_NEXT_SPACE = re.compile(rb"[\t-\r ]")
+_MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (public constants of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _hash_piece(buf: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a = np.frombuffer(buf, np.uint8)
-    n = len(a)
-    if len(_tables.get("p", ())) < n + 1:
-        m = max(n + 1, CHUNK + 4096)
-        _tables["p"], _tables["i"] = _powers(_BASE, m), _powers(pow(_BASE, -1, 2**64), m)
-    edge = np.empty(n + 2, np.int8)
-    edge[0] = edge[-1] = 0
-    edge[1:-1] = ~_SPACE[a]
-    edge = np.diff(edge)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    v = (_FOLDED if fold else _PLAIN)[a]
-    v *= _tables["p"][:n]
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum(v, out=c[1:])
-    h = (c[ends] - c[starts]) * _tables["i"][starts]
-    return starts, ends, mix(h + (ends - starts).astype(np.uint64))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _hash_piece(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A word's first eight bytes and its length are mixed, then each further eight bytes; long words go through xxh3."""
+    flag = np.frombuffer(b"\1" + buf.translate(_SPACE) + b"\1", np.uint8)
+    at = np.flatnonzero(flag[1:] != flag[:-1])
+    starts, ends = at[::2], at[1::2]
+    n = ends - starts
+    eight = np.ndarray((len(buf) + 1,), "<u8", buf + bytes(8), strides=(1,))
+    h = mix((eight[starts] & _MASKS[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * _STEP))
+    more, off = np.flatnonzero((n > 8) & (n <= LONG_WORD)), 8
+    while len(more):
+        h[more] = mix(h[more] * _STEP ^ (eight[starts[more] + off] & _MASKS[np.minimum(n[more] - off, 8)]))
+        off += 8
+        more = more[n[more] > off]
+    for i in np.flatnonzero(n > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]])
+    return starts, ends, h
 
 
 def hash_words(buf: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a buffer; fold: A-Z count as a-z."""
-    if len(buf) <= CHUNK:
-        return _hash_piece(buf, fold)
+    if fold:
+        buf = buf.lower()
     out, at = [], 0
-    while at < len(buf):
+    while at < len(buf) or not out:
         end = min(len(buf), at + CHUNK)
-        while end < len(buf) and not _SPACE[buf[end]]:
-            end += 1
-        s, e, h = _hash_piece(buf[at:end], fold)
+        if end < len(buf):
+            space = _NEXT_SPACE.search(buf, end)
+            end = space.start() if space else len(buf)
+        s, e, h = _hash_piece(buf[at:end])
         out.append((s + at, e + at, h))
         at = end
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if len(out) > 1 else out[0]
+
+
+class Spans:
+    """Hashes of any span of words: spans of 1, 2, 4, ... words are mixed in pairs, any other from the two that cover it."""
+
+    def __init__(self, h: np.ndarray):
+        self.levels = [h]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            x, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(mix(x[: max(0, len(x) - half)] * _STEP + np.roll(x, -half)[: max(0, len(x) - half)]))
+        return self.levels[k]
+
+    def __call__(self, i: np.ndarray, j: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Hashes of the words i..j-1 of each pair (j > i); another salt gives hashes that are independent enough to check them."""
+        n = np.asarray(j - i)
+        out = np.empty(len(n), np.uint64)
+        power = np.frexp(n)[1] - 1
+        for k in np.unique(power):
+            of = np.flatnonzero(power == k)
+            x = self.level(int(k))
+            out[of] = mix(mix(x[i[of]] * _STEP + n[of].astype(np.uint64) + np.uint64(salt)) + x[j[of] - (1 << int(k))])
+        return out
 
 
 def words_of(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:

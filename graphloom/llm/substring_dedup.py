@@ -23,26 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
-from .common import binaries, documents, hash_words, materialize, mix, text_batches, words_of
+from .common import Spans, binaries, documents, hash_words, materialize, mix, text_batches, words_of
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-class Spans:
-    """Hashes of any span of words, from prefix sums."""
-
-    def __init__(self, h: np.ndarray):
-        n = len(h)
-        if len(common._tables.get("p", ())) < n + 1:
-            common._tables["p"], common._tables["i"] = common._powers(common._BASE, n + 1), common._powers(pow(common._BASE, -1, 2**64), n + 1)
-        self.c = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * common._tables["p"][:n], out=self.c[1:])
-
-    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return mix((self.c[j] - self.c[i]) * common._tables["i"][i] + (j - i).astype(np.uint64) * START)
-
-
 def sizes(window: int) -> tuple[int, int]:
     """k and s: every `window` words hold a closed syncmer of k words with s-mers of s words."""
     s = 2 if window >= 6 else 1
@@ -52,7 +37,7 @@ def sizes(window: int) -> tuple[int, int]:
 def nodes(spans: Spans, cuts: np.ndarray, window: int) -> np.ndarray:
     """Where closed syncmers start; none crosses from one text into the next."""
     k, s = sizes(window)
-    n, m = len(spans.c) - 1, k - s
+    n, m = len(spans.levels[0]), k - s
     if n < k:
         return np.zeros(0, np.int64)
     at = np.arange(n - s + 1)
