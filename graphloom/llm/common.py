@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-CHUNK = 1 << 19
+CHUNK, TRIM_EVERY = 1 << 19, 16
 RECORDS = "1000"  # rows a record batch: long texts in batches of ten thousand would fill a worker
 
 
@@ -46,6 +47,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def some_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most n rows, the first by a hash of the keys; a threshold on the hash, from one count, comes before the sort."""
+    share = min(1.0, (n + 6 * n**0.5 + 10) / max(1, df.count()))
+    h = F.xxhash64(*keys)
+    return df.where(F.pmod(h, F.lit(1 << 40)) <= int(share * (1 << 40))).orderBy(F.pmod(h, F.lit(1 << 40)), *keys).limit(n)
+
+
 def buckets(spark: SparkSession) -> int:
     """How many parts a shuffle has; follows the cluster's own setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -78,9 +86,9 @@ def gathered(batches, limit: int):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def text_batches(batches, limit: int = 4 << 20):
+def text_batches(batches, limit: int = 2 << 20):
     """Record batches with about `limit` bytes of text each, so memory doesn't follow text length."""
-    for batch in gathered(batches, limit):
+    for turn, batch in enumerate(gathered(batches, limit)):
         sizes = [len(x) for x in binaries(batch.column("text"))] if batch.num_rows else []
         start = total = 0
         for i, n in enumerate(sizes):
@@ -90,7 +98,9 @@ def text_batches(batches, limit: int = 4 << 20):
                 start, total = i + 1, 0
         if start < len(sizes):
             yield batch.slice(start)
-        trim()
+        if turn % TRIM_EVERY == TRIM_EVERY - 1:
+            trim()
+    trim()
 
 
 _SPACE = bytes(1 if c in (9, 10, 11, 12, 13, 32) else 0 for c in range(256))

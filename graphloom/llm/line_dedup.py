@@ -26,21 +26,26 @@ from .common import binaries, hash_words, materialize, mix, text_batches
 from .ngram_join import signatures
 from .setjoin import Rarity, Threshold, count_tokens, maybe, segments_sorted, similar
 
-LIMIT = 60_000
+LIMIT, HEAVY = 60_000, 1024
+
+
+def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, each one's line (counted through all texts), and the first line of each text."""
+    whole = b"\n".join(texts)
+    s, _, h = hash_words(whole, True)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(whole, np.uint8) == 10), s)
+    return h, line, np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts])])
 
 
 def line_sets(texts: list[bytes], fewest: int):
     """Blocks of (text number, line number, distinct 48-bit words, where each line's begin), for lines with enough words."""
-    s, _, h = hash_words(b"\n".join(texts), True)
-    breaks = np.flatnonzero(np.frombuffer(b"\n".join(texts), np.uint8) == 10)
-    line = np.searchsorted(breaks, s)
-    offsets = np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts])])
-    lines, first = np.unique(line, return_index=True)
-    first = np.append(first, len(s))
+    h, line, offsets = lines_of(texts)
+    first = np.append(np.flatnonzero(np.diff(line, prepend=-1)), len(line))
+    lines = line[first[:-1]]
     for at in range(0, len(lines), LIMIT):
         own = lines[at : at + LIMIT]
         a, b = first[at], first[min(at + LIMIT, len(lines))]
-        values, owner = segments_sorted(h[a:b] >> np.uint64(16), np.searchsorted(own, line[a:b]))
+        values, owner = segments_sorted(h[a:b] >> np.uint64(16), np.repeat(np.arange(len(own)), np.diff(first[at : at + len(own) + 1])))
         cuts = np.searchsorted(owner, np.arange(len(own) + 1))
         ok = np.diff(cuts) >= fewest
         keep = ok[owner]
@@ -48,28 +53,49 @@ def line_sets(texts: list[bytes], fewest: int):
         yield text[ok], (own - offsets[text])[ok], values[keep], np.concatenate([[0], np.cumsum(np.diff(cuts)[ok])])
 
 
-def line_rows(docs: DataFrame, t: Threshold, rarity: Rarity | None, fewest: int) -> DataFrame:
-    """(doc_id, text_hash, line, id), and with `rarity` also n, prefix and parity."""
-    names = ["doc_id", "text_hash", "line", "id"] + (["n", "prefix", "vector"] if rarity else [])
-    kinds = {"doc_id": docs.schema["doc_id"].dataType, "text_hash": T.LongType(), "line": T.IntegerType(), "id": T.LongType(), "n": T.IntegerType(), "prefix": T.BinaryType(), "vector": T.BinaryType()}
+def line_rows(docs: DataFrame, t: Threshold, rarity: Rarity, fewest: int) -> DataFrame:
+    """(doc_id, text_hash, line, id, proof, n, prefix, vector); `proof` is a second hash of the line's words."""
+    kinds = {"doc_id": docs.schema["doc_id"].dataType, "text_hash": T.LongType(), "line": T.IntegerType(), "id": T.LongType(), "proof": T.LongType(), "n": T.IntegerType(), "prefix": T.BinaryType(), "vector": T.BinaryType()}
 
     def run(batches):
         for b in text_batches(batches):
             for text, line, values, cuts in line_sets(binaries(b.column("text")), fewest):
-                at = pa.array(text)
-                cols = [b.column("doc_id").take(at), b.column("text_hash").take(at), pa.array(line, pa.int32()), pa.array(signatures(values, cuts).view(np.int64))]
-                if rarity:
-                    n = np.diff(cuts)
-                    owner = np.repeat(np.arange(len(n)), n)
-                    ordered = np.sort((owner.astype(np.uint64) << np.uint64(48)) | rarity.order(values)) & np.uint64((1 << 48) - 1)
-                    h = mix(values)
-                    bit = np.uint64(1) << (h & np.uint64(63))
-                    halves = np.stack([np.where((h >> np.uint64(6)) & np.uint64(1) == k, bit, np.uint64(0)) for k in (0, 1)], 1)
-                    parity = np.bitwise_xor.reduceat(halves, cuts[:-1], axis=0) if len(n) else np.zeros((0, 2), np.uint64)
-                    cols += [pa.array(n, pa.int32()), pa.array([ordered[c : c + p].tobytes() for c, p in zip(cuts, np.where(t.alone(n), 0, t.probe(n)), strict=False)], pa.binary()), pa.array([x.tobytes() for x in parity], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, T.StructType([T.StructField(x, kinds[x]) for x in names]))
+                at, n = pa.array(text), np.diff(cuts)
+                owner = np.repeat(np.arange(len(n)), n)
+                ordered = np.sort((owner.astype(np.uint64) << np.uint64(48)) | rarity.order(values)) & np.uint64((1 << 48) - 1)
+                h = mix(values)
+                bit = np.uint64(1) << (h & np.uint64(63))
+                halves = np.stack([np.where((h >> np.uint64(6)) & np.uint64(1) == k, bit, np.uint64(0)) for k in (0, 1)], 1)
+                parity = np.bitwise_xor.reduceat(halves, cuts[:-1], axis=0) if len(n) else np.zeros((0, 2), np.uint64)
+                prefix = [ordered[c : c + p].tobytes() for c, p in zip(cuts, np.where(t.alone(n), 0, t.probe(n)), strict=False)]
+                raw = parity.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(at), b.column("text_hash").take(at), pa.array(line, pa.int32()), *[pa.array(signatures(values, cuts, k).view(np.int64)) for k in (1, 2)], pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())],
+                    list(kinds),
+                )
+
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, T.StructType([T.StructField(x, k) for x, k in kinds.items()]))
+
+
+def line_words(docs: DataFrame, known: np.ndarray, fewest: int) -> DataFrame:
+    """(id, tokens): the distinct words of each line whose id the filter may hold."""
+
+    def run(batches):
+        for b in text_batches(batches):
+            texts = binaries(b.column("text"))
+            parts = {}
+            for text, line, values, cuts in line_sets(texts, fewest):
+                ids = signatures(values, cuts)
+                use = np.flatnonzero(maybe(known, ids))
+                use = use[np.unique(ids[use], return_index=True)[1]]
+                words = []
+                for i, j in zip(text[use].tolist(), line[use].tolist(), strict=True):
+                    if i not in parts:
+                        parts = {i: texts[i].lower().split(b"\n")}
+                    words.append(b" ".join(set(parts[i][j].split())))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[use].view(np.int64)), pa.array(words, pa.binary())], ["id", "tokens"])
+
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text").mapInArrow(run, "id long, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens"))
 
 
 def repeated_lines(docs: DataFrame, least: Fraction, fewest: int) -> DataFrame:
@@ -78,29 +104,25 @@ def repeated_lines(docs: DataFrame, least: Fraction, fewest: int) -> DataFrame:
 
     def tokens_of(batch):
         for b in text_batches([batch]):
-            for _, _, values, _ in line_sets(binaries(b.column("text")), fewest):
-                yield values
+            yield hash_words(b"\n".join(binaries(b.column("text"))), True)[2] >> np.uint64(16)
 
     rarity = Rarity(count_tokens(docs.where(F.col("doc_id").isNotNull()).select("text"), tokens_of, 1 << 20))
-    first = F.min(F.struct("doc_id", "line")).alias("e")
-    classes = materialize(line_rows(docs, t, rarity, fewest).groupBy("id").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector")).select("id", "n", "prefix", "vector", F.col("e.doc_id").cast("long").alias("doc"), F.col("e.line").alias("line"), F.lit(0).cast("long").alias("state")), "line-classes")
-
-    def sets_of(known):
-        def run(batches):
-            for b in text_batches(batches):
-                for _, _, values, cuts in line_sets(binaries(b.column("text")), fewest):
-                    ids = signatures(values, cuts)
-                    use = np.flatnonzero(maybe(known, ids))
-                    use = use[np.unique(ids[use], return_index=True)[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[use].view(np.int64)), pa.array([values[cuts[i] : cuts[i + 1]].tobytes() for i in use], pa.binary())], ["id", "tokens"])
-
-        return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "id long, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens"))
-
+    rows = materialize(line_rows(docs, t, rarity, fewest), "line-rows")
+    first = F.min(F.struct("doc_id", "line", "proof")).alias("e")
+    classes = rows.groupBy("id").agg(first, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "vector")])
+    classes = materialize(classes.select("id", "copies", "n", "prefix", "vector", F.col("e.proof").alias("proof"), F.col("e.doc_id").cast("long").alias("doc"), F.col("e.line").alias("line"), F.lit(0).cast("long").alias("state")), "line-classes")
     settle = lambda links: links.select(F.col("b").alias("id")).distinct().withColumn("state", F.lit(1).cast("long"))
-    later = similar(classes.where("length(prefix) > 0"), sets_of, t, False, False, settle).select(F.col("b").alias("id")).distinct().withColumn("later", F.lit(True))
-    judged = classes.select("id", F.struct("doc", "line").alias("e")).join(later, "id", "left")
+    linked = similar(classes.where("length(prefix) > 0").drop("copies", "proof"), lambda known: line_words(docs, known, fewest), t, False, False, settle)
+    later = linked.select(F.col("b").alias("id")).distinct().withColumn("later", F.lit(True))
+    judged = classes.select("id", "copies", F.col("proof").alias("own"), F.struct("doc", "line").alias("e")).join(later, "id", "left").where("later OR copies > 1")
+    judged = materialize(judged, "line-judged")
+    heavy = F.broadcast(judged.where(F.col("copies") >= max(2, -(-rows.count() // HEAVY))))  # at most HEAVY classes
+    lines = rows.select("doc_id", "text_hash", "line", "id", "proof")
     here = F.struct(F.col("doc_id").cast("long").alias("doc"), "line")
-    return line_rows(docs, t, None, fewest).join(judged, "id").where(F.coalesce("later", F.lit(False)) | (here > F.col("e"))).groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("gone"))
+    gone = lambda df: df.where((F.col("proof") == F.col("own")) & (F.coalesce("later", F.lit(False)) | (here > F.col("e")))).select("doc_id", "text_hash", "line")
+    common = gone(lines.join(heavy, "id"))
+    rare = gone(lines.join(heavy.select("id"), "id", "left_anti").join(judged, "id"))
+    return common.unionByName(rare).groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("gone"))
 
 
 def line_dedup(docs: DataFrame, least: Fraction = Fraction(80, 100), fewest: int = 5, carry: list[str] | None = None) -> DataFrame:

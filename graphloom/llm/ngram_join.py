@@ -49,9 +49,9 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return segments_sorted(np.concatenate(values) >> np.uint64(16), np.concatenate(owner))
 
 
-def signatures(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each non-empty set; 0 for empty ones."""
-    c = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(1)))])
+def signatures(values: np.ndarray, cuts: np.ndarray, salt: int = 1) -> np.ndarray:
+    """A 64-bit hash of each non-empty set; 0 for empty ones. Another salt gives an independent hash."""
+    c = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(salt << 56)))])
     n = np.diff(cuts).astype(np.uint64)
     return np.where(n > 0, mix(c[cuts[1:]] - c[cuts[:-1]] + n), np.uint64(0))
 

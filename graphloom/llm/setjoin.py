@@ -16,10 +16,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, distinct_sorted, materialize, mix, pack, unpack
+from .common import buckets, distinct_sorted, gathered, materialize, mix, pack, unpack
 
 BITS, LEVELS = 48, 4
 LOW = np.uint64((1 << BITS) - 1)
@@ -44,21 +45,31 @@ class Rarity:
         return (self.level[tokens >> self.shift] << np.uint64(BITS - LEVELS)) | (tokens >> np.uint64(LEVELS))
 
 
+def halfway(spark) -> int:
+    """Into how many groups what every task sends is gathered first, so that neither step has a group of more than that many."""
+    return max(1, int(buckets(spark) ** 0.5))
+
+
 def count_tokens(df: DataFrame, tokens_of, size: int = 1 << 18, slices: int = 16) -> np.ndarray:
     """How often each counter's tokens occur; `tokens_of` gives the tokens of a record batch. The result has `size` numbers."""
-    shift, part = np.uint64(BITS - int(np.log2(size))), size // slices
+    shift, part, mid = np.uint64(BITS - int(np.log2(size))), size // slices, halfway(df.sparkSession)
 
     def run(batches):
         c = np.zeros(size, np.int64)
         for b in batches:
             for tokens in tokens_of(b):
                 c += np.bincount((tokens >> shift).astype(np.int64), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([pack(c[i * part : (i + 1) * part]) for i in range(slices)], pa.binary())], ["slice", "counts"])
+        group = TaskContext.get().partitionId() % mid
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([group] * slices, pa.int32()), pa.array([pack(c[i * part : (i + 1) * part]) for i in range(slices)], pa.binary())], ["slice", "mid", "counts"])
 
     def add(key, table):
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([pack(sum(unpack(x)[0] for x in table.column("counts").to_pylist()))], pa.binary())], ["slice", "counts"])
+        total = np.zeros(part, np.int64)
+        for x in table.column("counts").to_pylist():
+            total += unpack(x)[0]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([pack(total)], pa.binary())], ["slice", "counts"])
 
-    rows = df.mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()  # `size` numbers
+    some = df.mapInArrow(run, "slice int, mid int, counts binary").groupBy("slice", "mid").applyInArrow(add, "slice int, counts binary")
+    rows = some.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()  # `size` numbers
     out = np.zeros(size, np.int64)
     for r in rows:
         out[r["slice"] * part : (r["slice"] + 1) * part] = unpack(bytes(r["counts"]))[0]
@@ -197,21 +208,27 @@ def connected(links: DataFrame) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
-def present(ids: DataFrame, column: str, bits: int = 23) -> np.ndarray:
-    """A Bloom filter with one hash, 2 ** bits bits, of 64-bit numbers; its size is fixed, a hit may be wrong."""
+def present(ids: DataFrame, column: str, most: int = 26) -> np.ndarray:
+    """A Bloom filter with one hash of 64-bit numbers, of 2 ** most bits at most; a hit may be wrong."""
+    mid = halfway(ids.sparkSession)
+    bits = min(most, max(16, int(8 * ids.count()).bit_length()))
+
+    def blob(group: int, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([pack(f)], pa.binary())], ["k", "f"])
 
     def run(batches):
         f = np.zeros(1 << bits, bool)
         for b in batches:
             f[(b.column(column).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([pack(np.packbits(f))], pa.binary())], ["k", "f"])
+        yield blob(TaskContext.get().partitionId() % mid, np.packbits(f))
 
     def join(table):
-        f = np.bitwise_or.reduce([unpack(x)[0] for x in table.column("f").to_pylist()])
-        return pa.table([pa.array([0], pa.int32()), pa.array([pack(f)], pa.binary())], ["k", "f"])
+        f = np.zeros(1 << (bits - 3), np.uint8)
+        for x in table.column("f").to_pylist():
+            f |= unpack(x)[0]
+        return pa.Table.from_batches([blob(0, f)])
 
-    n = max(1, min(16, buckets(ids.sparkSession)))
-    rows = ids.select(column).coalesce(n).mapInArrow(run, "k int, f binary").groupBy("k").applyInArrow(join, "k int, f binary").collect()
+    rows = ids.select(column).mapInArrow(run, "k int, f binary").groupBy("k").applyInArrow(join, "k int, f binary").groupBy("k").applyInArrow(join, "k int, f binary").collect()  # one filter
     return np.unpackbits(unpack(bytes(rows[0]["f"]))[0]).astype(bool) if rows else np.zeros(1 << bits, bool)
 
 
@@ -219,23 +236,33 @@ def maybe(f: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return f[(ids.view(np.uint64) >> np.uint64(64 - int(np.log2(len(f))))).astype(np.int64)]
 
 
-def verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+def same_share(x: bytes, y: bytes, t: Threshold) -> bool:
+    """Whether two sets of words, each joined by spaces, reach the threshold."""
+    x, y = set(x.split()), set(y.split())
+    common = len(x & y)
+    return t.den * common >= t.num * (len(x) + len(y) - common)
+
+
+def hashed_share(x: bytes, y: bytes, t: Threshold) -> bool:
+    """The same for sets of 64-bit hashes."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    common = len(x) + len(y) - len(distinct_sorted(np.concatenate([x, y])))
+    return t.den * common >= t.num * (len(x) + len(y) - common)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, t: Threshold, share) -> DataFrame:
     """(a, b, alike) of pairs of class ids, from the sets (id, tokens) themselves."""
 
     def run(batches):
         for b in batches:
-            alike = []
-            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(distinct_sorted(np.concatenate([x, y])))
-                alike.append(t.den * common >= t.num * (len(x) + len(y) - common))
+            alike = [share(x, y, t) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
 
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, alike boolean")
 
 
-CLASS = "id long, n int, prefix binary, vector binary, doc long, line int, state long"
+FILED_BYTES, BUCKET_CLASSES = 8 << 20, 25_000
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -243,7 +270,7 @@ def _filed(classes: DataFrame, n_buckets: int, wide: bool) -> DataFrame:
     """The classes' prefix tokens, packed by bucket."""
 
     def run(batches):
-        for b in batches:
+        for b in gathered(batches, FILED_BYTES):
             prefix = [np.frombuffer(x, np.uint64) for x in b.column("prefix").to_pylist()]
             p = np.array([len(x) for x in prefix])
             key = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
@@ -373,7 +400,7 @@ def _mixed(key: np.ndarray, state: np.ndarray) -> np.ndarray:
 
 def candidate_pairs(classes: DataFrame, t: Threshold, first_round: bool, same_state: bool, wide: bool) -> DataFrame:
     """(a, b): a comes first. In the first round also (a, a) for classes that had more pairs."""
-    n = buckets(classes.sparkSession)
+    n = max(2 * buckets(classes.sparkSession), -(-classes.count() // BUCKET_CLASSES))
     return _filed(classes, n, wide).groupBy("bucket").applyInArrow(lambda x: _bucket_pairs(x, t, first_round, same_state, wide), "a long, b long").distinct()
 
 
@@ -411,30 +438,40 @@ def prune(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
 
 def _judged(pairs: DataFrame, classes: DataFrame, sets_of, t: Threshold) -> DataFrame:
     """(a, b, alike): sketches first, then the sets of those that they leave open."""
-    cut = None
-    if "sketch" in classes.columns:
-        seen = materialize(prune(pairs, classes, t), "pruned")
-        pairs, cut = seen.where("maybe").select("a", "b"), seen.where("NOT maybe").select("a", "b", F.lit(False).alias("alike"))
-    if pairs.isEmpty():
-        return cut if cut is not None else pairs.withColumn("alike", F.lit(False))
-    sets = materialize(sets_of(present(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")), "sets")
-    done = materialize(verify(pairs, sets, t), "judged")
-    return done if cut is None else done.unionByName(cut)
+    seen = materialize(prune(pairs, classes, t), "pruned")
+    left, cut = seen.where("maybe").select("a", "b"), seen.where("NOT maybe").select("a", "b", F.lit(False).alias("alike"))
+    if left.isEmpty():
+        return cut
+    sets = materialize(sets_of(present(ends(left), "id")), "sets")
+    return materialize(verify(left, sets, t, hashed_share), "judged").unionByName(cut)
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
 def similar(classes: DataFrame, sets_of, t: Threshold, same_state: bool, wide: bool, settle) -> DataFrame:
     """Pairs (a, b) of classes that reach the threshold: enough to settle everything, by the two rounds.
 
     sets_of(filter) gives (id, tokens) of the classes that a Bloom filter may hold; settle(links) gives (id, state) of
-    the classes that the first round's links have settled.
+    the classes that the first round's links have settled. Classes without sketches have small sets: words, read once
+    for both rounds.
     """
     columns = ["id", "n", "prefix", "vector", "doc", "line", "state"]
     found = materialize(candidate_pairs(classes.select(*columns), t, True, same_state, wide), "pairs")
+    if found.isEmpty():
+        return found
+    if "sketch" in classes.columns:
+        judge = lambda pairs: _judged(pairs, classes, sets_of, t)
+    else:
+        sets = materialize(sets_of(present(ends(found), "id")), "sets")
+        judge = lambda pairs: materialize(verify(pairs, sets, t, same_share), "judged")
     named = found.where("a = b").select(F.col("a").alias("id"))
-    judged = _judged(found.where("a <> b"), classes, sets_of, t)
+    judged = judge(found.where("a <> b"))
     links = judged.where("alike").select("a", "b")
     if named.isEmpty():
         return links
     second = classes.join(named, "id", "left_semi").drop("state").join(settle(links), "id", "left").withColumn("state", F.coalesce("state", F.col("id") if same_state else F.lit(0).cast("long")))
-    rest = materialize(candidate_pairs(second.select(*columns), t, False, same_state, wide).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(_judged(rest, classes, sets_of, t).where("alike").select("a", "b"))
+    second = materialize(second.select(*columns), "named")
+    rest = materialize(candidate_pairs(second, t, False, same_state, wide).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(judge(rest).where("alike").select("a", "b"))
