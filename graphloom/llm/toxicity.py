@@ -1,13 +1,16 @@
 """Toxicity by cumulative-link ordinal regression.
 
 Severity has ordered grades that share one weight vector and differ by their thresholds: P(grade > j) = s(w.x - t_j).
-Features are the distinct letter-only words of a text and their leading bytes (stems). The fit uses at most `sample`
-labelled documents, chosen by a hash of their id; only features that go with a grade more than chance allows get a
-weight. Grades of labelled rows: 0 where toxic is 0; toxic rows are 1 or, with more telling features than the median
-toxic row, 2. The output is the expected severity; a text is toxic when that is at least `cut`.
-
-Defined results: a null or empty text has no feature; labels that are null or without a document are left out, of several
-labels of a document the highest holds; without toxic labels nothing is toxic; repeated rows are scored each.
+The grades are those of the labels' column `toxic`, 0 for clean and any number above; a table that holds 0 and 1 has two
+grades and so one threshold. Features are the distinct letter-only words of a text and their leading bytes (stems). The
+fit uses at most `sample` labelled documents, the first by a hash of their id; only features that go with toxic or clean
+rows more than chance allows get a weight, at a false discovery rate. The output is the expected severity, the sum of the
+P(grade > j); a text is toxic when that is at least `cut`.
+
+Defined results: a null or empty text has no feature, and a text of any length has those of all its words; labels that
+are null or without a document are left out, of several labels of a document the highest holds, of several texts of an id
+the least is learned from; features on a tie are all taken; without toxic labels nothing is toxic; repeated rows are
+scored each; an empty table gives an empty result. Other columns of the documents are carried as they are by drop_toxic.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import binaries, distinct_sorted, documents, materialize, mix, pack, text_batches, unpack
+from .common import binaries, distinct_sorted, documents, materialize, mix, pack, some_rows, text_batches, unpack
 
 STEMS = (4, 5, 6)
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -64,89 +67,105 @@ def _chunks(texts: list[bytes], limit: int = 1 << 20):
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(toxic, text) of at most `sample` labelled documents."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return materialize(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxicity-sample")
+    """(grade, text) of at most `sample` labelled documents."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
+    chosen = some_rows(known.join(docs.select("doc_id"), "doc_id", "left_semi"), sample, "doc_id")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text"))
+    return materialize(rows.select(F.greatest("grade", F.lit(0)).alias("grade"), "text"), "toxicity-sample")
+
+
+def evidence(df: np.ndarray, t: np.ndarray, p: float) -> np.ndarray:
+    """-log of the Chernoff bound on how likely t of df rows are toxic by chance, where a share p is."""
+    q = np.clip(t / df, 1e-12, 1 - 1e-12)
+    return df * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))
+
 
+def telling(rows: DataFrame, rate: float, fewest: int, parts: int = 16) -> np.ndarray:
+    """Sorted features that go with toxic rows, or with others, more than chance allows, at a false discovery rate.
 
-def telling(rows: DataFrame, least: int, z_least: float, most: int = 50_000, parts: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted features that go with toxic rows, or with others, more than chance allows, and their z; at most `most`."""
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") > 0).alias("bad")).first()
-    if not total["bad"]:
-        return np.zeros(0, np.uint64), np.zeros(0)
+    The rate follows from how many features were looked at (Benjamini and Hochberg), so it means the same for small and
+    large tables. At least the `fewest` strongest are taken.
+    """
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("grade") > 0).alias("bad")).first()
+    if not total["bad"] or total["bad"] == total["n"]:
+        return np.zeros(0, np.uint64)
     p = total["bad"] / total["n"]
 
     def count(batches):
         for b in text_batches(batches):
             keys, cuts = features(binaries(b.column("text")))
-            bad = b.column("toxic").to_numpy() > 0
+            bad = b.column("grade").to_numpy() > 0
             each = [distinct_sorted(keys[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            flat = np.concatenate(each)
-            toxic = np.repeat(bad, [len(k) for k in each])
-            names, number = np.unique(flat, return_inverse=True)
-            df, t = np.bincount(number, minlength=len(names)), np.bincount(number, toxic, len(names))
+            names, number = np.unique(np.concatenate(each), return_inverse=True)
+            df, t = np.bincount(number, minlength=len(names)), np.bincount(number, np.repeat(bad, [len(k) for k in each]), len(names))
             at = np.searchsorted(names >> np.uint64(60), np.arange(parts + 1))
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([pack(names[x:y], df[x:y].astype(np.uint32), t[x:y].astype(np.uint32)) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["part", "counts"])
 
-    def choose(table: pa.Table) -> pa.Table:
+    def weigh(table: pa.Table) -> pa.Table:
         keys, df, t = (np.concatenate(x) for x in zip(*map(unpack, table.column("counts").to_pylist()), strict=True))
         names, number = np.unique(keys, return_inverse=True)
-        df, t = np.bincount(number, df), np.bincount(number, t)
-        z = (t - df * p) / np.sqrt(df * p * max(1 - p, 1e-9))
-        use = (df >= least) & (np.abs(z) >= z_least)
-        return pa.table([pa.array(names[use].view(np.int64)), pa.array(z[use])], ["key", "z"])
+        return pa.table([pa.array(names.view(np.int64)), pa.array(evidence(np.bincount(number, df, len(names)), np.bincount(number, t, len(names)), p))], ["key", "told"])
 
-    found = rows.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(choose, "key long, z double").orderBy(F.desc(F.abs("z")), "key").limit(most).collect()
-    keys, z = np.array([r["key"] for r in found], np.int64).view(np.uint64), np.array([r["z"] for r in found])
-    by = np.argsort(keys)
-    return keys[by], z[by]
+    found = materialize(rows.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(weigh, "key long, told double"), "toxicity-features")
+    step = found.groupBy(F.least(F.floor(F.col("told") * 100), F.lit(1_000_000)).alias("x")).count().collect()  # bounded by the steps
+    edge, n = np.array(sorted((r["x"], r["count"]) for r in step), np.int64).reshape(-1, 2).T
+    above = np.cumsum(n[::-1])[::-1]
+    passing = np.flatnonzero(edge / 100 >= np.log(n.sum() / (rate * above)))
+    least = edge[passing[0]] if len(passing) else edge[-1]
+    least = min(least, edge[max(0, np.searchsorted(-above, -fewest, "right") - 1)])
+    return np.sort(np.array([r["key"] for r in found.where(F.col("told") >= F.lit(float(least / 100))).select("key").collect()], np.int64).view(np.uint64))  # of the sample's features
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int, least: int = 4, z_least: float = 6.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted feature hashes, their weights and the two thresholds."""
+def train(docs: DataFrame, labels: DataFrame, sample: int, rate: float = 0.05, fewest: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted feature hashes, their weights and the thresholds, one less than there are grades."""
     rows = sampled(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
-    names, z = telling(rows, least, z_least)
-    if not len(names):
-        return names, z, np.array([40.0, 41.0])
+    names = telling(rows, rate, fewest)
 
     def pick(batches):
         for b in text_batches(batches):
             row, col = hits(binaries(b.column("text")), names)
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([pack(col[x:y].astype(np.int32)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["toxic", "cols"])
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([pack(col[x:y].astype(np.int32)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["grade", "cols"])
 
-    got = sorted(rows.mapInArrow(pick, "toxic int, cols binary").collect(), key=lambda r: (r["toxic"], bytes(r["cols"])))  # bounded by `sample`
+    got = sorted(rows.mapInArrow(pick, "grade int, cols binary").collect(), key=lambda r: (r["grade"], bytes(r["cols"])))  # bounded by `sample`
+    if not got or not got[-1]["grade"]:
+        return names[:0], np.zeros(0), np.zeros(0)
     cols = [unpack(bytes(r["cols"]))[0] for r in got]
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    return names, *fit(np.array([r["toxic"] for r in got]) > 0, row, np.concatenate(cols), z)
-
-
-def fit(bad: np.ndarray, row: np.ndarray, col: np.ndarray, z: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by gradient steps on the likelihood of the grades."""
-    n = len(bad)
-    told = np.bincount(row, z[col] > 0, n)
-    grade = np.where(bad, 1 + (told > np.median(told[bad])), 0)
-    w, cut = np.zeros(len(z)), np.array([1.0, 2.0])
-    m1, v1, m2, v2 = 0.0, 0.0, 0.0, 0.0
-    i = np.arange(n)
+    return names, *fit(np.array([r["grade"] for r in got]), row, np.concatenate(cols), len(names))
+
+
+def likelihood(grade: np.ndarray, x: np.ndarray, cut: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log-likelihood of the grades, and its slopes by each row's score and by each threshold (both times the rows)."""
+    n, i = len(grade), np.arange(len(grade))
+    above = 1 / (1 + np.exp(-np.clip(x[:, None] - cut, -30, 30)))
+    edge = np.column_stack([np.ones(n), above, np.zeros(n)])
+    like = np.maximum(edge[i, grade] - edge[i, grade + 1], 1e-12)
+    slope = np.column_stack([np.zeros(n), above * (1 - above), np.zeros(n)])
+    by_score = (slope[i, grade] - slope[i, grade + 1]) / like
+    by_cut = np.array([((grade == j) * slope[:, j + 1] / like - (grade == j + 1) * slope[:, j + 1] / like).sum() for j in range(len(cut))])
+    return float(np.log(like).mean()), by_score, by_cut
+
+
+def fit(grade: np.ndarray, row: np.ndarray, col: np.ndarray, m: int, rounds: int = 600, rate: float = 0.1, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of m features and ascending thresholds, by Adam steps of falling size on the likelihood of the grades."""
+    n = len(grade)
+    w, cut = np.zeros(m), 1.0 + np.arange(grade.max())
+    state = [[np.zeros(len(y)), np.zeros(len(y))] for y in (w, cut)]
     for r in range(1, rounds + 1):
-        x = np.bincount(row, w[col], n)
-        above = 1 / (1 + np.exp(-np.clip(x[:, None] - cut, -30, 30)))
-        edge = np.column_stack([np.ones(n), above, np.zeros(n)])
-        like = np.maximum(edge[i, grade] - edge[i, grade + 1], 1e-9)
-        slope = np.column_stack([np.zeros(n), above * (1 - above), np.zeros(n)])
-        dx = (slope[i, grade] - slope[i, grade + 1]) / like
-        dc = np.array([((grade == j + 1) * -slope[:, j + 1] / like + (grade == j) * slope[:, j + 1] / like).mean() for j in range(2)])
-        dw = np.bincount(col, dx[row], len(w)) / n - ridge * w
-        m1, v1, m2, v2 = 0.9 * m1 + 0.1 * dw, 0.99 * v1 + 0.01 * dw * dw, 0.9 * m2 + 0.1 * dc, 0.99 * v2 + 0.01 * dc * dc
-        w = w + rate * (m1 / (1 - 0.9**r)) / (np.sqrt(v1 / (1 - 0.99**r)) + 1e-7)
-        cut = cut + rate * (m2 / (1 - 0.9**r)) / (np.sqrt(v2 / (1 - 0.99**r)) + 1e-7)
-        cut[1] = max(cut[1], cut[0] + 0.1)
+        _, by_score, by_cut = likelihood(grade, np.bincount(row, w[col], n), cut)
+        size = rate * min(1.0, 2 * (1 - r / rounds) + 0.02)
+        for y, g, s in ((w, np.bincount(col, by_score[row], m) / n - ridge * w, state[0]), (cut, by_cut / n, state[1])):
+            s[0], s[1] = 0.9 * s[0] + 0.1 * g, 0.99 * s[1] + 0.01 * g * g
+            y += size * (s[0] / (1 - 0.9**r)) / (np.sqrt(s[1] / (1 - 0.99**r)) + 1e-7)
+        cut[:] = np.maximum.accumulate(cut + 1e-6 * np.arange(len(cut)))
     return w, cut
 
 
 def hits(texts: list[bytes], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs among the named features."""
+    if not len(names):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys, cuts = features(texts)
     at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
     hit = np.flatnonzero(names[at] == keys)
@@ -158,14 +177,14 @@ def severities(texts: list[bytes], model: tuple[np.ndarray, np.ndarray, np.ndarr
     """Expected severity of each text."""
     names, w, cut = model
     x = np.zeros(len(texts))
-    if len(names):
+    if len(names) and texts:
         row, col = hits(texts, names)
         x = np.bincount(row, w[col], len(texts))
     return (1 / (1 + np.exp(-np.clip(x[:, None] - cut, -30, 30)))).sum(1)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, severity (expected grade, 0 to 2), toxic."""
+def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.5, sample: int = 20_000) -> DataFrame:
+    """One row per document: doc_id, severity (expected grade), toxic."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("severity", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
 
@@ -177,7 +196,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int =
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 20_000) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5, sample: int = 20_000) -> DataFrame:
     """The documents that aren't toxic, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
