@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import path_like
 from ..model import Graph
+from .contain import containing
 from .index import postings
 
 # Words that are no topic, that tell of problems, that mark a replaced fact, and that carry no belief.
@@ -29,7 +30,7 @@ def project_activity(entries: DataFrame) -> DataFrame:
 
 def topics(entries: DataFrame, n: int = 30) -> DataFrame:
     """The commonest words of more than three characters, ties by word."""
-    words = entries.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z][a-z-]+"), 0)).alias("word"))
+    words = entries.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"(?U)\b[a-z][a-z-]+\b"), 0)).alias("word"))
     return words.where((F.length("word") > 3) & ~F.col("word").isin(TOPIC_STOPS)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.desc("n"), "word").limit(n)
 
 
@@ -58,7 +59,8 @@ def goal_gaps(goals: DataFrame, entries: DataFrame, as_of: str, days: int = 14)
     keys = goals.select("goal", F.explode(F.regexp_extract_all(F.lower("goal"), F.lit(r"\w+"), 0)).alias("key")).where(F.length("key") > 3)
     recent = F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)
     said = entries.select(recent.alias("recent"), F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "content", "project")), F.lit(r"\w+"), 0)).alias("word")).groupBy("word").agg(F.max("recent").alias("recent"))
-    hits = said.join(F.broadcast(keys), F.contains("word", "key")).groupBy("goal").agg(F.max("recent").alias("recent"))
+    pairs = containing(said.select(F.col("word").alias("text")), keys.select(F.col("key").alias("pattern"))).toDF("word", "key")
+    hits = said.join(pairs, "word").join(keys, "key").groupBy("goal").agg(F.max("recent").alias("recent"))
     state = F.when(F.col("recent").isNull(), "NO SIGNAL").when(F.col("recent"), "ACTIVE").otherwise("STALLED")
     return goals.select("goal").distinct().join(hits, "goal", "left").select("goal", state.alias("state"))
 
@@ -98,7 +100,7 @@ def contradictions(graph: Graph, n: int = 20) -> DataFrame:
     for w in REPLACED:
         marked = marked | said.contains(w)
     tops = e.groupBy("type").agg(F.max("id").alias("_top"))
-    first = e.where(marked & (F.col("type") != "reasoning")).join(F.broadcast(tops), "type").where(F.col("id") < F.col("_top")).orderBy("id").limit(n).select(F.col("id").alias("id1"), F.col("name").alias("name1"), "type")
+    first = e.where(marked & (F.col("type") != "reasoning")).join(tops, "type").where(F.col("id") < F.col("_top")).orderBy("id").limit(n).select(F.col("id").alias("id1"), F.col("name").alias("name1"), "type")
     pairs = e.select(F.col("id").alias("id2"), F.col("name").alias("name2"), "type").join(F.broadcast(first), "type").where("id1 < id2")
     return pairs.orderBy("id1", "id2").limit(n).select("name1", "name2")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import Graph
 from ..tables import written
+from .contain import containing
 from .index import postings
 
 
@@ -27,10 +28,11 @@ def search(graph: Graph, terms: DataFrame) -> DataFrame:
     terms = terms.select(F.lower("term").alias("term")).distinct()
     found = postings(graph).select("token", "entity_id").distinct().join(terms, F.col("token") == F.col("term")).join(graph.entities, F.col("entity_id") == F.col("id")).select("term", F.lit("fulltext").alias("hit_kind"), "name")
     missed = terms.join(found.select("term").distinct(), "term", "left_anti")
-    has = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("term"))
-    loose = graph.entities.join(F.broadcast(missed), has("name") | has("description")).select("term", F.lit("substring").alias("hit_kind"), "name")
-    value = graph.properties.join(F.broadcast(terms), has("value")).join(graph.entities.select("id", "name"), F.col("entity_id") == F.col("id")).select("term", F.lit("property").alias("hit_kind"), "name").distinct()
-    relation = graph.relationships.select("relation").distinct().join(F.broadcast(terms), has("relation")).select("term", F.lit("relation").alias("hit_kind"), F.col("relation").alias("name"))
+    has = lambda df, c, ts: df.withColumn("_low", F.lower(c)).join(containing(df.select(F.lower(c).alias("text")), ts.select(F.col("term").alias("pattern"))).toDF("_low", "term"), "_low")
+    e = graph.entities.select("id", "name", "description")
+    loose = has(e, "name", missed).select("term", "id", "name").unionByName(has(e, "description", missed).select("term", "id", "name")).distinct().select("term", F.lit("substring").alias("hit_kind"), "name")
+    value = has(graph.properties, "value", terms).join(graph.entities.select("id", "name"), F.col("entity_id") == F.col("id")).select("term", F.lit("property").alias("hit_kind"), "name").distinct()
+    relation = has(graph.relationships.select("relation").distinct(), "relation", terms).select("term", F.lit("relation").alias("hit_kind"), F.col("relation").alias("name"))
     return found.unionByName(loose).unionByName(value).unionByName(relation)
 
 

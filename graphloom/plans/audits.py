@@ -68,12 +68,12 @@ ORACLES["m2_learned_properties"] = "SELECT concat('learned-thing-', doc_id) AS n
 
 def _memory(s, d):
     files = _t(s, d, "region").select(F.concat("r_name", F.lit(".md")).alias("filename"), F.lit("old").alias("type"), F.lit("old").alias("description"), F.lit("old").alias("content"))
-    changes = _t(s, d, "documents").select(F.concat("source", F.lit(".md")).alias("filename"), F.col("lang").alias("type"), F.col("source").alias("description"), F.substring("text", 1, 100).alias("content"), F.col("doc_id").alias("seq"))
+    changes = _t(s, d, "documents").select(F.concat("source", F.lit(".md")).alias("filename"), F.col("lang").alias("type"), F.col("source").alias("description"), F.col("text").alias("content"), F.col("doc_id").alias("seq"))
     return files, changes
 
 
 QUERIES["m3_apply_memory"] = lambda s, d: P.apply_memory(*_memory(s, d))
-ORACLES["m3_apply_memory"] = "SELECT concat(r_name, '.md') AS filename, 'old' AS type, 'old' AS description, 'old' AS content FROM region UNION ALL SELECT concat(source, '.md'), arg_max(lang, doc_id), source, arg_max(substr(text, 1, 100), doc_id) FROM documents GROUP BY source"
+ORACLES["m3_apply_memory"] = "SELECT concat(r_name, '.md') AS filename, 'old' AS type, 'old' AS description, 'old' AS content FROM region UNION ALL SELECT concat(source, '.md'), arg_max(lang, doc_id), source, arg_max(text, doc_id) FROM documents GROUP BY source"
 
 
 def _proposals(s, d):
@@ -94,7 +94,7 @@ ORACLES["m4_apply_proposals"] = "SELECT kind, count(*) AS n FROM (SELECT ['proje
 QUERIES["n1_project_activity"] = lambda s, d: A.project_activity(_docs(s, d)).select("project", "sessions", "words", _day("first"), _day("last"))
 ORACLES["n1_project_activity"] = f"SELECT project, count(DISTINCT date) AS sessions, sum(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')))::BIGINT AS words, strftime(min(date), '%Y-%m-%d') AS first, strftime(max(date), '%Y-%m-%d') AS last FROM ({DOCS}) GROUP BY project"
 QUERIES["n2_topics"] = lambda s, d: A.topics(_docs(s, d))
-ORACLES["n2_topics"] = f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '[a-z][a-z-]+')) AS word FROM ({DOCS})) WHERE len(word) > 3 AND word NOT IN ({_in(A.TOPIC_STOPS)}) GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, word LIMIT 30"
+ORACLES["n2_topics"] = f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(content), '[ªµºÀ-ÖØ-öø-ʯ]', '0', 'g'), '\\b[a-z][a-z-]+\\b')) AS word FROM ({DOCS})) WHERE len(word) > 3 AND word NOT IN ({_in(A.TOPIC_STOPS)}) GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, word LIMIT 30"
 QUERIES["n3_streaks"] = lambda s, d: A.streaks(_docs(s, d).unionByName(_entries(s, d).where("project = 'purchase'"))).select("active", _day("first"), _day("last"), "span", "percent", "longest_run", "longest_gap", _day("gap_after"))
 ORACLES["n3_streaks"] = f"""WITH days AS (SELECT DISTINCT date FROM ({DOCS} UNION ALL SELECT * FROM ({ENTRIES}) WHERE project = 'purchase')), runs AS (SELECT count(*) AS n FROM (SELECT date - row_number() OVER (ORDER BY date)::INTEGER AS g FROM days) GROUP BY g),
 gaps AS (SELECT lag(date) OVER (ORDER BY date) AS b, date - lag(date) OVER (ORDER BY date) AS gap FROM days), top AS (SELECT gap, b FROM gaps WHERE b IS NOT NULL ORDER BY gap DESC, b LIMIT 1)
