@@ -24,7 +24,7 @@ _KEBAB = {
 PARTS = {
     "lab": "SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id",
     "word_docs": "SELECT DISTINCT doc_id, {explode}({words}) AS word FROM documents",
-    "terms": "SELECT word, count(*) AS df FROM word_docs GROUP BY word HAVING count(*) BETWEEN 2 AND 15",
+    "terms": "SELECT word, count(*) AS df FROM word_docs GROUP BY word HAVING count(*) >= 2",
     "term_groups": "SELECT substr(word, 1, 2) AS head, count(*) AS n FROM terms GROUP BY 1",
     "term_starts": "SELECT head, coalesce(sum(n) OVER (ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM term_groups",
     "term_ids": "SELECT word, df, CAST(10000000 + before + row_number() OVER (PARTITION BY substr(word, 1, 2) ORDER BY word) AS BIGINT) AS id FROM terms JOIN term_starts ON head = substr(word, 1, 2)",
@@ -34,10 +34,10 @@ PARTS = {
         UNION ALL SELECT 3000000 + s_suppkey, concat('supplier-', s_suppkey), 'supplier', CAST(NULL AS STRING) FROM supplier
         UNION ALL SELECT 4000000 + p_partkey, concat('part-', p_partkey), 'part', concat(p_name, ' ', p_brand, ' ', p_type) FROM part
         UNION ALL SELECT 5000000 + c_custkey, concat('customer-', c_custkey), 'customer', CAST(NULL AS STRING) FROM customer
-        UNION ALL SELECT 6000000 + d.doc_id, concat(CASE WHEN quality = 1 THEN 'lesson-' ELSE 'decision-' END, d.doc_id), CASE WHEN quality = 1 THEN 'lesson' ELSE 'decision' END, substr(text, 1, 500) FROM documents d JOIN lab ON d.doc_id = lab.doc_id
+        UNION ALL SELECT 6000000 + d.doc_id, concat(CASE WHEN quality = 1 THEN 'lesson-' ELSE 'decision-' END, d.doc_id), CASE WHEN quality = 1 THEN 'lesson' ELSE 'decision' END, text FROM documents d JOIN lab ON d.doc_id = lab.doc_id
         UNION ALL SELECT id, word, 'term', CAST(NULL AS STRING) FROM term_ids""",
     "entities": "SELECT id, name, type, description, {day} AS created, {day} AS updated, CAST(NULL AS TIMESTAMP) AS last_referenced FROM base",
-    "mentions": "SELECT word, doc_id FROM (SELECT word, w.doc_id, row_number() OVER (PARTITION BY word ORDER BY w.doc_id) AS r FROM word_docs w JOIN lab ON w.doc_id = lab.doc_id) x WHERE r <= 3",
+    "mentions": "SELECT word, w.doc_id FROM word_docs w JOIN lab ON w.doc_id = lab.doc_id",
     "supplies": "SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey",
     "edges": """
         SELECT CAST(2000000 + n_nationkey AS BIGINT) AS source_id, CAST(1000000 + n_regionkey AS BIGINT) AS target_id, 'part-of' AS relation, CAST(1.0 AS DOUBLE) AS weight FROM nation
@@ -101,14 +101,26 @@ def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {protected} SELECT * FROM {name}", **tables)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(*(spark_table(spark, sf_dir, n) for n in ("entities", "relationships", "properties")))
+_stored: dict[tuple[str, str], Graph] = {}
 
 
-def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph written once, for queries that read its tables many times."""
-    g = graph(spark, sf_dir)
-    return Graph(*(written(t, "graph") for t in (g.entities, g.relationships, g.properties)))
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of a folder, written once an application, as most queries read its tables several times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored or not _there(spark, _stored[key]):
+        _stored[key] = Graph(*(written(spark_table(spark, sf_dir, n), f"graph-{n}") for n in ("entities", "relationships", "properties")))
+    return _stored[key]
+
+
+def _there(spark: SparkSession, g: Graph) -> bool:
+    """Whether the written tables still are where they were, and the session is the one that wrote them."""
+    if g.entities.sparkSession is not spark:
+        return False
+    for df in (g.entities, g.relationships, g.properties):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return False
+    return True
 
 
 def oracle(query: str, *names: str, extra: dict[str, str] | None = None) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import cap_with_marker, chunk_text, cost_estimate, normalize_name, research_slug, token_estimate
+from ..functions.columns import cap_with_marker, cost_estimate, normalize_name, research_slug, token_estimate
 from ..model import Graph
 from .mutate import upsert_entities, upsert_properties, upsert_relationships
 
@@ -17,7 +18,8 @@ from .mutate import upsert_entities, upsert_properties, upsert_relationships
 NOT_PROJECTS = ("node_modules", ".git", "dist", "build", "__pycache__", ".next")
 ERROR_NOISE = ("enoent", "no such file", "not found")
 DROPPED_EVENTS = ("attachment", "file-history-snapshot", "queue-operation", "last-prompt", "custom-title", "permission-mode", "agent-name", "ai-title", "system")
-ROOTS = ("/Users/test/coding", "/workspaces/coding")
+ROOTS = ("/workspaces/coding",)
+INSTALL = r"npm (?:install|add|i)\s+(?:--save-dev\s+)?([a-zA-Z0-9@/_.-]+)"
 
 
 def _all(text: str, pattern: str, group: int = 1):
@@ -38,7 +40,7 @@ def extract_git_branches(sessions: DataFrame) -> DataFrame:
 
 def extract_packages(sessions: DataFrame) -> DataFrame:
     """(session_id, package)."""
-    found = sessions.select("session_id", F.explode(_all("text", r"npm (?:install|add|i)\s+(?:--save-dev\s+)?([a-zA-Z0-9@/_.-]+)")).alias("package"))
+    found = sessions.select("session_id", F.explode(_all("text", INSTALL)).alias("package"))
     return found.where(~F.col("package").startswith("-"))
 
 
@@ -62,7 +64,7 @@ def extract_research(sessions: DataFrame, as_of: str) -> DataFrame:
     return a.unionByName(b).withColumn("slug", research_slug(F.col("topic"), F.lit(as_of)))
 
 
-def session_deltas(sessions: DataFrame, as_of: str, processed: DataFrame | None = None, agent: str = "claude") -> tuple[DataFrame, DataFrame, DataFrame]:
+def session_deltas(sessions: DataFrame, as_of: str, processed: DataFrame | None = None, agent: str = "claude", roots: tuple[str, ...] = ROOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sessions(session_id, user_turns, text) -> entity, relationship and property changes.
 
     The last 50,000 characters count; sessions with fewer than three user turns or processed before give nothing.
@@ -70,7 +72,7 @@ def session_deltas(sessions: DataFrame, as_of: str, processed: DataFrame | None
     s = sessions.where("user_turns >= 3")
     s = s if processed is None else s.join(processed.select("session_id").distinct(), "session_id", "left_anti")
     s = s.select("session_id", F.substring("text", -50_000, 50_000).alias("text"))
-    projects, packages, research = extract_projects(s), extract_packages(s), extract_research(s, as_of)
+    projects, packages, research = extract_projects(s, roots), extract_packages(s), extract_research(s, as_of)
     last = projects.groupBy("session_id").agg(F.max("project").alias("project"))
     entity = lambda df, c, t: df.select(F.col(c).alias("name"), F.lit(t).alias("type"), F.lit("").alias("description"))
     entities = entity(projects, "project", "project").unionByName(entity(packages, "package", "package")).unionByName(research.select(F.col("slug").alias("name"), F.lit("research-project").alias("type"), F.col("topic").alias("description"))).distinct()
@@ -86,9 +88,9 @@ def session_deltas(sessions: DataFrame, as_of: str, processed: DataFrame | None
     return entities, edges, facts.where("value IS NOT NULL").distinct()
 
 
-def session_to_graph(graph: Graph, sessions: DataFrame, as_of: str, processed: DataFrame | None = None) -> Graph:
+def session_to_graph(graph: Graph, sessions: DataFrame, as_of: str, processed: DataFrame | None = None, roots: tuple[str, ...] = ROOTS) -> Graph:
     """The deltas applied; mined edges weigh 0.7."""
-    entities, edges, facts = session_deltas(sessions, as_of, processed)
+    entities, edges, facts = session_deltas(sessions, as_of, processed, roots=roots)
     graph = upsert_entities(graph, entities, as_of, "fill")
     return upsert_properties(upsert_relationships(graph, edges, as_of, 0.7), facts)
 
@@ -107,28 +109,40 @@ def corpus_budget(files: DataFrame) -> DataFrame:
 
 
 def prepare_chunks(lines: DataFrame, tokens: int = 20_000) -> DataFrame:
-    """lines(file, line_no, line) -> (file, chunk_no, chunk): a file's lines joined again and cut."""
-    whole = lines.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    return whole.select("file", F.posexplode(chunk_text(F.col("text"), tokens)).alias("chunk_no", "chunk"))
+    """lines(file, line_no, line) -> (file, chunk_no, chunk): a file's text, cut every four characters a token.
+
+    Lines are cut where a chunk ends and gathered by chunk, so no file is ever one row.
+    """
+    size, w = 4 * tokens, Window.partitionBy("file").orderBy("line_no")
+    text = F.concat(F.coalesce("line", F.lit("")), F.when(F.lead("line_no").over(w).isNotNull(), "\n").otherwise(""))
+    rows = lines.select("file", "line_no", text.alias("t"))
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("t")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("t <> '' OR at = 0")
+    rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("at") / size).cast("int"), F.floor((F.col("at") + F.greatest(F.length("t"), F.lit(1)) - 1) / size).cast("int"))))
+    skip = F.greatest(F.col("chunk_no") * size - F.col("at"), F.lit(0))
+    left = size - F.greatest(F.col("at") - F.col("chunk_no") * size, F.lit(0))
+    parts = rows.select("file", "chunk_no", F.struct("at", "line_no", F.substring("t", (skip + 1).cast("int"), left.cast("int")).alias("part")).alias("p"))
+    return parts.groupBy("file", "chunk_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["part"]), "").alias("chunk"))
 
 
 CANDIDATE = "kind string, source_file string, chunk_no int, name string, type string, description string, props map<string,string>, source string, relation string, target string, error string"
 
 
-def rule_extractor(text: str) -> Iterator[dict]:
-    """The extractor that ships: projects and packages by the rules of I1 and I3."""
-    import re
+def rule_candidates(chunks: DataFrame, roots: tuple[str, ...] = ROOTS) -> DataFrame:
+    """The candidates that I1 and I3 find in chunks(file, chunk_no, chunk)."""
+    rows = chunks.select(F.struct("file", "chunk_no").alias("session_id"), F.col("chunk").alias("text"))
+    found = extract_projects(rows, roots).select("session_id", F.col("project").alias("name"), F.lit("project").alias("type")).unionByName(extract_packages(rows).select("session_id", F.col("package").alias("name"), F.lit("package").alias("type")))
+    own = {"kind": F.lit("entity"), "source_file": F.col("session_id.file"), "chunk_no": F.col("session_id.chunk_no"), "name": F.col("name"), "type": F.col("type")}
+    kinds = dict(re.findall(r"(\w+) (map<string,string>|\w+)", CANDIDATE))
+    return found.select(*[own.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
-    for p in dict.fromkeys(re.findall("(?:" + "|".join(ROOTS) + r")/([a-zA-Z0-9_-]+)", text)):
-        if p not in NOT_PROJECTS:
-            yield {"kind": "entity", "name": p, "type": "project"}
-    for p in dict.fromkeys(re.findall(r"npm (?:install|add|i)\s+(?:--save-dev\s+)?([a-zA-Z0-9@/_.-]+)", text)):
-        if not p.startswith("-"):
-            yield {"kind": "entity", "name": p, "type": "package"}
 
+def extract_candidates(chunks: DataFrame, extractor: Callable[[str], Iterator[dict]] | None = None) -> DataFrame:
+    """Any extractor over chunks(file, chunk_no, chunk); a chunk that fails gives a row of kind `error`.
 
-def extract_candidates(chunks: DataFrame, extractor: Callable[[str], Iterator[dict]] = rule_extractor) -> DataFrame:
-    """Any extractor over chunks(file, chunk_no, chunk); a chunk that fails gives a row of kind `error`."""
+    Without one, candidates come from the rules of I1 and I3.
+    """
+    if extractor is None:
+        return rule_candidates(chunks)
     names = [c.split()[0] for c in CANDIDATE.split(", ")]
 
     def run(batches):

@@ -14,7 +14,7 @@ from ..functions.columns import content_words, hyphen_ngrams, is_question, name_
 from ..model import Graph
 from ..tables import written
 from .fuzzy import partial_ratio, token_set_ratio
-from .index import bm25_search, concept_index, idf_table
+from .index import bm25_search, concept_index, concept_pairs, idf_table
 
 KEY = ["session_id", "turn"]
 IDF_LEAST, IDF_UNKNOWN = 3.0, 6.0
@@ -44,16 +44,17 @@ def _gated(df: DataFrame, graph: Graph, found) -> DataFrame:
     """A content word is a part of the name, and it isn't just an entity type."""
     types = graph.entities.where("type IS NOT NULL").select(F.lower("type").alias("_type")).distinct()
     df = df.withColumn("_hit", found).where(F.size("_hit") > 0).withColumn("_only", F.when(F.size("_hit") == 1, F.element_at("_hit", 1)))
-    return df.join(F.broadcast(types), F.col("_only") == F.col("_type"), "left_anti").drop("_hit", "_only")
+    return df.join(types, F.col("_only") == F.col("_type"), "left_anti").drop("_hit", "_only")
 
 
-def match_concept(graph: Graph, messages: DataFrame, with_idf: bool = True) -> DataFrame:
+def match_concept(graph: Graph, messages: DataFrame, with_idf: bool = True, pairs: DataFrame | None = None) -> DataFrame:
     """(*KEY, name, multi, hits, relevance, pos) through the concept index.
 
     Hits are keyed by the word of the message, not its stem. Two words or more make a multi match; with two multi
     matches the best five of those stay, otherwise the best four of all.
     """
-    idf = idf_table(graph).select("term", "idf")
+    pairs = written(concept_pairs(graph), "concepts") if pairs is None else pairs
+    idf = idf_table(graph, pairs).select("term", "idf")
     words = worded(messages).select(*KEY, "words", F.explode("words").alias("word"))
     if with_idf:
         low = idf.where(F.col("idf") < IDF_LEAST).select("term")
@@ -61,7 +62,7 @@ def match_concept(graph: Graph, messages: DataFrame, with_idf: bool = True) -> D
         stems = words.withColumn("stem", F.explode(stem_variants(F.col("word")))).join(low, (F.col("stem") == F.col("term")) & (F.col("stem") != F.col("word")), "left_anti")
     else:
         stems = words.where(~F.col("word").isin(PLAIN_STOPS)).withColumn("stem", F.explode(stem_variants(F.col("word"))))
-    index = concept_index(graph).select(F.col("term").alias("stem"), "name")
+    index = concept_index(graph, pairs=pairs).select(F.col("term").alias("stem"), "name")
     hits = stems.join(index, "stem").groupBy(*KEY, "name").agg(F.sort_array(F.collect_set("word")).alias("terms"), F.first("words").alias("words"))
     hits = hits.join(_names(graph), "name")
     boost = F.aggregate("terms", F.lit(0), lambda s, t: s + F.when((t == F.col("type")) | (F.rtrim(t, F.lit("s")) == F.col("type")) | (F.rtrim(t, F.lit("es")) == F.col("type")), 2).otherwise(0))
@@ -75,12 +76,12 @@ def match_concept(graph: Graph, messages: DataFrame, with_idf: bool = True) -> D
     return ranked.where(keep).drop("n_multi")
 
 
-def match_fulltext(graph: Graph, messages: DataFrame) -> DataFrame:
+def match_fulltext(graph: Graph, messages: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(*KEY, name, score, pos) of the best five within 60 % of the best score, gated.
 
     A hyphenated word of the message counts as its parts.
     """
-    low = idf_table(graph).where(F.col("idf") < IDF_LEAST).select(F.col("term").alias("word"))
+    low = idf_table(graph, pairs).where(F.col("idf") < IDF_LEAST).select(F.col("term").alias("word"))
     said = worded(messages)
     words = said.select(*KEY, F.explode(F.flatten(F.transform("words", lambda w: F.split(w, "-")))).alias("word")).distinct().where(F.length("word") >= 5).join(low, "word", "left_anti")
     hits = bm25_search(graph, words, KEY, 5).withColumn("best", F.min("score").over(Window.partitionBy(*KEY)))
@@ -123,15 +124,16 @@ def _first_stage(rows: DataFrame) -> DataFrame:
 def recall_match(graph: Graph, messages: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(*KEY, name, stage, rank). Later stages run only for messages with fewer than three, then two names."""
     place = lambda *order: F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)).cast("long")
+    pairs = written(concept_pairs(graph), "concepts")
     exact = match_exact(graph, messages).select(*KEY, "name", F.lit(1).alias("stage"), place(F.desc("relevance"), F.col("name")).alias("place"))
-    concept = match_concept(graph, messages).select(*KEY, "name", F.lit(2).alias("stage"), F.col("pos").cast("long").alias("place"))
+    concept = match_concept(graph, messages, pairs=pairs).select(*KEY, "name", F.lit(2).alias("stage"), F.col("pos").cast("long").alias("place"))
     found = written(_first_stage(exact.unionByName(concept)), "recall")  # read by each later stage
 
     def open_below(found: DataFrame, n: int) -> DataFrame:
         full = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n).select(*KEY)
         return messages.join(full, KEY, "left_anti")
 
-    text = match_fulltext(graph, open_below(found, 3)).select(*KEY, "name", F.lit(3).alias("stage"), F.col("pos").cast("long").alias("place"))
+    text = match_fulltext(graph, open_below(found, 3), pairs).select(*KEY, "name", F.lit(3).alias("stage"), F.col("pos").cast("long").alias("place"))
     found = written(_first_stage(found.unionByName(text)), "recall")
     if fuzzy:
         last = match_fuzzy(graph, open_below(found, 2)).select(*KEY, "name", F.lit(4).alias("stage"), place(F.col("kind"), F.desc("score"), F.col("name"), F.col("word")).alias("place"))

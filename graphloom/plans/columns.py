@@ -94,23 +94,25 @@ _MSG_SQL = "CASE turn % 4 WHEN 0 THEN concat('Run ', substr(text, 1, 30)) WHEN 1
 QUERIES["c1_skip_reason"] = lambda s, d: _talk(s, d).select("conv_id", "turn", C.skip_reason(_MSG()).alias("reason"), C.skip_reason(F.col("text")).alias("plain"))
 
 
-def _skip_sql(e: str) -> str:
+def skip_sql(e: str) -> str:
     rows = "".join(f" WHEN regexp_matches(trim({e}, ' '), '(?i){p}') THEN '{r}'" for r, p in C.SKIP_PATTERNS.items())
     return f"CASE WHEN length(trim({e}, ' ')) < 15 THEN 'short'{rows} WHEN length(trim({e}, ' ')) < 50 AND regexp_matches(trim({e}, ' '), '(?i){C.DIRECTIVE}') AND NOT regexp_matches(trim({e}, ' '), '{C.ENTITY_SHAPE}') THEN 'directive' END"
 
 
-ORACLES["c1_skip_reason"] = f"SELECT conv_id, turn, {_skip_sql('m')} AS reason, {_skip_sql('text')} AS plain FROM (SELECT conv_id, turn, text, {_MSG_SQL} AS m FROM conversations)"
+ORACLES["c1_skip_reason"] = f"SELECT conv_id, turn, {skip_sql('m')} AS reason, {skip_sql('text')} AS plain FROM (SELECT conv_id, turn, text, {_MSG_SQL} AS m FROM conversations)"
 
-QUERIES["c2_is_question"] = lambda s, d: _talk(s, d).select("conv_id", "turn", C.is_question(_MSG()).alias("question"))
-ORACLES["c2_is_question"] = f"SELECT conv_id, turn, contains(m, '?') OR regexp_matches(m, '(?i){C.QUESTION}') AS question FROM (SELECT conv_id, turn, {_MSG_SQL} AS m FROM conversations)"
+_ASK = lambda: F.concat(F.element_at(F.array(F.lit("Run "), F.lit("look at "), F.lit("What is "), F.lit("")), (F.col("turn") % 4 + 1).cast("int")), "text", F.when(F.col("turn") % 4 == 2, "?").otherwise(""))
+QUESTION_SQL = f"(contains(text, '?') OR regexp_matches(text, '(?i){C.QUESTION}'))"
+QUERIES["c2_is_question"] = lambda s, d: _talk(s, d).select("conv_id", "turn", C.is_question(_ASK()).alias("question"))
+ORACLES["c2_is_question"] = f"SELECT conv_id, turn, contains(m, '?') OR regexp_matches(m, '(?i){C.QUESTION}') AS question FROM (SELECT conv_id, turn, concat(['Run ', 'look at ', 'What is ', ''][turn % 4 + 1], text, CASE WHEN turn % 4 = 2 THEN '?' ELSE '' END) AS m FROM conversations)"
 
 _SIGNAL_SQL = C.SIGNAL
 QUERIES["c3_session_work_gate"] = lambda s, d: ledger.session_work_gate(canonical_events(gate_lines(s, d, 0)).select("session_id", "seq", "role", "tools", "raw"))
 QUERIES["c4_cursor_work_gate"] = lambda s, d: ledger.cursor_work_gate(canonical_events(gate_lines(s, d, 1)).select("session_id", "seq", "role", "raw"))
 _GATE = """SELECT session_id, count_if(role = 'user') AS user_turns, {edits} AS edits, regexp_matches(right(string_agg(line, chr(10) ORDER BY seq), 20000), '{signal}') AS signal,
  count_if(role = 'user') >= 6 AND {edits} AND regexp_matches(right(string_agg(line, chr(10) ORDER BY seq), 20000), '{signal}') AS passes FROM ({lines}) GROUP BY session_id"""
-ORACLES["c3_session_work_gate"] = _GATE.format(edits="coalesce(bool_or(tool IN ('Edit', 'Write')), false)", signal=C.SIGNAL, lines=GATE_LINES_SQL.format(dialect=0))
-ORACLES["c4_cursor_work_gate"] = _GATE.format(edits="bool_or(regexp_matches(line, '" + ledger.CURSOR_EDIT + "'))", signal=C.SIGNAL, lines=GATE_LINES_SQL.format(dialect=1))
+ORACLES["c3_session_work_gate"] = _GATE.format(edits="coalesce(bool_or(tool IN ('Edit', 'Write')), false)", signal=C.SIGNAL, lines=GATE_LINES_SQL)
+ORACLES["c4_cursor_work_gate"] = _GATE.format(edits="bool_or(regexp_matches(line, '" + ledger.CURSOR_EDIT + "'))", signal=C.SIGNAL, lines=GATE_LINES_SQL)
 
 
 def c5(s, d):

@@ -9,7 +9,7 @@ from ..operators import index as I
 from ..operators import query as Q
 from ..operators import recall as R
 from ..functions.columns import STOP_CONCEPTS
-from .columns import CONTENT, NAME_PARTS, TOKENS, _in, stems_sql
+from .columns import CONTENT, NAME_PARTS, QUESTION_SQL, TOKENS, _in, skip_sql, stems_sql
 from .graph import PLAIN, POSTINGS
 
 QUERIES, ORACLES = {}, {}
@@ -17,7 +17,7 @@ KEY = R.KEY
 
 
 def _gm(s, d):
-    return X.stored_graph(s, d), X.spark_table(s, d, "messages")
+    return X.graph(s, d), X.spark_table(s, d, "messages")
 
 
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({e}), '[a-z][a-z0-9]{{2,}}'), lambda w: w NOT IN (" + _in(STOP_CONCEPTS) + ")))"
@@ -45,9 +45,9 @@ COMMON = {
 }
 G = ("entities", "relationships", "properties", "messages")
 
-QUERIES["g1_concept_index"] = lambda s, d: I.concept_index(X.stored_graph(s, d))
+QUERIES["g1_concept_index"] = lambda s, d: I.concept_index(X.graph(s, d))
 ORACLES["g1_concept_index"] = X.oracle("SELECT term, name FROM fine", *G, extra={k: COMMON[k] for k in ("concepts", "idf", "fine")})
-QUERIES["g2_idf_table"] = lambda s, d: I.idf_table(X.stored_graph(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+QUERIES["g2_idf_table"] = lambda s, d: I.idf_table(X.graph(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 ORACLES["g2_idf_table"] = X.oracle("SELECT term, df, round(idf, 6) AS idf FROM idf", *G, extra={k: COMMON[k] for k in ("concepts", "idf")})
 
 BM25 = {
@@ -72,7 +72,7 @@ ORACLES["g3_bm25_search"] = X.oracle(
     "SELECT session_id, turn, name, round(score, 6) AS score, pos::INTEGER AS pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY score, name) AS pos FROM scored) WHERE pos <= 10",
     *G, extra={"said": COMMON["said"], "terms_": "SELECT DISTINCT session_id, turn, word FROM (SELECT session_id, turn, unnest(words) AS word FROM said) WHERE len(word) >= 5 AND NOT contains(word, '-')", **BM25},
 )
-QUERIES["g4_hyphen_index"] = lambda s, d: I.postings(X.stored_graph(s, d), I.HYPHENS)
+QUERIES["g4_hyphen_index"] = lambda s, d: I.postings(X.graph(s, d), I.HYPHENS)
 ORACLES["g4_hyphen_index"] = X.oracle(POSTINGS.replace("{p}", "[\\p{L}\\p{N}_-]+"), "entities")
 
 EXACT = f"""SELECT session_id, turn, name, len(list_intersect(parts, words))::INTEGER AS relevance FROM (SELECT DISTINCT session_id, turn, words, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(1, least(3, len(w) - i + 1) + 1), lambda k: array_to_string(w[i : i + k - 1], '-'))))) AS gram
@@ -144,13 +144,11 @@ CONTEXT = {
     "near": "SELECT *, row_number() OVER (PARTITION BY session_id, turn, spot ORDER BY relation, source, target) AS r FROM (SELECT session_id, turn, spot, id AS me, edge.* FROM seen JOIN edge ON id = source_id WHERE spot <= 5 UNION ALL SELECT session_id, turn, spot, id, edge.* FROM seen JOIN edge ON id = target_id WHERE spot <= 5 AND source_id <> target_id) QUALIFY r <= 6",
     "other": "SELECT DISTINCT session_id, turn, CASE WHEN me = source_id THEN target_id ELSE source_id END AS id FROM near",
 }
-ORACLES["g10_recall_context"] = X.oracle(
-    f"""SELECT session_id, turn, 'entity' AS part, spot AS pos, concat(name, ' [', type, ']') AS line FROM seen WHERE spot <= 4
+CONTEXT_ROWS = f"""SELECT session_id, turn, 'entity' AS part, spot AS pos, concat(name, ' [', type, ']') AS line FROM seen WHERE spot <= 4
  UNION ALL SELECT * FROM (SELECT session_id, turn, 'edge', row_number() OVER (PARTITION BY session_id, turn ORDER BY spot, r)::INTEGER AS pos, concat(source, ' --[', relation, ']--> ', target, CASE WHEN weight <> 1.0 THEN concat(' [', weight, ']') ELSE '' END) FROM near) WHERE pos <= 6
  UNION ALL SELECT * FROM (SELECT session_id, turn, 'connected', row_number() OVER (PARTITION BY session_id, turn ORDER BY {_ORDER}, name)::INTEGER AS pos, concat(name, ' [', type, ']') FROM other JOIN entities USING (id) WHERE (session_id, turn, id) NOT IN (SELECT (session_id, turn, id) FROM seen) AND name NOT IN (FROM hubs) AND type NOT IN ({_in(R.HIDDEN_TYPES)}) AND coalesce(description, '') <> '') WHERE pos <= 4
- UNION ALL SELECT * FROM (SELECT session_id, turn, 'property', row_number() OVER (PARTITION BY session_id, turn ORDER BY spot, r)::INTEGER AS pos, concat(name, '.', key, ' = ', substr(value, 1, 150)) FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn, spot ORDER BY key) AS r FROM seen JOIN properties ON entity_id = id WHERE spot <= 4) WHERE r <= 3) WHERE pos <= 6""",
-    *G, extra=CONTEXT,
-)
+ UNION ALL SELECT * FROM (SELECT session_id, turn, 'property', row_number() OVER (PARTITION BY session_id, turn ORDER BY spot, r)::INTEGER AS pos, concat(name, '.', key, ' = ', substr(value, 1, 150)) FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn, spot ORDER BY key) AS r FROM seen JOIN properties ON entity_id = id WHERE spot <= 4) WHERE r <= 3) WHERE pos <= 6"""
+ORACLES["g10_recall_context"] = X.oracle(CONTEXT_ROWS, *G, extra=CONTEXT)
 
 
 def g11(s, d):
@@ -158,7 +156,36 @@ def g11(s, d):
     return R.session_dedup(g, R.recall_match(g, m, fuzzy=False), m)
 
 
+EMITTED = {
+    "lists": "SELECT session_id, turn, question, list(name ORDER BY rank, name) AS names, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS r FROM (SELECT m.session_id, m.turn, e.name, m.rank, " + QUESTION_SQL + """ AS question FROM matched m JOIN entities e ON lower(e.name) = m.name JOIN {talk} t ON t.session_id = m.session_id AND t.turn = m.turn
+ WHERE id NOT IN (SELECT entity_id FROM properties WHERE key = 'status' AND value = 'obsolete')) GROUP BY session_id, turn, question""",
+    "run": """SELECT DISTINCT session_id, 0::BIGINT AS r, turn * 0 AS turn, []::VARCHAR[] AS seen, false AS fired, []::VARCHAR[] AS emit, false AS before FROM lists WHERE r = 1
+ UNION ALL SELECT session_id, r, turn, list_concat(seen, emit[1:4]), fired OR len(emit) > 0, emit, fired FROM (SELECT l.session_id, l.r, l.turn, seen, fired, CASE WHEN len(list_filter(names, lambda x: NOT list_contains(seen, x))) > 0 THEN list_filter(names, lambda x: NOT list_contains(seen, x)) WHEN question THEN names ELSE []::VARCHAR[] END AS emit
+ FROM run JOIN lists l ON l.session_id = run.session_id AND l.r = run.r + 1)""",
+    "emitted": "SELECT session_id, turn, unnest(emit) AS name, unnest(range(1, len(emit) + 1))::INTEGER AS rank, NOT before AS first_fire FROM run WHERE len(emit) > 0",
+}
 QUERIES["g11_session_dedup"] = g11
+ORACLES["g11_session_dedup"] = X.oracle("FROM emitted", *G, extra={**STAGED, **{k: v.replace("{talk}", "messages") for k, v in EMITTED.items()}}).replace("WITH ", "WITH RECURSIVE ", 1)
 QUERIES["g12_assemble_payload"] = lambda s, d: R.recall(*_gm(s, d), fuzzy=False)
+_RECALLED = {
+    "open_": f"SELECT * FROM messages WHERE {skip_sql('text')} IS NULL",
+    **STAGED,
+    "said": f"SELECT session_id, turn, text, {CONTENT} AS words FROM open_",
+    **{k: v.replace("{talk}", "open_") for k, v in EMITTED.items()},
+    "shown": "SELECT session_id, turn, lower(name) AS name, rank FROM emitted",
+    **{k: v for k, v in CONTEXT.items() if k not in STAGED},
+    "hubs": "SELECT NULL::VARCHAR AS name WHERE false",
+    "context": CONTEXT_ROWS,
+    "fire": "SELECT session_id, turn, bool_or(first_fire) AS first FROM emitted GROUP BY ALL",
+}
+_RECALLED["seen"] = _RECALLED["seen"].replace("FROM matched m", "FROM shown m")
+_RECALLED["edge"] = _RECALLED["edge"].replace(" AND s.name NOT IN (FROM hubs)", "")
+_RECALLED["context"] = _RECALLED["context"].replace(" AND name NOT IN (FROM hubs)", "")
+ORACLES["g12_assemble_payload"] = X.oracle(
+    """SELECT session_id, turn, string_agg(concat('  ', line, CASE WHEN part = 'property' AND contains(line, '.doc = ') THEN concat(chr(10), '  [Deep context available: ', substr(line, position(' = ' IN line) + 3), ']') ELSE '' END), chr(10)
+ ORDER BY CASE part WHEN 'entity' THEN 0 WHEN 'connected' THEN 1 WHEN 'edge' THEN 2 ELSE 3 END, pos) AS payload FROM context JOIN fire USING (session_id, turn)
+ WHERE pos <= CASE WHEN part = 'entity' THEN 4 WHEN first THEN CASE WHEN part = 'connected' THEN 4 ELSE 6 END WHEN part = 'connected' THEN 2 ELSE 3 END GROUP BY session_id, turn""",
+    *G, extra=_RECALLED,
+).replace("WITH ", "WITH RECURSIVE ", 1)
 QUERIES["g13_phrase_blacklist"] = lambda s, d: R.phrase_blacklist(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.concat_ws(" ", "event_type", F.col("user_id") % 7).alias("phrase")))
 ORACLES["g13_phrase_blacklist"] = "SELECT phrase, min(event_id) AS pos FROM (SELECT event_id, concat(event_type, ' ', user_id % 7) AS phrase FROM events ORDER BY event_id DESC LIMIT 50) GROUP BY phrase ORDER BY pos DESC LIMIT 20"

@@ -10,7 +10,7 @@ from ..operators import ledger as L
 from ..sources import interchange, logs, transcripts
 from ..tables import written
 from .graph import NAMED
-from .texts import gate_lines
+from .texts import gate_lines, mixed_lines
 
 QUERIES, ORACLES = {}, {}
 NOW = 1706659200.0  # 2024-01-31
@@ -23,7 +23,7 @@ def _t(s, d, name):
 
 def _lines(s, d):
     """Lines of both dialects, some of them broken or blank."""
-    rows = gate_lines(s, d, 0).unionByName(gate_lines(s, d, 1))
+    rows = mixed_lines(s, d)
     return rows.withColumn("line", F.when(F.col("seq") % 7 == 0, F.concat("line", F.lit("}{"))).when(F.col("seq") % 11 == 0, "  ").otherwise(F.col("line")))
 
 
@@ -32,22 +32,33 @@ _KEPT = "SELECT (conv_id // 20)::BIGINT AS session_id, conv_id * 1000 + turn AS
 ORACLES["a2_read_jsonl_lenient"] = f"SELECT session_id, count(*) AS n, sum(seq)::BIGINT AS total FROM ({_KEPT}) WHERE seq % 7 <> 0 AND seq % 11 <> 0 GROUP BY session_id"
 QUERIES["a2_rejected_lines"] = lambda s, d: transcripts.read_jsonl_lenient(_lines(s, d))[1].groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 ORACLES["a2_rejected_lines"] = f"SELECT session_id, count(*) AS n FROM ({_KEPT}) WHERE seq % 7 = 0 GROUP BY session_id"
-QUERIES["a3_canonical_events"] = lambda s, d: transcripts.canonical_events(gate_lines(s, d, 0).unionByName(gate_lines(s, d, 1))).select("session_id", "seq", "role", "agent", "text", F.array_join("tools", ",").alias("tools"))
+QUERIES["a3_canonical_events"] = lambda s, d: transcripts.canonical_events(mixed_lines(s, d)).select("session_id", "seq", "role", "agent", "text", F.array_join("tools", ",").alias("tools"))
 ORACLES["a3_canonical_events"] = f"""SELECT session_id, seq, CASE WHEN used THEN 'assistant' ELSE role END AS role, CASE WHEN conv_id % 2 = 0 THEN 'claude' ELSE 'cursor' END AS agent,
  CASE WHEN used THEN '' ELSE concat(['shipped', 'fixed', 'looked at', 'decided'][conv_id % 4 + 1], ' ', text) END AS text, CASE WHEN used THEN CASE WHEN conv_id % 3 = 0 THEN 'Edit' ELSE 'Read' END ELSE '' END AS tools FROM (SELECT *, turn % 3 = 2 AND role <> 'user' AS used FROM ({_KEPT}))"""
 
 
 def a1(s, d):
-    """Session files written from the talk, scanned again and read line by line."""
-    rows = written(gate_lines(s, d, 0), "talk")
-    folder = rows.inputFiles()[0].rsplit("/", 1)[0] + "-files"
-    rows.select(F.col("line").alias("value")).write.option("lineSep", "\n").text(folder)
-    found = s.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").format("binaryFile").load(folder).where("length > 0")
-    return found.agg(F.sum(F.size(F.split(F.col("content").cast("string"), "\n")) - 1).cast("long").alias("lines"))
+    """Session files written from the talk, one folder a dialect; an empty file and another kind of file lie beside them."""
+    folder = written(s.range(1), "talk").inputFiles()[0].rsplit("/", 1)[0] + "-files"
+    rows = gate_lines(s, d, 0).select(F.lit("first").alias("kind"), "line").unionByName(gate_lines(s, d, 1).select(F.lit("second").alias("kind"), "line"))
+    rows.write.partitionBy("kind").option("lineSep", "\n").format("text").save(f"{folder}/parts")
+    fs = s._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(s._jsc.hadoopConfiguration())
+    for status in fs.globStatus(s._jvm.org.apache.hadoop.fs.Path(f"{folder}/parts/kind=*/part-*.txt")):
+        at = status.getPath().toString()
+        fs.rename(status.getPath(), s._jvm.org.apache.hadoop.fs.Path(at.removesuffix(".txt") + ".jsonl"))
+    fs.create(s._jvm.org.apache.hadoop.fs.Path(f"{folder}/empty.jsonl")).close()
+    out = fs.create(s._jvm.org.apache.hadoop.fs.Path(f"{folder}/notes.md"))
+    out.write(120)
+    out.close()
+    found = transcripts.scan_sessions(s, folder)
+    lines = transcripts.read_lines(s, folder).join(found.select(F.col("path").alias("file")), "file", "left_semi")
+    sized = found.agg(F.every(F.col("size") > 0).alias("sized"))
+    late = transcripts.scan_sessions(s, folder, "2100-01-01T00:00:00").count() + transcripts.scan_sessions(s, folder + "-none").count()
+    return lines.agg(F.count(F.lit(1)).alias("lines")).crossJoin(sized).withColumn("late_or_missing", F.lit(late).cast("long"))
 
 
 QUERIES["a1_scan_sessions"] = a1
-ORACLES["a1_scan_sessions"] = "SELECT count(*) AS lines FROM conversations WHERE conv_id % 2 = 0"
+ORACLES["a1_scan_sessions"] = "SELECT 2 * count(*) AS lines, true AS sized, 0::BIGINT AS late_or_missing FROM conversations"
 
 
 def _log_lines(s, d):
@@ -67,15 +78,16 @@ ORACLES["a4_parse_worklog"] = "SELECT user_id::VARCHAR AS file, strftime(ts, '%Y
 
 
 def _blocks(s, d):
-    docs = _t(s, d, "documents").groupBy(F.col("source").alias("file")).agg(F.array_join(F.concat(F.array(F.lit("# Work Log\n\nHead")), F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.substring("text", 1, 200).alias("t")))), lambda x: x["t"])), "\n---\n").alias("text"))
-    return logs.worklog_blocks(docs)
+    """A work log for each document, each line of its text a block."""
+    return logs.worklog_blocks(_t(s, d, "documents").select(F.col("doc_id").alias("file"), F.concat(F.lit("# Work Log\n\nHead\n---\n"), F.regexp_replace("text", "\n", "\n---\n")).alias("text")))
 
 
-_BLOCKS = "SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS block_no, regexp_replace(substr(text, 1, 200), '^\\s+|\\s+$', '', 'g') AS block FROM documents"
+_BLOCKS = """SELECT file, block_no, block FROM (SELECT doc_id AS file, unnest(range(1, len(ls) + 1))::INTEGER AS block_no, trim(regexp_replace(unnest(ls), '^\\s+|\\s+$', '', 'g'), ' ') AS block
+ FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE block <> '' AND NOT starts_with(block, '# Work Log')"""
 QUERIES["a5_last_blocks"] = lambda s, d: logs.last_blocks(_blocks(s, d), 3)
 ORACLES["a5_last_blocks"] = f"SELECT file, block_no, block FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY block_no DESC) AS r FROM ({_BLOCKS})) WHERE r <= 3"
-QUERIES["a5_blocks_with"] = lambda s, d: logs.blocks_with(_blocks(s, d), _t(s, d, "documents").select(F.substring("text", 1, 4).alias("term")).distinct(), 5)
-ORACLES["a5_blocks_with"] = f"SELECT term, file, block_no FROM (SELECT term, file, block_no, row_number() OVER (PARTITION BY term, file ORDER BY block_no DESC) AS r FROM ({_BLOCKS}) JOIN (SELECT DISTINCT substr(text, 1, 4) AS term FROM documents) ON contains(lower(block), lower(term))) WHERE r <= 5"
+QUERIES["a5_blocks_with"] = lambda s, d: logs.blocks_with(_blocks(s, d), _t(s, d, "benchmark").select(F.explode(F.split("text", " ")).alias("term")).where("term <> ''").distinct(), 5)
+ORACLES["a5_blocks_with"] = f"SELECT term, file, block_no FROM (SELECT term, file, block_no, row_number() OVER (PARTITION BY term, file ORDER BY block_no DESC) AS r FROM ({_BLOCKS}) JOIN (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark) ON term <> '' AND contains(lower(block), lower(term))) WHERE r <= 5"
 QUERIES["a6_parse_audit_log"] = lambda s, d: logs.parse_audit_log(_t(s, d, "events").select(F.col("event_id").alias("pos"), F.concat_ws(" | ", F.date_format("ts", "yyyy-MM-dd"), "event_type", "props").alias("line")))
 ORACLES["a6_parse_audit_log"] = "SELECT date, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS files FROM (SELECT strftime(ts, '%Y-%m-%d') AS date, event_type FROM events ORDER BY event_id DESC LIMIT 40) GROUP BY date ORDER BY date DESC LIMIT 7"
 QUERIES["a7_parse_drain_log"] = lambda s, d: logs.parse_drain_log(_t(s, d, "events").select(F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] "), "event_type", F.lit(" user="), "user_id", F.lit(" value="), F.col("event_id"), F.lit(" done")).alias("line"))).groupBy(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "verb", F.col("attrs")["user"].alias("user"), F.col("attrs")["value"].alias("value")).count()
@@ -126,29 +138,46 @@ def _sessions(s, d):
 
 
 QUERIES["i1_extract_projects"] = lambda s, d: E.extract_projects(_sessions(s, d))
-ORACLES["i1_extract_projects"] = "SELECT doc_id AS session_id, source AS project FROM documents"
+_SESSION = """SELECT doc_id AS session_id, doc_id % 5 AS user_turns, concat(coalesce(text, ''), chr(10), 'cd /workspaces/coding/', source, '/x and /workspaces/coding/dist/y; git checkout -b ', lang, '/b1', chr(10), 'npm install --save-dev pkg-', lang, chr(10), 'Error: the thing number ', doc_id, ' has gone wrong', chr(10),
+ 'error: file not found at all anywhere', chr(10), '## Investigation: Topic ', lang, chr(10), '**Framework:** Deep', chr(10), '## Research: Depth ', source, chr(10), '**Depth:** Quick Look | x', chr(10)) AS text FROM documents"""
+_FOUND = lambda p, c: f"SELECT DISTINCT session_id, unnest(regexp_extract_all(text, '{p}', 1)) AS {c} FROM ({_SESSION})"
+_PROJECTS = f"SELECT session_id, project FROM ({_FOUND('(?:' + '|'.join(E.ROOTS) + ')/([a-zA-Z0-9_-]+)', 'project')}) WHERE project NOT IN ('node_modules', '.git', 'dist', 'build', '__pycache__', '.next')"
+ORACLES["i1_extract_projects"] = _PROJECTS
 QUERIES["i2_extract_git_branches"] = lambda s, d: E.extract_git_branches(_sessions(s, d))
-ORACLES["i2_extract_git_branches"] = "SELECT doc_id AS session_id, concat(lang, '/b1') AS branch FROM documents"
+ORACLES["i2_extract_git_branches"] = _FOUND(r"git (?:checkout|switch|branch)\s+(?:-[bB]\s+)?([a-zA-Z0-9/_.-]+)", "branch") + " UNION " + _FOUND(r"On branch ([a-zA-Z0-9/_.-]+)", "branch")
 QUERIES["i3_extract_packages"] = lambda s, d: E.extract_packages(_sessions(s, d))
-ORACLES["i3_extract_packages"] = "SELECT doc_id AS session_id, concat('pkg-', lang) AS package FROM documents"
+_PACKAGES = f"SELECT session_id, package FROM ({_FOUND(E.INSTALL, 'package')}) WHERE NOT starts_with(package, '-')"
+ORACLES["i3_extract_packages"] = _PACKAGES
 QUERIES["i4_extract_errors"] = lambda s, d: E.extract_errors(_sessions(s, d))
-ORACLES["i4_extract_errors"] = "SELECT doc_id AS session_id, 0 AS pos, concat('the thing number ', doc_id, ' has gone wrong') AS error FROM documents"
+ORACLES["i4_extract_errors"] = f"""SELECT session_id, unnest(range(0, len(es)))::INTEGER AS pos, unnest(es) AS error FROM (SELECT session_id, list_filter(list_transform(regexp_extract_all(text, '(?:Error|ERROR|error):\\s*(.{{20,100}})', 1), lambda x: trim(x, ' ')), lambda e: e <> '' AND NOT regexp_matches(lower(e), 'enoent|no such file|not found'))[1:3] AS es FROM ({_SESSION}))"""
 QUERIES["i5_extract_research"] = lambda s, d: E.extract_research(_sessions(s, d), X.AS_OF)
-ORACLES["i5_extract_research"] = "SELECT doc_id AS session_id, concat('Topic ', lang) AS topic, 'deep' AS framework, NULL::VARCHAR AS depth, concat('research-2024-01-31-topic-', lang) AS slug FROM documents UNION ALL SELECT doc_id, concat('Depth ', source), 'unknown', 'quick look', concat('research-2024-01-31-depth-', source) FROM documents"
+_TOPICS = lambda p, c: f"SELECT session_id, trim(topic, ' ') AS topic, min(lower(trim(what, ' '))) AS {c} FROM (SELECT session_id, unnest(regexp_extract_all(text, '{p}', 1)) AS topic, unnest(regexp_extract_all(text, '{p}', 2)) AS what FROM s) GROUP BY session_id, trim(topic, ' ')"
+_RESEARCH = {
+    "inv": _TOPICS(r"## Investigation: (.+?)\n\*\*Framework:\*\* (\w+)", "framework"),
+    "res": _TOPICS(r"## Research: (.+?)\n\*\*Depth:\*\* ([^|*\n]+?)(?:\s*\||\s*\n)", "depth"),
+    "research": """SELECT *, concat('research-2024-01-31-', regexp_replace(trim(substr(regexp_replace(lower(trim(topic, ' ')), '[^a-z0-9-]', '-', 'g'), 1, 50), '-'), '-+', '-', 'g')) AS slug
+ FROM (SELECT session_id, topic, framework, NULL::VARCHAR AS depth FROM inv UNION ALL SELECT session_id, topic, 'unknown', depth FROM res ANTI JOIN inv USING (session_id, topic))""",
+}
+ORACLES["i5_extract_research"] = X.oracle("SELECT session_id, topic, framework, depth, slug FROM research", extra={"s": _SESSION, **_RESEARCH})
 
 
 def i6(s, d):
-    g = E.session_to_graph(X.graph(s, d), _sessions(s, d), X.AS_OF, _t(s, d, "labels").select(F.col("doc_id").alias("session_id")))
+    g = X.graph(s, d)
+    user = g.entities.limit(1).select(F.lit(1).cast("long").alias("id"), F.lit("user").alias("name"), F.lit("user").alias("type"), F.lit(None).cast("string").alias("description"), "created", "updated", "last_referenced")
+    g = E.session_to_graph(g.with_(entities=g.entities.unionByName(user)), _sessions(s, d), X.AS_OF, _t(s, d, "labels").select(F.col("doc_id").alias("session_id")))
     names = g.entities.select("id", "name", "type")
     edges = g.named_edges().where("relation IN ('uses-package', 'works-on', 'researched')").select(F.col("source").alias("a"), F.col("relation").alias("b"), F.col("target").alias("c"))
-    facts = g.properties.where("key IN ('framework', 'depth', 'source-agent', 'date')").join(names, F.col("entity_id") == F.col("id")).select(F.col("name").alias("a"), F.col("key").alias("b"), F.col("value").alias("c"))
+    facts = g.properties.where("key IN ('framework', 'depth', 'source-agent', 'date') OR (key = 'last-worked' AND entity_id > 4999999)").join(names, F.col("entity_id") == F.col("id")).select(F.col("name").alias("a"), F.col("key").alias("b"), F.col("value").alias("c"))
     return edges.unionByName(facts)
 
 
 QUERIES["i6_session_to_graph"] = i6
-ORACLES["i6_session_to_graph"] = """WITH s AS (SELECT * FROM documents WHERE doc_id % 5 >= 3 AND doc_id NOT IN (SELECT doc_id FROM labels)), r AS (SELECT DISTINCT concat('research-2024-01-31-topic-', lang) AS n, 'deep' AS f, NULL AS d FROM s UNION SELECT DISTINCT concat('research-2024-01-31-depth-', source), 'unknown', 'quick look' FROM s)
-SELECT DISTINCT source AS a, 'uses-package' AS b, concat('pkg-', lang) AS c FROM s UNION ALL SELECT n, 'framework', f FROM r UNION ALL SELECT n, 'depth', d FROM r WHERE d IS NOT NULL UNION ALL SELECT n, 'date', '2024-01-31' FROM r
-UNION ALL SELECT n, 'source-agent', 'claude' FROM (SELECT n FROM r UNION SELECT DISTINCT source FROM s UNION SELECT DISTINCT concat('pkg-', lang) FROM s)"""
+ORACLES["i6_session_to_graph"] = X.oracle(
+    """SELECT DISTINCT 'user' AS a, 'works-on' AS b, project AS c FROM p UNION ALL SELECT DISTINCT 'user', 'researched', slug FROM research UNION ALL SELECT DISTINCT last, 'uses-package', package FROM k JOIN (SELECT session_id, max(project) AS last FROM p GROUP BY session_id) USING (session_id)
+ UNION ALL SELECT DISTINCT project, 'last-worked', '2024-01-31' FROM p UNION ALL SELECT DISTINCT slug, 'framework', framework FROM research UNION ALL SELECT DISTINCT slug, 'depth', depth FROM research WHERE depth IS NOT NULL UNION ALL SELECT DISTINCT slug, 'date', '2024-01-31' FROM research
+ UNION ALL SELECT n, 'source-agent', 'claude' FROM (SELECT slug AS n FROM research UNION SELECT project FROM p UNION SELECT package FROM k)""",
+    extra={"s": f"SELECT session_id, right(text, 50000) AS text FROM ({_SESSION}) WHERE user_turns >= 3 AND session_id NOT IN (SELECT doc_id FROM labels)", "p": _PROJECTS.replace(f"({_SESSION})", "s"), "k": _PACKAGES.replace(f"({_SESSION})", "s"), **_RESEARCH},
+)
 QUERIES["i7_mirror_drift"] = lambda s, d: E.mirror_drift(X.graph(s, d), _t(s, d, "documents"))
 ORACLES["i7_mirror_drift"] = X.oracle("SELECT e AS entities, n AS notes, abs(e - n) AS difference, abs(e - n) > 5 OR abs(e - n) > e * 0.03 AS stale FROM (SELECT (SELECT count(*) FROM entities) AS e, (SELECT count(*) FROM documents) AS n)", "entities")
 
@@ -163,7 +192,7 @@ def _files(s, d):
 QUERIES["j2_prepare_chunks"] = lambda s, d: E.prepare_chunks(_files(s, d), 100)
 ORACLES["j2_prepare_chunks"] = "SELECT doc_id::VARCHAR AS file, i::INTEGER AS chunk_no, substr(text, i * 400 + 1, 400) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil(length(text) / 400.0)::BIGINT))) AS i FROM documents)"
 QUERIES["j3_extract_candidates"] = lambda s, d: E.extract_candidates(_sessions(s, d).select(F.col("session_id").cast("string").alias("file"), F.lit(0).alias("chunk_no"), F.col("text").alias("chunk"))).select("kind", "source_file", "name", "type")
-ORACLES["j3_extract_candidates"] = "SELECT 'entity' AS kind, doc_id::VARCHAR AS source_file, source AS name, 'project' AS type FROM documents UNION ALL SELECT 'entity', doc_id::VARCHAR, concat('pkg-', lang), 'package' FROM documents"
+ORACLES["j3_extract_candidates"] = f"SELECT 'entity' AS kind, session_id::VARCHAR AS source_file, project AS name, 'project' AS type FROM ({_PROJECTS}) UNION ALL SELECT 'entity', session_id::VARCHAR, package, 'package' FROM ({_PACKAGES})"
 
 
 def _mixed(s, d):
@@ -188,7 +217,7 @@ def k1(s, d):
 
 
 QUERIES["k1_compact_events"] = k1
-ORACLES["k1_compact_events"] = f"SELECT session_id, seq, CASE WHEN used THEN 'tool_use' ELSE 'text' END AS first, CASE WHEN NOT used THEN length(concat(['shipped', 'fixed', 'looked at', 'decided'][conv_id % 4 + 1], ' ', text))::INTEGER END AS n FROM (SELECT *, turn % 3 = 2 AND role <> 'user' AS used FROM ({_KEPT})) WHERE conv_id % 2 = 0 AND seq % 5 <> 0"
+ORACLES["k1_compact_events"] = f"SELECT session_id, seq, CASE WHEN used THEN 'tool_use' ELSE 'text' END AS first, CASE WHEN NOT used THEN length(concat(['shipped', 'fixed', 'looked at', 'decided'][conv_id % 4 + 1], ' ', text))::INTEGER END AS n FROM (SELECT *, turn % 3 = 2 AND role <> 'user' AS used FROM ({_KEPT})) WHERE seq % 5 <> 0"
 
 
 def _cut(s, d):

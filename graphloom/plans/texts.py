@@ -10,8 +10,8 @@ _VERBS = "array('shipped', 'fixed', 'looked at', 'decided')"
 
 
 def gate_lines(spark: SparkSession, d: str, dialect: int) -> DataFrame:
-    """(session_id, seq, line) of the sessions whose id has the dialect's parity; ten sessions of talk are one here."""
-    talk = spark.read.parquet(f"{d}/conversations.parquet").where(F.col("conv_id") % 2 == dialect)
+    """(session_id, seq, line) of all conversations in a dialect; twenty conversations are one session here."""
+    talk = spark.read.parquet(f"{d}/conversations.parquet")
     seq = (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")
     text = F.concat(F.element_at(F.expr(_VERBS), (F.col("conv_id") % 4 + 1).cast("int")), F.lit(" "), "text")
     block = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
@@ -26,10 +26,16 @@ def gate_lines(spark: SparkSession, d: str, dialect: int) -> DataFrame:
     return talk.select((F.col("conv_id") / 20).cast("long").alias("session_id"), seq, line.alias("line"))
 
 
+def mixed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same, even conversations in the first dialect and odd ones in the second."""
+    own = lambda k: gate_lines(spark, d, k).where(F.floor(F.col("seq") / 1000) % 2 == k)
+    return own(0).unionByName(own(1))
+
+
 #: The same rows: role, tool and line.
 GATE_LINES_SQL = """SELECT (conv_id // 20)::BIGINT AS session_id, conv_id * 1000 + turn AS seq,
  CASE WHEN turn % 3 = 2 AND role <> 'user' THEN 'assistant' ELSE role END AS role,
  CASE WHEN turn % 3 = 2 AND role <> 'user' THEN CASE WHEN conv_id % 3 = 0 THEN 'Edit' ELSE 'Read' END END AS tool,
  CASE WHEN turn % 3 = 2 AND role <> 'user' THEN concat('"', CASE WHEN conv_id % 3 = 0 THEN 'Edit' ELSE 'Read' END, '" ', repeat('x', 60))
  ELSE concat(['shipped', 'fixed', 'looked at', 'decided'][conv_id % 4 + 1], ' ', text) END AS line
- FROM conversations WHERE conv_id % 2 = {dialect}"""
+ FROM conversations"""
