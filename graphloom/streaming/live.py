@@ -14,6 +14,13 @@ from ..operators.lessons import SEVERITIES
 DAY_MS = 24 * 3600 * 1000
 
 
+def _until(state: GroupState, times: pd.Series) -> None:
+    """Keep a session for 24 hours after its last event."""
+    last = times.max()
+    now = 0 if pd.isna(last) else int(pd.Timestamp(last).timestamp() * 1000)
+    state.setTimeoutTimestamp(max(now, state.getCurrentWatermarkMs()) + DAY_MS)
+
+
 def activate_stream_first(candidates: DataFrame, keep: str = "24 hours") -> DataFrame:
     """H8 without the cap: each lesson once a session within the watermark; candidates come from a stream-static join."""
     return candidates.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["session_id", "lesson"])
@@ -22,7 +29,8 @@ def activate_stream_first(candidates: DataFrame, keep: str = "24 hours") -> Data
 def activate_stream(candidates: DataFrame, cap: int = 2) -> DataFrame:
     """H8: by severity, at most `cap` an event and each lesson once a session; a session is forgotten after 24 hours.
 
-    Events of a micro-batch are taken in time order; state is the lessons that the session has fired.
+    Events of a micro-batch are taken in time order; state is the lessons that the session has fired. Time is that of the
+    events: a session ends when the watermark, 24 hours behind the latest event, has passed its last event by 24 hours.
     """
     columns = ["event_id", "ts", "lesson", "severity", "pattern"]
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
@@ -41,11 +49,11 @@ def activate_stream(candidates: DataFrame, cap: int = 2) -> DataFrame:
             fired.update(fresh.lesson)
             out.append(fresh)
         state.update((sorted(fired),))
-        state.setTimeoutDuration(DAY_MS)
+        _until(state, rows.ts)
         found = pd.concat(out)
         yield found.assign(session_id=key[0])[["session_id", *columns]]
 
-    return candidates.groupBy("session_id").applyInPandasWithState(run, schema, "fired array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return candidates.withWatermark("ts", "24 hours").groupBy("session_id").applyInPandasWithState(run, schema, "fired array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recall_stream(matches: DataFrame, emit_cap: int = 4) -> DataFrame:
@@ -60,7 +68,8 @@ def recall_stream(matches: DataFrame, emit_cap: int = 4) -> DataFrame:
         seen = set(state.get[0]) if state.exists else set()
         fired = bool(state.exists and state.get[1])
         out = []
-        for r in pd.concat(list(batches)).sort_values("turn").itertuples(index=False):
+        rows = pd.concat(list(batches)).sort_values("turn")
+        for r in rows.itertuples(index=False):
             names = list(r.names)
             fresh = [n for n in names if n not in seen]
             if names and (fresh or r.question):
@@ -69,10 +78,10 @@ def recall_stream(matches: DataFrame, emit_cap: int = 4) -> DataFrame:
                 fired = True
                 seen.update(emit[:emit_cap])
         state.update((sorted(seen), fired))
-        state.setTimeoutDuration(DAY_MS)
+        _until(state, rows.ts)
         yield pd.DataFrame(out, columns=["session_id", "turn", "name", "rank", "first_fire"])
 
-    return matches.groupBy("session_id").applyInPandasWithState(run, schema, "seen array<string>, fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return matches.withWatermark("ts", "24 hours").groupBy("session_id").applyInPandasWithState(run, schema, "seen array<string>, fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def process_sessions(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None]):
