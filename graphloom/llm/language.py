@@ -7,24 +7,23 @@ are learned as in code-switched text. Prediction runs forward-backward over whol
 matrices, those are chained, then every word gets its posterior. A text's language has the largest mean posterior over
 its words with letters. The fit uses at most `sample` labelled documents, chosen by a hash of their id.
 
-Defined results: a null text or one without letters is `und` with score 0; without labelled rows every text is; repeated
-rows are judged each; a null doc_id counts as the text 'None' when rows are split.
+Defined results: a null text or one without letters is `und` with score 0; without labelled rows every text is; of
+languages on a tie the first by name is predicted; texts of any length are read whole; repeated rows are judged each; a
+null doc_id counts as the text 'None' when rows are split; an empty table gives an empty result. Other columns are not
+read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binaries, hash_words, text_batches
+from .common import binaries, hash_words, some_rows, text_batches
 
 GRAMS, SLOTS, STEP, PIECE = (1, 2, 3, 4), 1 << 16, 64, 128
-LETTER = re.compile(r"[^\W\d_]")
 _MUL = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 
@@ -61,7 +60,8 @@ def distinct(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def has_letter(words: list[bytes]) -> np.ndarray:
-    return np.array([LETTER.search(w.decode()) is not None for w in words], bool)
+    """Whether a word has a character of Unicode category L."""
+    return np.array([w.isalpha() or any(map(str.isalpha, w.decode())) for w in words], bool)
 
 
 def emissions(words: list[bytes], weights: np.ndarray, letters: np.ndarray) -> np.ndarray:
@@ -183,7 +183,8 @@ def held(doc_id, folds: int):
 
 def train(docs: DataFrame, folds: int, sample: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, emission weights and transitions, from at most `sample` labelled documents outside the held-out fold."""
-    rows = docs.where(~held(F.col("doc_id"), folds) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample).collect()
+    rows = docs.where(~held(F.col("doc_id"), folds) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
+    rows = some_rows(rows, sample, "doc_id", "text").collect()  # bounded by `sample`
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return [], np.zeros((0, 0)), np.zeros((0, 0))
