@@ -22,10 +22,10 @@ from graphloom.llm.toxicity import drop_toxic
 def _changed(docs: DataFrame, out: DataFrame) -> DataFrame:
     """The columns of docs, with the text that is left."""
     cut = F.col("n_removed") > 0
-    out = out.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    own = {c: F.col("carried").getField(c) for c in _others(docs)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return out.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[own[c].alias(c) for c in docs.columns])
 
 
 def _others(docs: DataFrame) -> list[str]:
@@ -37,7 +37,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _changed(docs, line_dedup(docs, fewest=1, carry=_others(docs)))
+    return _changed(docs, line_dedup(docs, carry=_others(docs)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

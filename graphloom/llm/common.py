@@ -6,6 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+import weakref
 import zlib
 
 import numpy as np
@@ -39,12 +40,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_paths: dict[int, str] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut and lost executors cost nothing."""
     spark = tuned(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in written:
+        path = _paths.pop(id(df), None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def carried(docs: DataFrame, carry: list[str] | None) -> tuple[DataFrame, list]:
+    """doc_id, text and, with `carry`, a struct `carried` of those columns, so that no name can clash; and its field."""
+    if carry is None:
+        return docs.select("doc_id", "text"), []
+    docs = docs.select("doc_id", "text", (F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))).alias("carried"))
+    return docs, [docs.schema["carried"]]
 
 
 def some_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:

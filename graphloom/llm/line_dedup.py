@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binaries, hash_words, materialize, mix, text_batches
+from .common import binaries, carried, discard, documents, hash_words, materialize, mix, text_batches
 from .ngram_join import signatures
 from .setjoin import Rarity, Threshold, count_tokens, maybe, segments_sorted, similar
 
@@ -116,6 +116,7 @@ def repeated_lines(docs: DataFrame, least: Fraction, fewest: int) -> DataFrame:
     later = linked.select(F.col("b").alias("id")).distinct().withColumn("later", F.lit(True))
     judged = classes.select("id", "copies", F.col("proof").alias("own"), F.struct("doc", "line").alias("e")).join(later, "id", "left").where("later OR copies > 1")
     judged = materialize(judged, "line-judged")
+    discard(linked, classes)
     heavy = F.broadcast(judged.where(F.col("copies") >= max(2, -(-rows.count() // HEAVY))))  # at most HEAVY classes
     lines = rows.select("doc_id", "text_hash", "line", "id", "proof")
     here = F.struct(F.col("doc_id").cast("long").alias("doc"), "line")
@@ -125,10 +126,10 @@ def repeated_lines(docs: DataFrame, least: Fraction, fewest: int) -> DataFrame:
     return common.unionByName(rare).groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, least: Fraction = Fraction(80, 100), fewest: int = 5, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, kept_sha256; with `carry` also those columns and the kept text."""
+def line_dedup(docs: DataFrame, least: Fraction = Fraction(80, 100), fewest: int = 1, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_removed, kept_sha256; with `carry` also the struct `carried` of those columns and the kept text."""
+    docs, others = carried(docs, carry)
     gone = repeated_lines(docs.select("doc_id", "text"), least, fewest)
-    others = [f for f in docs.schema.fields if f.name in (carry or [])]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *([*others, T.StructField("text", T.StringType())] if carry is not None else [])])
 
     def run(batches):
@@ -146,4 +147,4 @@ def line_dedup(docs: DataFrame, least: Fraction = Fraction(80, 100), fewest: int
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), fewest=1)
+    return line_dedup(documents(spark, sf_dir))

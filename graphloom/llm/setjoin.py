@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, distinct_sorted, gathered, materialize, mix, pack, unpack
+from .common import buckets, discard, distinct_sorted, gathered, materialize, mix, pack, unpack
 
 BITS, LEVELS = 48, 4
 LOW = np.uint64((1 << BITS) - 1)
@@ -101,27 +101,28 @@ class Threshold:
 
 
 class Tree:
-    """R-tree over count vectors, packed by size and then by vector."""
+    """R-tree over (key, size, count vector), packed in that order; a box holds the range of keys and sizes and the largest counts."""
 
     FAN = 16
 
-    def __init__(self, vectors: np.ndarray, n: np.ndarray):
-        self.by = np.lexsort((*vectors.T[:3], n))
-        top, low, high = vectors[self.by], n[self.by], n[self.by]
-        self.levels = [(top, low, high)]
-        while len(top) > self.FAN:
-            at = np.arange(0, len(top), self.FAN)
-            top, low, high = np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            self.levels.append((top, low, high))
-
-    def search(self, q: np.ndarray, n: np.ndarray, t: Threshold):
-        """Pairs (query, row) with n[row] <= n[query] that the summed coordinate minima allow."""
-        a, b = np.divmod(np.arange(len(q) * len(self.levels[-1][0])), max(1, len(self.levels[-1][0])))
+    def __init__(self, key: np.ndarray, n: np.ndarray, vectors: np.ndarray):
+        self.by = np.lexsort((*vectors.T[:2], n, key))
+        box = [key[self.by], key[self.by], n[self.by], n[self.by], vectors[self.by]]
+        self.levels = [box]
+        while len(box[0]) > self.FAN:
+            at = np.arange(0, len(box[0]), self.FAN)
+            box = [f.reduceat(x, at, axis=0) for f, x in zip((np.minimum, np.maximum, np.minimum, np.maximum, np.maximum), box, strict=True)]
+            self.levels.append(box)
+
+    def search(self, key: np.ndarray, n: np.ndarray, q: np.ndarray, t: Threshold):
+        """Pairs (query, row) of the same key with n[row] <= n[query] that the summed coordinate minima allow."""
+        top = len(self.levels[-1][0])
+        a, b = np.repeat(np.arange(len(q)), top), np.tile(np.arange(top), len(q))
         for depth in range(len(self.levels) - 1, -1, -1):
-            top, low, high = self.levels[depth]
-            ok = (low[b] <= n[a]) & (t.longest(high[b]) >= n[a])
+            first, last, low, high, most = self.levels[depth]
+            ok = (first[b] <= key[a]) & (key[a] <= last[b]) & (low[b] <= n[a]) & (t.longest(high[b]) >= n[a])
             a, b = a[ok], b[ok]
-            ok = np.concatenate([np.minimum(q[a[i : i + 65536]], top[b[i : i + 65536]]).sum(1, dtype=np.int64) >= t.need(n[a[i : i + 65536]] + low[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+            ok = np.concatenate([np.minimum(q[a[i : i + 65536]], most[b[i : i + 65536]]).sum(1, dtype=np.int64) >= t.need(n[a[i : i + 65536]] + low[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
             a, b = a[ok], b[ok]
             if depth:
                 size = len(self.levels[depth - 1][0])
@@ -134,14 +135,14 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint64(1))), len(key)) if len(key) else np.zeros(1, np.int64)
 
 
-def passing_pairs(key: np.ndarray, place: np.ndarray, n: np.ndarray, t: Threshold, extra, tree_over: int = 0, vectors: np.ndarray | None = None, limit: int = 1 << 20):
+def passing_pairs(key: np.ndarray, place: np.ndarray, n: np.ndarray, t: Threshold, extra, vectors: np.ndarray | None = None, limit: int = 1 << 20):
     """Blocks of (longer row, shorter row) that share a key and pass all filters; rows are sorted by key and size.
 
-    extra(i, j) is one more exact filter. Groups above `tree_over` rows are searched through an R-tree.
+    extra(i, j) is one more exact filter. With count vectors, pairs come from an R-tree; without, from the rows of a key
+    that their sizes allow.
     """
     starts = _runs(key)
-    size = np.diff(starts)
-    group = np.repeat(np.arange(len(size)), size)
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     filed = place < t.index(n)
 
     def keep(i, j):
@@ -152,21 +153,18 @@ def passing_pairs(key: np.ndarray, place: np.ndarray, n: np.ndarray, t: Threshol
         ok = extra(i, j)
         return j[ok], i[ok]
 
-    big = np.flatnonzero(size > tree_over) if vectors is not None else []
-    for g in big:
-        rows = np.arange(starts[g], starts[g + 1])
-        tree = Tree(vectors[rows], n[rows])
-        step = max(1, limit // max(1, len(rows)))
-        for at in range(0, len(rows), step):
-            some = rows[at : at + step]
-            a, b = tree.search(vectors[some], n[some], t)
-            j, i = some[a], rows[b]
-            ok = i < j
-            yield keep(i[ok], j[ok])
-    small = np.ones(len(key), bool)
-    for g in big:
-        small[starts[g] : starts[g + 1]] = False
-    first = np.flatnonzero(small & filed)
+    if vectors is not None:
+        shared = np.flatnonzero(np.diff(starts)[group] > 1) if len(key) else group
+        if len(shared):
+            tree = Tree(key[shared], n[shared], vectors[shared])
+            for at in range(0, len(shared), 4096):
+                some = shared[at : at + 4096]
+                a, b = tree.search(key[some], n[some], vectors[some], t)
+                j, i = some[a], shared[b]
+                ok = i < j
+                yield keep(i[ok], j[ok])
+        return
+    first = np.flatnonzero(filed)
     if not len(first):
         return
     width = int(n.max()) + 1
@@ -188,30 +186,38 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node reachable. Nodes are 64-bit numbers.
 
     Each round hooks every root to its least neighbour, follows the hooks to their ends, and replaces the links by those
-    between different roots; each step is a join over a written table.
+    between different roots; each step is a join over a written table, and what no step reads any more is deleted.
     """
     spark = links.sparkSession
     edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     roots = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "hooks")
+        hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"), F.lit(True).alias("moved")), "hooks")
         while True:
+            at = hook.select("node", "root")
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = materialize(hook.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.coalesce(F.col("next") < F.col("root"), F.lit(False)).alias("moved")), "jumps")
-            hook = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
+            jumped = materialize(at.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.coalesce(F.col("next") < F.col("root"), F.lit(False)).alias("moved")), "jumps")
+            discard(hook)
+            hook = jumped
+            if hook.where("moved").isEmpty():
                 break
-        roots = hook if roots is None else materialize(roots.join(hook.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
-        side = lambda c: hook.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        edges = materialize(edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "links")
+        found = hook.select("node", "root")
+        if roots is None:
+            longer = materialize(found, "roots")
+        else:
+            longer = materialize(roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        side = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        rest = materialize(edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "links")
+        discard(edges, hook, roots)
+        edges, roots = rest, longer
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
 def present(ids: DataFrame, column: str, most: int = 26) -> np.ndarray:
     """A Bloom filter with one hash of 64-bit numbers, of 2 ** most bits at most; a hit may be wrong."""
     mid = halfway(ids.sparkSession)
-    bits = min(most, max(16, int(8 * ids.count()).bit_length()))
+    bits = min(most, max(16, int(64 * ids.count()).bit_length()))
 
     def blob(group: int, f: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([pack(f)], pa.binary())], ["k", "f"])
@@ -335,7 +341,7 @@ def _bucket_pairs(table: pa.Table, t: Threshold, first_round: bool, same_state:
     leaders = _lead(key, place, number, sizes, order, vectors, t, best, partner_flag) if first_round and wide else key == key
     if not first_round and wide:
         leaders = _mixed(key, state[number])
-    for j, i in passing_pairs(key[leaders], place[leaders], sizes[number[leaders]], t, lambda a, b: extra(np.flatnonzero(leaders)[a], np.flatnonzero(leaders)[b]), 64, vectors[number[leaders]] if wide else None):
+    for j, i in passing_pairs(key[leaders], place[leaders], sizes[number[leaders]], t, lambda a, b: extra(np.flatnonzero(leaders)[a], np.flatnonzero(leaders)[b]), vectors[number[leaders]] if wide else None):
         at = np.flatnonzero(leaders)
         a, b = order[number[at[i]]], order[number[at[j]]]
         lo, hi = np.minimum(a, b), np.maximum(a, b)
@@ -400,7 +406,7 @@ def _mixed(key: np.ndarray, state: np.ndarray) -> np.ndarray:
 
 def candidate_pairs(classes: DataFrame, t: Threshold, first_round: bool, same_state: bool, wide: bool) -> DataFrame:
     """(a, b): a comes first. In the first round also (a, a) for classes that had more pairs."""
-    n = max(2 * buckets(classes.sparkSession), -(-classes.count() // BUCKET_CLASSES))
+    n = max(buckets(classes.sparkSession), -(-classes.count() // BUCKET_CLASSES))
     return _filed(classes, n, wide).groupBy("bucket").applyInArrow(lambda x: _bucket_pairs(x, t, first_round, same_state, wide), "a long, b long").distinct()
 
 
@@ -437,13 +443,15 @@ def prune(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _judged(pairs: DataFrame, classes: DataFrame, sets_of, t: Threshold) -> DataFrame:
-    """(a, b, alike): sketches first, then the sets of those that they leave open."""
+    """(a, b, alike), written: sketches first, then the sets of those that they leave open."""
     seen = materialize(prune(pairs, classes, t), "pruned")
     left, cut = seen.where("maybe").select("a", "b"), seen.where("NOT maybe").select("a", "b", F.lit(False).alias("alike"))
     if left.isEmpty():
-        return cut
+        return materialize(cut, "judged")
     sets = materialize(sets_of(present(ends(left), "id")), "sets")
-    return materialize(verify(left, sets, t, hashed_share), "judged").unionByName(cut)
+    out = materialize(verify(left, sets, t, hashed_share).unionByName(cut), "judged")
+    discard(seen, sets)
+    return out
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -458,7 +466,7 @@ def similar(classes: DataFrame, sets_of, t: Threshold, same_state: bool, wide: b
     for both rounds.
     """
     columns = ["id", "n", "prefix", "vector", "doc", "line", "state"]
-    found = materialize(candidate_pairs(classes.select(*columns), t, True, same_state, wide), "pairs")
+    found, sets = materialize(candidate_pairs(classes.select(*columns), t, True, same_state, wide), "pairs"), None
     if found.isEmpty():
         return found
     if "sketch" in classes.columns:
@@ -469,9 +477,12 @@ def similar(classes: DataFrame, sets_of, t: Threshold, same_state: bool, wide: b
     named = found.where("a = b").select(F.col("a").alias("id"))
     judged = judge(found.where("a <> b"))
     links = judged.where("alike").select("a", "b")
-    if named.isEmpty():
-        return links
-    second = classes.join(named, "id", "left_semi").drop("state").join(settle(links), "id", "left").withColumn("state", F.coalesce("state", F.col("id") if same_state else F.lit(0).cast("long")))
-    second = materialize(second.select(*columns), "named")
-    rest = materialize(candidate_pairs(second, t, False, same_state, wide).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(judge(rest).where("alike").select("a", "b"))
+    if not named.isEmpty():
+        second = classes.join(named, "id", "left_semi").drop("state").join(settle(links), "id", "left").withColumn("state", F.coalesce("state", F.col("id") if same_state else F.lit(0).cast("long")))
+        second = materialize(second.select(*columns), "named")
+        rest = materialize(candidate_pairs(second, t, False, same_state, wide).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        more = judge(rest)
+        links = materialize(links.unionByName(more.where("alike").select("a", "b")), "similar")
+        discard(second, rest, more, judged)
+    discard(found, sets)
+    return links

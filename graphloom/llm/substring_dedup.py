@@ -2,14 +2,16 @@
 
 Nodes are the closed syncmers of a text's words: k-mers chosen by their own words alone, at least one in every window.
 Edges are the spans between neighbouring nodes (or a text's start and end). One aggregation gives each node its first
-document and whether it repeats and branches; one join (skew is split by adaptive execution) brings that back to the
-source coordinates. A run of repeated nodes with one way in and one way out is a compacted path: all its occurrences are
-alike, so a window inside it is settled by the path's first document. Windows across a branch are settled one by one,
-by their own hash. Hashes have 64 bits.
+document and whether it repeats and branches; one join brings that back to the source coordinates, with frequent nodes
+broadcast. A run of repeated nodes with one way in and one way out is a compacted path: all its occurrences are alike, so
+a window inside it is settled by the path's first document. Windows across a branch are settled one by one, by their own
+hashes. No decision rests on one 64-bit hash: a node on a path is told by its own hash and by that of its edges, which
+cover its words as well, and a window across a branch by two hashes.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, unchanged; a null text has none; a word goes when a window of `window`
 words that covers it also starts in a document with a smaller doc_id; a null doc_id is neither smaller nor larger, so its
-row stays whole; rows with the same id and text have the same result; windows are judged on the input.
+row stays whole; rows with the same id and text have the same result; windows are judged on the input, of any length; an
+empty table gives an empty result. With `carry`, other columns come in one struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Spans, binaries, documents, hash_words, materialize, mix, text_batches, words_of
+from .common import Spans, binaries, carried, discard, documents, hash_words, materialize, mix, text_batches, words_of
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+PROOF, HEAVY = 0x2545F4914F6CDD1D, 4096
 
 
 def sizes(window: int) -> tuple[int, int]:
@@ -75,8 +78,8 @@ def graph_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def judge(spans: Spans, a: int, b: int, p: np.ndarray, flags: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the text of words a..b with nodes at p: windows settled as repeated, windows to settle by hash, their hashes.
+def judge(spans: Spans, a: int, b: int, p: np.ndarray, flags: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the text of words a..b with nodes at p: windows settled as repeated, windows to settle by hash, their two hashes.
 
     flags: 1 repeated, 2 straight (one way in, one way out), 4 an earlier document has it.
     """
@@ -98,7 +101,7 @@ def judge(spans: Spans, a: int, b: int, p: np.ndarray, flags: np.ndarray, window
     settled = (ahead < hi) & (left[v] <= i) & (i + window <= right[v])
     gone = i[all_repeated & settled & ((flags[v] & 4) != 0)]
     ask = i[all_repeated & ~settled]
-    return gone - a, ask - a, spans(ask, ask + window)
+    return gone - a, ask - a, spans(ask, ask + window), spans(ask, ask + window, PROOF)
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -123,17 +126,29 @@ def rest(text: bytes, gone: np.ndarray) -> bytes:
     return out + (text[e[-1] :] if keep[-1] == len(gone) - 1 else b"")
 
 
+def with_first(rows: DataFrame, stats: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with what stats(key, n, ...) says of their key, where it has the key.
+
+    Keys with at least 1 / HEAVY of the rows counted, of which there are at most HEAVY, come by a broadcast, so that no
+    task gathers the rows of a frequent passage; the others meet in a shuffle.
+    """
+    total = stats.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(stats.where(F.col("n") >= max(2, -(-total // HEAVY))).drop("n"))
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(*key), key, "left_anti").join(stats.drop("n"), key))
+
+
 def substring_dedup(docs: DataFrame, window: int = 50, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256; with `carry` also those columns and the kept text."""
-    others = [f for f in docs.schema.fields if f.name in (carry or [])]
+    """One row per document: doc_id, n_words, n_removed, kept_sha256; with `carry` also the struct `carried` of those columns and the kept text."""
+    docs, others = carried(docs, carry)
     doc_type = docs.schema["doc_id"].dataType
     rows = graph_rows(docs, window)
-    stats = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("ways") == F.max("ways")).alias("straight")).where(F.col("first") < F.col("last")).select("node", "first", "straight")
+    stats = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("ways") == F.max("ways")).alias("straight"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last")).select("node", "first", "straight", "n")
+    stats = materialize(stats, "substring-nodes")
     flag = F.lit(1) + F.when(F.col("straight"), 2).otherwise(0) + F.when(F.col("first") < F.col("doc_id"), 4).otherwise(0)
-    flags = rows.select("doc_id", "text_hash", "place", "node").join(stats, "node").select("doc_id", "text_hash", (F.col("place") * 8 + flag).alias("f")).groupBy("doc_id", "text_hash").agg(F.collect_list("f").alias("flags"))
+    flags = with_first(rows.select("doc_id", "text_hash", "place", "node"), stats, ["node"]).select("doc_id", "text_hash", (F.col("place") * 8 + flag).alias("f")).groupBy("doc_id", "text_hash").agg(F.collect_list("f").alias("flags"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", *[f.name for f in others])
     done = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    mid = T.StructType([T.StructField("doc_id", doc_type), T.StructField("text_hash", T.LongType()), *done, *others, T.StructField("text", T.StringType()), T.StructField("gone", T.ArrayType(T.IntegerType())), T.StructField("ask", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    mid = T.StructType([T.StructField("doc_id", doc_type), T.StructField("text_hash", T.LongType()), *done, *others, T.StructField("text", T.StringType()), T.StructField("gone", T.ArrayType(T.IntegerType())), T.StructField("ask", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("proofs", T.ArrayType(T.LongType()))])
 
     def finish(text: bytes, gone: np.ndarray | None) -> tuple[int, int, str, bytes | None]:
         words = text.split()
@@ -150,27 +165,28 @@ def substring_dedup(docs: DataFrame, window: int = 50, carry: list[str] | None =
             spans = Spans(h)
             p = nodes(spans, cuts, window)
             ends = np.searchsorted(p, cuts)
-            out = [(*finish(t, None), None, None, None) if not f else None for t, f in zip(texts, known, strict=True)]
+            out = [(*finish(t, None), None, None, None, None) if not f else None for t, f in zip(texts, known, strict=True)]
             for j, i in enumerate(some):
                 own = p[ends[j] : ends[j + 1]]
                 bits = np.zeros(len(own), np.int64)
                 f = np.array(known[i], np.int64)
                 bits[f >> 3] = f & 7
-                gone, ask, hashes = judge(spans, cuts[j], cuts[j + 1], own, bits, window)
+                gone, ask, hashes, proofs = judge(spans, cuts[j], cuts[j + 1], own, bits, window)
                 if len(ask):
-                    out[i] = (None, None, None, texts[i], gone.tolist(), ask.tolist(), hashes.view(np.int64).tolist())
+                    out[i] = (None, None, None, texts[i], gone.tolist(), ask.tolist(), hashes.view(np.int64).tolist(), proofs.view(np.int64).tolist())
                 else:
-                    out[i] = (*finish(texts[i], covered(cuts[j + 1] - cuts[j], gone, window)), None, None, None)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                    out[i] = (*finish(texts[i], covered(cuts[j + 1] - cuts[j], gone, window)), None, None, None, None)
+            types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *cols[:3], *[b.column(f.name) for f in others], cols[3].cast(pa.string()), *cols[4:]], mid.names)
 
     state = materialize(texts.join(flags, ["doc_id", "text_hash"], "left").mapInArrow(settle, mid), "substring-state")
+    discard(stats)
     final = ["doc_id", "n_words", "n_removed", "kept_sha256", *([*[f.name for f in others], "text"] if carry is not None else [])]
     open_rows = state.where(F.col("ask").isNotNull())
-    asked = open_rows.select("doc_id", "text_hash", F.explode(F.arrays_zip("ask", "hashes")).alias("w")).select("doc_id", "text_hash", F.col("w.ask").alias("at"), F.col("w.hashes").alias("hash"))
-    firsts = asked.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
-    more = asked.join(firsts, "hash").where(F.col("first") < F.col("doc_id")).groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("more"))
+    asked = open_rows.select("doc_id", "text_hash", F.explode(F.arrays_zip("ask", "hashes", "proofs")).alias("w")).select("doc_id", "text_hash", F.col("w.ask").alias("at"), F.col("w.hashes").alias("hash"), F.col("w.proofs").alias("proof"))
+    firsts = asked.groupBy("hash", "proof").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last")).drop("last")
+    more = with_first(asked, materialize(firsts, "substring-windows"), ["hash", "proof"]).where(F.col("first") < F.col("doc_id")).groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("more"))
     end = T.StructType([T.StructField("doc_id", doc_type), *done, *(([*others, T.StructField("text", T.StringType())]) if carry is not None else [])])
 
     def close(batches):

@@ -5,8 +5,11 @@ import random
 import re
 from fractions import Fraction
 
+import corpus_pipeline
+import numpy as np
 import pytest
 
+from graphloom.llm.common import Spans, hash_words
 from graphloom.llm.exact_dedup import MisraGries, exact_dedup
 from graphloom.llm.line_dedup import line_dedup, op9_line_dedup
 from graphloom.llm.ngram_join import drop_near_copies, ngram_join
@@ -105,7 +108,7 @@ def test_lines(rows, docs):
         parts = (t or "").split("\n")
         kept = [x for j, x in enumerate(parts) if (i, j) not in gone]
         want[i] = (len(parts), len(parts) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
-    assert {r[0]: tuple(r)[1:] for r in line_dedup(docs).collect()} == want
+    assert {r[0]: tuple(r)[1:] for r in line_dedup(docs, fewest=5).collect()} == want
 
 
 def without_repeats(rows):
@@ -144,3 +147,55 @@ def test_spans(rows, docs, window):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup(none).count() == line_dedup(none).count() == substring_dedup(none).count() == ngram_join(none).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+def test_word_hashes_of_regular_words():
+    """Words that collide under any polynomial hash modulo a power of two, and words that are long or alike."""
+    for n in (7, 8, 9, 64, 255, 256, 257, 1024, 4096):
+        x, y = thue_morse(n)
+        words = [x, y, x + "a", x[:-1], x + "\0", y[::-1] + "c"]
+        s, e, h = hash_words(" ".join(words).encode(), False)
+        assert (e - s).tolist() == [len(w) for w in words] and len(set(h.tolist())) == len(set(words))
+    spans, seen = Spans(hash_words(" ".join(thue_morse(64)[0]).encode(), False)[2]), {}
+    words = thue_morse(64)[0]
+    for i in range(64):
+        for j in range(i + 1, 65):
+            seen.setdefault(int(spans(np.array([i]), np.array([j]))[0]), set()).add(words[i:j])
+    assert all(len(x) == 1 for x in seen.values())
+
+
+def test_regular_words_stay_apart(spark):
+    x, y = thue_morse(1024)
+    rows = [(1, f"{x} one two three"), (2, f"{y} one two three"), (3, "\n".join([x, y])), (4, " ".join([x, *"abcdefgh"])), (5, " ".join([y, *"abcdefgh"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join(df).collect()} == {i: i for i, _ in rows}
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup(df).collect()} == {i: x[1] for i, x in without_repeats(rows).items()}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup(df, 9).collect()} == {i: 0 for i, _ in rows}
+
+
+def test_clashing_columns(spark):
+    """Names that the operators use inside are carried like any other."""
+    names = "_id _hash _text_hash text_hash gone n_removed n_lines n_words kept_sha256 flags ask hashes id row carried component_id".split()
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c d e f\nx", "a b c d e f\ny", None, "", "a b c d e f\nx"])]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    kept = drop_near_copies(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 3}
+    for stage in (corpus_pipeline.lines, corpus_pipeline.spans):
+        out = stage(spark, df, "")
+        assert out.columns == df.columns
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+    assert exact_dedup(df).count() == 5 and ngram_join(df).count() == 5
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "one two three four five six\nlast"), (1, "one two three four five six\nlast"), (2, "one two three four five six\nother"), (None, "one two three four five six"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = sorted((r["doc_id"] or 0, r["n_removed"]) for r in line_dedup(df).collect())
+    assert lines == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 1)]
+    spans = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup(df, 4).collect())
+    assert spans == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 6)]
+    assert sorted(r["component_id"] or 0 for r in ngram_join(df, 2, Fraction(60, 100)).collect()) == [0, 1, 1, 1, 1]
