@@ -10,8 +10,9 @@ integer sums from which its history's weight is computed.
 Discounts: Good-Turing for counts up to 5 (where the counts of counts give no ratio within (0, 1): half a count off);
 higher counts lose half a count as well, so that every history keeps something to back off with.
 
-Defined results: A-Z count as a-z; a null text has only its end token; a null id counts as the text 'None' when documents
-are split; repeated rows are scored each; without training documents every token is unknown.
+Defined results: A-Z count as a-z; a null text has only its end token; texts of any length are scored whole; a null id
+counts as the text 'None' when documents are split; repeated rows are scored each, and equal counts have equal shares;
+without training documents every token is unknown; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -208,9 +209,8 @@ def weights(table: pa.Table, shares: Shares) -> pa.Table:
 
 def katz_scores(docs: DataFrame, folds: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    n = buckets(spark)
     blocks = materialize(text_blocks(docs, folds, block_bytes), "katz-blocks")
+    n = max(buckets(docs.sparkSession), -(-blocks.count() // 4))  # so many parts that none grows with the data
 
     def ask(batches):
         for batch in batches:

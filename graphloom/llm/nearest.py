@@ -2,21 +2,23 @@
 
 The two halves of a vector are quantised by a codebook each, fitted on at most `sample` rows; a row lies in the cell of
 its two nearest centroids. For a query, pairs of centroids are visited by summed distance with a heap until the visited
-cells hold `fraction` of all rows; those rows are reranked by exact distance. Queries travel in blocks of fixed size;
-index rows lie in parts, one first-half centroid split by a salt into parts of bounded size, so neither a popular cell
-nor many equal vectors gather in one task. Each part returns its ten best of each query and the ten best of those win.
-
-The default fraction is high because the test vectors are isotropic noise, where 0.9 recall needs about 0.4 of the rows.
-
-Defined results: vectors null, zero, of another length than the sample's commonest, or with null or non-finite
-components, and rows without id, take no part; a query never finds its own id; ties go to the smaller id; with fewer
-candidates than `k` all are returned; an empty table gives an empty result.
+cells hold a fraction of all rows; those rows are reranked by exact distance. The fraction is measured: of sampled
+queries, the true neighbours among the sample are found by brute force, and as much is visited as finds the share
+`target` of them. Vectors that lie in clusters need little; of isotropic noise, in which no index can rule much out,
+about half. Queries of near cells travel in blocks of fixed size, and an index part meets the blocks that visit it;
+parts are one first-half centroid split by a salt, so neither a popular cell nor many equal vectors gather in one task.
+Each part returns its k best of each query and the k best of those win.
+
+Defined results: vectors null, zero, or with null or non-finite components, and rows without id, take no part; vectors of
+each length are searched among themselves; a query never finds its own id; of rows that share an id the nearest counts,
+once; ties go to the smaller id; with fewer candidates than `k` all that are visited are returned; an empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, pack, unpack
+from .common import materialize, pack, some_rows, unpack
 
 BLOCK, GROUP, PART = 256, 16, 4000
 
@@ -71,19 +73,46 @@ def visit(da: np.ndarray, db: np.ndarray, counts: np.ndarray, wanted: int) -> li
     return out
 
 
-def nearest(rows: DataFrame, every: int = 100, k: int = 10, centroids: int = 64, sample: int = 20_000, fraction: float = 0.6) -> DataFrame:
+def needed_fraction(x: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, target: float, queries: int = 200) -> float:
+    """The share of rows to visit that finds the share `target` of sampled queries' true neighbours in the sample."""
+    half, nb = left.shape[1], len(right)
+    cell = distances(x[:, :half], left).argmin(1) * nb + distances(x[:, half:], right).argmin(1)
+    counts = np.bincount(cell, minlength=len(left) * nb)
+    found = []
+    for i in np.random.default_rng(11).permutation(len(x))[:queries]:
+        d = distances(x[i : i + 1], x)[0]
+        d[i] = np.inf
+        by = np.add.outer(distances(x[i : i + 1, :half], left)[0], distances(x[i : i + 1, half:], right)[0]).ravel()
+        order = np.argsort(by, kind="stable")
+        upto = np.empty(len(by))
+        upto[order] = np.cumsum(counts[order])
+        near = np.argpartition(d, min(k, len(x) - 1) - 1)[:k] if len(x) > 1 else np.zeros(0, int)
+        found += (upto[cell[near]] / len(x)).tolist()
+    return float(np.quantile(found, target)) if found else 1.0
+
+
+def nearest(rows: DataFrame, every: int = 100, k: int = 10, centroids: int = 64, sample: int = 20_000, target: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for every row whose id is divisible by `every`."""
-    spark, empty = rows.sparkSession, "query_id long, rank int, vec_id long, score double"
     good = usable(rows)
-    picked = [r["v"] for r in good.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).collect()]  # bounded by `sample`
-    if not picked:
-        return spark.createDataFrame([], empty)
-    dim = Counter(map(len, picked)).most_common(1)[0][0]
-    x = np.array([v for v in picked if len(v) == dim])
+    found = None
+    for r in good.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect():  # the lengths of vectors
+        some = _nearest(good.where(F.size("v") == r["dim"]), r["dim"], every, k, centroids, sample, target)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(good: DataFrame, dim: int, every: int, k: int, centroids: int, sample: int, target: float) -> DataFrame:
+    """(query_id, vec_id, score): candidates among vectors of one length."""
+    x = np.array([r["v"] for r in some_rows(good, sample, "vec_id").select("v").collect()])  # bounded by `sample`
     half = max(1, dim // 2)
     left = codebook(x[:, :half], centroids)
     right = codebook(x[:, half:], centroids) if dim > 1 else np.zeros((1, 0))
     nb = len(right)
+    fraction = needed_fraction(x, left, right, k, target)
 
     def assign(batches):
         for b in batches:
@@ -91,16 +120,16 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, centroids: int = 64,
             v = col.flatten().to_numpy().reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), col, pa.array(distances(v[:, :half], left).argmin(1), pa.int32()), pa.array(distances(v[:, half:], right).argmin(1), pa.int32())], ["vec_id", "v", "a", "b"])
 
-    index = materialize(good.where(F.size("v") == dim).mapInArrow(assign, "vec_id long, v array<double>, a int, b int"), "nearest-index")
+    index = materialize(good.mapInArrow(assign, "vec_id long, v array<double>, a int, b int"), "nearest-index")
     counts = np.zeros(len(left) * nb, np.int64)
     for r in index.groupBy("a", "b").count().collect():  # at most centroids ** 2 rows
         counts[r["a"] * nb + r["b"]] = r["count"]
     total = int(counts.sum())
-    wanted = max(int(np.ceil(fraction * total)), 50 * k)
+    wanted = min(total, int(np.ceil(fraction * total)) + k)
     salts = np.maximum(1, -(-counts.reshape(len(left), nb).sum(1) // PART)).astype(int).tolist()
 
     def blocks(batches):
-        """Blocks of queries: ids, vectors and the cells of each as bits; one row for each first-half centroid and salt."""
+        """Blocks of queries: ids, vectors and the cells of each as bits; one row for each first-half centroid they visit."""
         ids, vs, n = [], [], 0
 
         def out():
@@ -110,8 +139,8 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, centroids: int = 64,
                 bits[i, visit(da, db, counts, wanted)] = True
             blob = pack(np.array(ids, np.int64), q.ravel(), np.packbits(bits, axis=1).ravel())
             any_a = bits.any(0).reshape(len(left), nb).any(1)
-            parts = [(a, s) for a in range(len(left)) if any_a[a] for s in range(salts[a])]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([ids[0] // (every * BLOCK)] * len(parts), pa.int64()), pa.array([blob] * len(parts), pa.binary())], ["a", "salt", "block", "blob"])
+            parts = np.flatnonzero(any_a)
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), zlib.crc32(blob)), pa.int64()), pa.array([blob] * len(parts), pa.binary())], ["a", "block", "blob"])
 
         for b in batches:
             for i, v in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist(), strict=True):
@@ -127,8 +156,11 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, centroids: int = 64,
     asked = index.where(F.col("vec_id") % every == 0)
     groups = max(1, -(-asked.count() // (BLOCK * GROUP)))
     split = F.element_at(F.array(*map(F.lit, salts)), F.col("a") + 1)
-    queries = asked.select("vec_id", "v").repartition(groups * 4, "vec_id").mapInArrow(blocks, "a int, salt int, block long, blob binary").withColumn("turn", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    parts = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), split).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    near = asked.select("vec_id", "v", "a", "b").repartitionByRange(groups * 4, "a", "b", "vec_id").sortWithinPartitions("a", "b", "vec_id").select("vec_id", "v")
+    blocked = materialize(near.mapInArrow(blocks, "a int, block long, blob binary").withColumn("turn", F.pmod(F.xxhash64("block"), F.lit(groups))), "nearest-queries")
+    queries = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), split - 1)))
+    visits = blocked.select(F.col("a").alias("visited"), F.col("turn").alias("by")).distinct()
+    parts = index.withColumn("salt", F.pmod(F.xxhash64("vec_id", "b"), split).cast("int")).join(visits, F.col("a") == F.col("visited")).select("vec_id", "v", "b", F.col("a").alias("a"), "salt", F.col("by").alias("turn"))
     key = ["a", "salt", "turn"]
 
     def search(held: pa.Table, asking: pa.Table) -> pa.Table:
@@ -155,9 +187,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, centroids: int = 64,
         cols = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = parts.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return parts.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

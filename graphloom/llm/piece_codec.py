@@ -4,7 +4,9 @@ A text becomes one flat symbol array per batch, cut into words (a run of word ma
 begins a word, as no piece holds one). Each round looks up the rank of every neighbouring pair, takes the least rank of
 each word by a segmented minimum, merges all its leftmost non-overlapping occurrences at once and compacts the array;
 words without a pair left drop out. A piece that may be overtaken by a longer one made from it merges one occurrence a
-round, which is the library's order. Words met before in the worker are remembered, up to a fixed number.
+round, which is the library's order. Words are also cut where no piece holds the two characters that meet, so that text
+without spaces falls into short parts. Words met before in the worker are remembered, up to a fixed number of bytes; long
+ones are not.
 
 For models with identity normalisation, dummy prefix and byte fallback. Defined results: null counts as empty, an empty
 text has no ids; repeated rows are encoded each; an empty table gives an empty result.
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import binaries, documents, text_batches
 
-MARK, CACHED_WORDS = "▁", 250_000
+MARK, CACHED_BYTES, LONG_WORD = "▁", 24 << 20, 64
 NONE = np.iinfo(np.int32).max
 
 
@@ -66,15 +68,22 @@ class PieceCodec:
             self.surface[i] = bytes([b])
         self.lines = not any("\n" in p for p in ids)
         self.words = re.compile(f"\n[^{MARK}\n]*|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if self.lines else f"{MARK}+[^{MARK}]*")
+        joint = {(ord(a), ord(b)) for p in ids for a, b in zip(p, p[1:], strict=False)}
+        self.joint = np.array(sorted(a << 32 | b for a, b in joint), np.int64)
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by rounds of simultaneous merges."""
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         size = np.array([len(w) for w in words])
-        sym, word = self.char[code], np.repeat(np.arange(len(words)), size)
+        sym, owner = self.char[code], np.repeat(np.arange(len(words)), size)
         sym = np.where(sym < 0, -1 - code.astype(np.int64), sym)
+        pair = code[:-1].astype(np.int64) << 32 | code[1:]
+        apart = self.joint[np.minimum(np.searchsorted(self.joint, pair), len(self.joint) - 1)] != pair
+        word = np.concatenate([[0], np.cumsum(apart | (owner[:-1] != owner[1:]))]) if len(code) else owner
+        of_part = owner[np.flatnonzero(np.diff(word, prepend=-1))]
         done_sym, done_word = [], []
         while len(sym):
             key = np.where((word[:-1] == word[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0), sym[:-1] * self.base + sym[1:], -1)
@@ -104,7 +113,7 @@ class PieceCodec:
             return [[] for _ in words]
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         by = np.argsort(word, kind="stable")
-        sym, cuts = sym[by], np.searchsorted(word[by], np.arange(len(words) + 1))
+        sym, cuts = sym[by], np.searchsorted(of_part[word[by]], np.arange(len(words) + 1))
         out = [sym[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         if (sym < 0).any() or (sym >= self.n).any():
             back = {int(self.char[c]): c for c in np.unique(code) if self.char[c] >= self.n}
@@ -117,16 +126,23 @@ class PieceCodec:
             return text.replace("\n", " \n").split(" ")
         return [w[1:] if w[0] == MARK else w for w in self.words.findall(MARK + text.replace(" ", MARK))]
 
-    def learn(self, split: list[list[str]]) -> None:
-        if len(self.ids_of) > CACHED_WORDS:
+    def learn(self, split: list[list[str]]) -> dict[str, tuple[bytes, bytes]]:
+        """Remember the words' ids and texts; those of long words are returned and not kept."""
+        if self.held > CACHED_BYTES:
             self.ids_of.clear()
             self.text_of.clear()
-        new = list({w for words in split for w in words if w not in self.ids_of})
+            self.held = 0
+        new, passing = list({w for words in split for w in words if w not in self.ids_of}), {}
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             for w, ids in zip(part, self.merge([w if self.lines and w[:1] == "\n" else MARK + w for w in part]), strict=True):
-                self.ids_of[w] = ",".join(map(str, ids)).encode()
-                self.text_of[w] = self.decode(ids)
+                raw, text = ",".join(map(str, ids)).encode(), self.decode(ids)
+                if len(w) > LONG_WORD:
+                    passing[w] = raw, text
+                else:
+                    self.ids_of[w], self.text_of[w] = raw, text
+                    self.held += len(raw) + len(text)
+        return passing
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the pieces, the text's first mark included."""
@@ -135,8 +151,10 @@ class PieceCodec:
     def encode_decode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Per text: its ids in decimal, joined by commas, and the text that they decode to."""
         split = [self.split(t.decode()) if t else [] for t in texts]
-        self.learn(split)
+        passing = self.learn(split)
         ids, text = self.ids_of, self.text_of
+        if passing:
+            ids, text = ({**known, **{w: x[k] for w, x in passing.items()}} for k, known in enumerate((ids, text)))
         return [(b",".join([ids[w] for w in words]), b"".join([text[w] for w in words])[1:]) for words in split]
 
 
