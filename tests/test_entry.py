@@ -6,6 +6,7 @@ from graphloom import fixtures as X
 
 D = "/root/testdata/sf0.001"
 FEW = ["b1_normalize_name", "c1_skip_reason", "e1_upsert_entities_fill", "f7_hubs", "h2_match_tool", "j5_dedupe_entities", "k2_slice_since", "l5_retry_ledger", "n3_streaks"]
+FEW += ["a1_scan_sessions", "a5_last_blocks", "f2_search", "g11_session_dedup", "g12_assemble_payload", "h3_match_file", "h4_match_error", "h7_activate_lessons", "h8_activate_stream", "i4_extract_errors", "i5_extract_research", "i6_session_to_graph", "j2_prepare_chunks", "j3_extract_candidates", "n2_topics", "n4_goal_gaps"]
 
 
 @pytest.fixture(scope="module")
