@@ -1,5 +1,6 @@
 """Streams against what the batch operators give, and fuzzy recall against a plain cascade."""
 
+import random
 import re
 from datetime import datetime
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import content_words, name_parts, query_tokens
 from graphloom.model import Graph
-from graphloom.operators import contain, enrich, lessons, recall
+from graphloom.operators import contain, enrich, index, lessons, recall
 from graphloom.operators.fuzzy import partial_ratio, token_set_ratio
 from graphloom.sources import transcripts
 from graphloom.streaming import live
@@ -133,3 +134,14 @@ def test_fuzzy_cascade(spark):
                 want |= {(m["turn"], n, "word", word) for _, n in near}
     got = {(r["turn"], r["name"], r["kind"], r["word"]) for r in recall.match_fuzzy(graph, messages).collect()}
     assert got == want and any(k == "query" for _, _, k, _ in want) and any(k == "word" for _, _, k, _ in want)
+
+
+def test_search_by_parts(spark):
+    """Whatever counts as common, the same ten come out."""
+    rnd = random.Random(3)
+    words = ["customer", "supplier", "region", "delta", "gamma", "omega", "sigma", "theta", "kappa", "lambda"]
+    rows = [(i, f"n{i:03}", "x", " ".join(rnd.choice(words[: rnd.choice([2, 4, 10])]) for _ in range(rnd.randint(1, 12))), None, None, None) for i in range(150)]
+    graph = Graph(spark.createDataFrame(rows, E), spark.createDataFrame([], "source_id long, target_id long, relation string, weight double, created date"), spark.createDataFrame([], "entity_id long, key string, value string, updated date"))
+    queries = spark.createDataFrame([(q, w) for q in range(12) for w in rnd.sample(words, rnd.randint(1, 5))], "q long, word string")
+    got = [sorted((r["q"], r["pos"], r["name"], round(r["score"], 9)) for r in index.bm25_search(graph, queries, ["q"], 10, common).collect()) for common in (10_000, 40, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 120
