@@ -7,8 +7,10 @@ difference); Jaccard is verified on the tokens. A line goes when a line that com
 reaches the threshold; lines are judged on the input, so the order of work doesn't matter.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; lines end at line feeds; lines with fewer than
-`fewest` distinct words stay and match nothing (op9 and the pipeline say 1, so only blank lines do); a null text counts as empty; rows with a null doc_id keep all lines and
-match nothing; rows with the same id and text have the same result.
+`fewest` distinct words stay and match nothing (with the default of 1, blank lines only); a null text counts as empty;
+rows with a null doc_id keep all lines and match nothing; of equal lines the first by doc_id and line number stays; rows
+with the same id and text have the same result; texts and lines of any length are read whole; an empty table gives an
+empty result. With `carry`, other columns come in one struct, whatever their names.
 """
 
 from __future__ import annotations
