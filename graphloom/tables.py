@@ -4,19 +4,41 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from . import store
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back, which cuts lineage; the folder is the cluster's, or of this machine where none is set."""
-    spark = df.sparkSession
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path: in the cluster's shared folder, or of this machine where none is set and Spark runs locally."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_paths: dict[int, str] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back, which cuts lineage."""
+    spark = df.sparkSession
+    path = folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        path = _paths.pop(id(df), None)
+        if path:
+            store.delete(df.sparkSession, path)
