@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import content_words, name_parts, query_tokens
 from graphloom.model import Graph
-from graphloom.operators import contain, enrich, index, lessons, recall
+from graphloom.operators import contain, enrich, lessons, recall
 from graphloom.operators.fuzzy import partial_ratio, token_set_ratio
 from graphloom.sources import transcripts
 from graphloom.streaming import live
@@ -108,6 +108,39 @@ def test_regex_dialects(spark):
     assert {(r["event_id"], r["pattern"]) for r in lessons.match_error(events, triggers).collect()} == {(i, p) for i, t in enumerate(texts) for p in patterns if found(p, t)}
 
 
+def test_many_patterns(spark, monkeypatch):
+    """Parts of the patterns, repeated texts, and what regexes need."""
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcé ") for _ in range(n))
+    texts, patterns = [word(rnd.randint(0, 40)) for _ in range(300)] * 2, [word(rnd.randint(1, 4)) for _ in range(200)]
+    frames = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    for size in (1 << 20, 500):
+        monkeypatch.setattr(contain, "PART_BYTES", size)
+        got = contain.with_patterns(frames[0], "t", frames[1]).collect()
+        assert {r["i"]: sorted(r["held"]) for r in got} == {i: sorted({p for p in patterns if p in t}) for i, t in enumerate(texts)}
+    assert {r["pattern"] for r in contain.loose_patterns(spark.createDataFrame([(p,) for p in ["a*", r"\d+", ".", "(a|b)?", "ab|c", "[xy]z", "(ab)+c?", "(", "a(?!b)", "(?i)q1", "(?i)q", "x{0}", "(?=ab)."]], "pattern string")).collect()} == {"a*", r"\d+", ".", "(a|b)?", "(?i)q", "x{0}"}
+    assert contain.plan("fo[ox](bar|baz+)?qu.x") == ("and", (("or", ("foo", "fox")), "qu", "x"))
+    assert contain.plan("ab^cd") == "abcd" and contain.plan("(ab|cd)e") == ("and", (("or", ("ab", "cd")), "e")) and contain.plan("a(") == "a("
+
+
+def test_regex_plans_miss_nothing():
+    """Random regexes over random texts: what the plan lets through holds every match."""
+    rnd = random.Random(11)
+    atom = lambda d: rnd.choice(["a", "b", "ab", "[ab]", ".", r"\w", "^", "$", r"\b", "(?:%s)" % regex(d - 1), "(%s)" % regex(d - 1), "(?=%s)" % regex(d - 1), "(?!%s)" % regex(d - 1), "(?i:%s)" % regex(d - 1)]) if d else rnd.choice("abc")
+    regex = lambda d: "|".join("".join(atom(d) + rnd.choice(["", "", "", "*", "+?", "?", "{2}"]) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.choice([1, 1, 2])))
+    seen = 0
+    for _ in range(3000):
+        p, t = regex(2), "".join(rnd.choice("abcAB ") for _ in range(rnd.randint(0, 8)))
+        try:
+            r = re.compile(p)
+        except re.error:
+            continue
+        if r.search(t):
+            seen += 1
+            assert contain.holds(contain.plan(p), {t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}), (p, t)
+    assert seen > 500
+
+
 def test_chunks(spark):
     files = {"a": "one\ntwo three\n\nfour", "b": "", "c": "x" * 47, "d": "12345678\n", "e": "1234567\n", "f": "\n\n\n\n\n\n\n\n\n"}
     lines = spark.createDataFrame([(f, i, x) for f, t in files.items() for i, x in enumerate(t.split("\n"))], "file string, line_no int, line string")
@@ -134,14 +167,3 @@ def test_fuzzy_cascade(spark):
                 want |= {(m["turn"], n, "word", word) for _, n in near}
     got = {(r["turn"], r["name"], r["kind"], r["word"]) for r in recall.match_fuzzy(graph, messages).collect()}
     assert got == want and any(k == "query" for _, _, k, _ in want) and any(k == "word" for _, _, k, _ in want)
-
-
-def test_search_by_parts(spark):
-    """Whatever counts as common, the same ten come out."""
-    rnd = random.Random(3)
-    words = ["customer", "supplier", "region", "delta", "gamma", "omega", "sigma", "theta", "kappa", "lambda"]
-    rows = [(i, f"n{i:03}", "x", " ".join(rnd.choice(words[: rnd.choice([2, 4, 10])]) for _ in range(rnd.randint(1, 12))), None, None, None) for i in range(150)]
-    graph = Graph(spark.createDataFrame(rows, E), spark.createDataFrame([], "source_id long, target_id long, relation string, weight double, created date"), spark.createDataFrame([], "entity_id long, key string, value string, updated date"))
-    queries = spark.createDataFrame([(q, w) for q in range(12) for w in rnd.sample(words, rnd.randint(1, 5))], "q long, word string")
-    got = [sorted((r["q"], r["pos"], r["name"], round(r["score"], 9)) for r in index.bm25_search(graph, queries, ["q"], 10, common).collect()) for common in (10_000, 40, 0)]
-    assert got[0] == got[1] == got[2] and len(got[0]) == 120
