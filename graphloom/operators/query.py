@@ -12,15 +12,17 @@ from .index import postings
 
 
 def entity_profile(graph: Graph, names: DataFrame) -> DataFrame:
-    """names(name) -> (name, part, label, other, weight): properties (rationale first by `pos`) and edges both ways."""
+    """names(name) -> (entity, part, label, other, other_type, weight, pos): header, properties (rationale first) and edges both ways."""
     picked = graph.entities.join(names.select(F.lower("name").alias("_k")).distinct(), F.lower("name") == F.col("_k"), "left_semi")
     who = picked.select(F.col("id").alias("entity_id"), F.col("name").alias("entity"))
-    facts = graph.properties.join(who, "entity_id").select("entity", F.lit("property").alias("part"), F.col("key").alias("label"), F.col("value").alias("other"), F.lit(None).cast("double").alias("weight"), F.when(F.col("key") == "rationale", 0).otherwise(1).alias("pos"))
+    no_type, no_weight = F.lit(None).cast("string").alias("other_type"), F.lit(None).cast("double").alias("weight")
+    head = F.array(*[F.struct(F.lit(k).alias("label"), v.cast("string").alias("other")) for k, v in (("type", F.col("type")), ("description", F.col("description")), ("since", F.date_format("created", "yyyy-MM-dd")))])
+    header = picked.select(F.col("name").alias("entity"), F.explode(head).alias("h")).select("entity", F.lit("header").alias("part"), "h.label", "h.other", no_type, no_weight, F.lit(-1).alias("pos"))
+    facts = graph.properties.join(who, "entity_id").select("entity", F.lit("property").alias("part"), F.col("key").alias("label"), F.col("value").alias("other"), no_type, no_weight, F.when(F.col("key") == "rationale", 0).otherwise(1).alias("pos"))
     edges = graph.named_edges()
     shown = F.when(F.col("weight") != 1.0, F.col("weight"))
-    out = edges.join(who, F.col("source_id") == F.col("entity_id")).select("entity", F.lit("out").alias("part"), F.col("relation").alias("label"), F.col("target").alias("other"), shown.alias("weight"), F.lit(2).alias("pos"))
-    into = edges.join(who, F.col("target_id") == F.col("entity_id")).select("entity", F.lit("in").alias("part"), F.col("relation").alias("label"), F.col("source").alias("other"), shown.alias("weight"), F.lit(3).alias("pos"))
-    return facts.unionByName(out).unionByName(into)
+    side = lambda me, it, part, pos: edges.join(who, F.col(f"{me}_id") == F.col("entity_id")).select("entity", F.lit(part).alias("part"), F.col("relation").alias("label"), F.col(it).alias("other"), F.col(f"{it}_type").alias("other_type"), shown.alias("weight"), F.lit(pos).alias("pos"))
+    return header.unionByName(facts).unionByName(side("source", "target", "out", 2)).unionByName(side("target", "source", "in", 3))
 
 
 def search(graph: Graph, terms: DataFrame) -> DataFrame:
@@ -42,48 +44,104 @@ def adjacency(graph: Graph) -> DataFrame:
     return r.select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), F.col("relation").alias("label")).unionByName(r.select(F.col("target_id").alias("node"), F.col("source_id").alias("next"), F.concat(F.lit("~"), "relation").alias("label")))
 
 
+HUB = 50_000
+
+
+class Steps:
+    """Distinct (node, next, ...) of which the rows of a hub are dealt out by salt, `hub` of them or so to each."""
+
+    def __init__(self, steps: DataFrame, hub: int = HUB):
+        salts = steps.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hub).select("node", F.ceil(F.col("_n") / hub).cast("int").alias("salts"))
+        self.hubs = written(salts, "hubs")
+        salted = steps.join(self.hubs, "node", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("next"), F.col("salts")), F.lit(0)).cast("int"))
+        self.steps = written(salted.drop("salts"), "steps")
+
+    def ahead(self, frontier: DataFrame) -> DataFrame:
+        """The frontier's rows with each step from their node; a hub's rows go to each of its salts."""
+        dealt = frontier.join(self.hubs, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        return dealt.join(self.steps, ["node", "salt"]).drop("salt")
+
+
 def traverse(graph: Graph, starts: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """starts(start id) -> visited (start, node, depth) and their edges (start, source_id, target_id, relation).
 
-    Each hop joins the frontier to the edges and drops visited nodes; hops are written, so lineage stays short.
+    Each hop joins the frontier to the edges and drops visited nodes; hops are written, so lineage stays short, and the
+    edges of hubs are spread over several tasks.
     """
-    steps = adjacency(graph).select("node", "next").distinct()
+    steps = Steps(adjacency(graph).select("node", "next").distinct())
     seen = frontier = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "hop")
     for d in range(1, depth + 1):
-        frontier = written(frontier.join(steps, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)), "hop")
+        frontier = written(steps.ahead(frontier.drop("depth")).select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)), "hop")
         seen = seen.unionByName(frontier)
     r = graph.relationships.select("source_id", "target_id", "relation")
     at = lambda c: seen.select("start", F.col("node").alias(c)).join(r, c).select("start", "source_id", "target_id", "relation")
     return seen, at("source_id").unionByName(at("target_id")).distinct()
 
 
+PAIR = ["a", "b"]
+
+
 def shortest_path(graph: Graph, pairs: DataFrame, hops: int | None = None) -> DataFrame:
     """pairs(a, b ids) -> (a, b, length, path): the smallest by node names among the shortest; label: the smallest.
 
     A forward label comes before a backward one. Pairs that aren't connected, or only by more than `hops` steps where it
-    is given, have none. What is found is written anew every eighth hop, so long paths don't grow the plan.
+    is given, have none. The search goes from both ends, a level at a time, on the side whose last level is smaller; rows
+    are (pair, node, level) only. Where the sides first meet, the levels are walked back for the nodes that lie on a
+    shortest path, and then forth, each pair taking the smallest name at every step.
     """
-    names = graph.entities.select(F.col("id").alias("next"), F.col("name").alias("next_name"))
     best = F.min(F.struct(F.col("label").startswith("~").alias("back"), "label")).alias("l")
-    steps = adjacency(graph).where("node <> next").groupBy("node", "next").agg(best).join(names, "next").select("node", "next", "next_name", F.col("l.label").alias("label"))
-    start = graph.entities.select(F.col("id").alias("a"), F.col("name").alias("a_name"))
-    frontier = written(pairs.select("a", "b").distinct().join(start, "a").select("a", "b", F.col("a").alias("node"), F.array("a_name").alias("names"), F.array().cast("array<string>").alias("labels")), "path")
-    seen = frontier.select("a", "b", "node")
-    found = frontier.where("a = b").select("a", "b", F.lit(0).alias("length"), "names", "labels")
-    frontier = frontier.where("a <> b")
-    d = 0
-    while (hops is None or d < hops) and not frontier.isEmpty():
-        d += 1
-        ahead = frontier.join(steps, "node").select("a", "b", F.col("next").alias("node"), F.struct(F.concat("names", F.array("next_name")).alias("names"), F.concat("labels", F.array("label")).alias("labels")).alias("p"))
-        ahead = written(ahead.join(seen, ["a", "b", "node"], "left_anti").groupBy("a", "b", "node").agg(F.min("p").alias("p")).select("a", "b", "node", "p.names", "p.labels"), "path")
-        hit = ahead.where("node = b").select("a", "b", F.lit(d).alias("length"), "names", "labels")
-        found = found.unionByName(hit)
-        frontier = ahead.join(hit.select("a", "b"), ["a", "b"], "left_anti")
-        seen = seen.unionByName(ahead.select("a", "b", "node"))
-        if d % 8 == 0:
-            seen, found = written(seen, "path"), written(found, "path")
-    text = F.array_join(F.concat(F.array(F.element_at("names", 1)), F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.concat(F.lit("-["), F.element_at("labels", i), F.lit("]-> "), F.element_at("names", i + 1)))), " ")
-    return found.select("a", "b", "length", F.when(F.col("length") > 0, text).otherwise(F.element_at("names", 1)).alias("path"))
+    steps = Steps(adjacency(graph).where("node <> next").groupBy("node", "next").agg(best).select("node", "next", F.col("l.label").alias("label")))
+    ids = graph.entities.select("id", "name")
+    asked = pairs.select(*PAIR).distinct().join(ids.select(F.col("id").alias("a"), F.col("name").alias("a_name")), "a").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
+    asked = written(asked, "pairs")
+    still = asked.where("a <> b").select(*PAIR)
+    seen = [written(still.select(*PAIR, F.col(end).alias("node"), F.lit(0).alias("level")), "path") for end in PAIR]
+    last, level, sizes, meets = list(seen), [0, 0], [still.count()] * 2, []
+    while sizes[0] and sizes[1] and (hops is None or sum(level) < hops):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        level[side] += 1
+        new = steps.ahead(last[side].join(still, PAIR, "left_semi").select(*PAIR, "node")).select(*PAIR, F.col("next").alias("node")).distinct()
+        last[side] = written(new.join(seen[side], [*PAIR, "node"], "left_anti").withColumn("level", F.lit(level[side])), "path")
+        seen[side] = seen[side].unionByName(last[side])
+        met = written(last[side].join(seen[1 - side].select(*PAIR, "node"), [*PAIR, "node"], "left_semi").select(*PAIR, "node", F.lit(level[0]).alias("ahead"), F.lit(level[1]).alias("behind")), "path")
+        meets.append(met)
+        still = written(last[side].select(*PAIR).distinct().join(met, PAIR, "left_anti"), "path")  # others have met, or can't any more
+        sizes = [last[x].join(still, PAIR, "left_semi").count() for x in (0, 1)]
+    rows = asked.where("a = b").select(*PAIR, F.lit(0).alias("at"), F.lit(None).cast("string").alias("label"), F.col("a_name").alias("name"))
+    if meets:
+        rows = rows.unionByName(_walk(ids, asked, steps, seen, meets, level))
+    path = F.sort_array(F.collect_list(F.struct("at", "label", "name")))
+    whole = rows.groupBy(*PAIR).agg(path.alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.when(x["at"] == 0, x["name"]).otherwise(F.concat(F.lit("-["), x["label"], F.lit("]-> "), x["name"]))), " ")
+    return whole.select(*PAIR, (F.size("p") - 1).alias("length"), text.alias("path"))
+
+
+def _walk(ids: DataFrame, asked: DataFrame, steps: Steps, seen: list[DataFrame], meets: list[DataFrame], level: list[int]) -> DataFrame:
+    """(a, b, at, label, name): the nodes of the smallest shortest path of every pair that has met."""
+    met = meets[0]
+    for m in meets[1:]:
+        met = met.unionByName(m)
+    met = written(met, "path")
+    lengths = met.select(*PAIR, "ahead", "behind").distinct()
+    good = met.select(*PAIR, "node", F.col("ahead").alias("at"))
+    marked = [good]
+    for k in range(level[0] - 1, 0, -1):
+        back = steps.ahead(good.where(F.col("at") == k + 1).select(*PAIR, "node")).select(*PAIR, F.col("next").alias("node")).distinct()
+        before = written(back.join(seen[0].where(F.col("level") == k).select(*PAIR, "node"), [*PAIR, "node"], "left_semi").withColumn("at", F.lit(k)), "path")
+        marked.append(before)
+        good = before.unionByName(met.select(*PAIR, "node", F.col("ahead").alias("at")))
+    behind = seen[1].join(lengths, PAIR).where(F.col("level") < F.col("behind")).select(*PAIR, "node", (F.col("ahead") + F.col("behind") - F.col("level")).alias("at"))
+    for m in marked:
+        behind = behind.unionByName(m)
+    on = written(behind.join(ids.select(F.col("id").alias("node"), "name"), "node").select(*PAIR, F.col("node").alias("next"), "at", "name"), "path")
+    here = lengths.select(*PAIR, F.col("a").alias("node"))
+    out = asked.join(lengths, PAIR, "left_semi").select(*PAIR, F.lit(0).alias("at"), F.lit(None).cast("string").alias("label"), F.col("a_name").alias("name"))
+    for k in range(1, sum(level) + 1):
+        reach = steps.ahead(here).join(on.where(F.col("at") == k).drop("at"), [*PAIR, "next"])
+        here = written(reach.groupBy(*PAIR).agg(F.min(F.struct("name", "next", "label")).alias("x")).select(*PAIR, "x.*"), "path")
+        out = out.unionByName(here.select(*PAIR, F.lit(k).alias("at"), "label", "name"))
+        here = here.select(*PAIR, F.col("next").alias("node"))
+    return out
 
 
 def neighbors(graph: Graph, names: DataFrame, relation: str | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from graphloom.model import Graph, read_version, write_version
@@ -81,6 +83,54 @@ def test_long_paths(spark):
     assert {(r["a"], r["b"]) for r in query.shortest_path(chain, pairs, 5).collect()} == {(0, 5), (3, 3)}
 
 
+def test_paths_are_the_smallest(spark):
+    """Every pair of a random graph, against a search in plain Python; with and without spread hubs."""
+    rnd = random.Random(2)
+    n = 40
+    e = spark.createDataFrame([(i, f"n{(i * 17) % n:02}", "tool", None, None, None, None) for i in range(n)], E)
+    edges = sorted({(rnd.randrange(n), rnd.choice([0, 1, rnd.randrange(n - 4)]), rnd.choice("xyz")) for _ in range(52)})
+    g = Graph(e, spark.createDataFrame([(a, b, r, 1.0, None) for a, b, r in edges], R), spark.createDataFrame([], P))
+    label = {}
+    for a, b, r in edges:
+        for x, y, l in ((a, b, r), (b, a, "~" + r)):
+            if x != y:
+                label[x, y] = min(label.get((x, y), (True, "~~")), (l[0] == "~", l))
+    near = {x: sorted({y for a, y in label if a == x}, key=lambda y: (y * 17) % n) for x in range(n)}
+    name = lambda i: f"n{(i * 17) % n:02}"
+
+    def smallest(a, b):
+        level, paths = {a: 0}, [[a]]
+        while paths:
+            hits = [p for p in paths if p[-1] == b]
+            if hits:
+                return min(hits, key=lambda p: [name(i) for i in p])
+            paths = [[*p, y] for p in paths for y in near[p[-1]] if level.setdefault(y, len(p)) == len(p)]
+        return None
+
+    some = [(a, b) for a in range(n) for b in range(0, n, 3)]
+    want = {}
+    for a, b in some:
+        if (p := smallest(a, b)) is not None:
+            want[a, b] = (len(p) - 1, name(a) + "".join(f" -[{label[x, y][1]}]-> {name(y)}" for x, y in zip(p, p[1:])))
+    pairs = spark.createDataFrame(some, "a long, b long")
+    assert {(r["a"], r["b"]): (r["length"], r["path"]) for r in query.shortest_path(g, pairs).collect()} == want
+    assert max(x for x, _ in want.values()) >= 4 and len(want) < len(some)
+    steps = query.Steps(query.adjacency(g).select("node", "next").distinct(), hub=3)
+    assert steps.hubs.count() > 0 and steps.steps.select("salt").distinct().count() > 2
+    assert sorted(map(tuple, steps.ahead(steps.steps.select("node").distinct()).select("node", "next").collect())) == sorted(label)
+
+
+def test_first_edges(spark, graph):
+    e = spark.createDataFrame([(i, f"n{i:03}", "tool", "x", None, None, None) for i in range(300)], E)
+    r = [(0, i, f"r{i % 7}", 1.0, None) for i in range(300)] + [(i, 0, "r0", 1.0, None) for i in range(5, 50)]
+    g = Graph(e, spark.createDataFrame(r, R), spark.createDataFrame([], P))
+    got = recall.first_edges(recall.recall_edges(g), spark.createDataFrame([(0,), (5,)], "me long")).collect()
+    rows = [(rel, f"n{a:03}", f"n{b:03}") for a, b, rel, *_ in r]
+    for me in (0, 5):
+        own = sorted(x for x in rows if f"n{me:03}" in x[1:])[:6]
+        assert [(x["relation"], x["source"], x["target"]) for x in sorted(got, key=lambda x: x["r"]) if x["me"] == me] == own
+
+
 def test_lessons(spark, graph):
     t = lessons.trigger_table(graph)
     e = spark.createDataFrame([(1, 7, 1, "npm install axios", "it will fail right now"), (2, 7, 2, "npm install x", "bad ( thing")], "event_id long, session_id long, ts long, command string, output string").selectExpr("event_id", "session_id", "timestamp_seconds(ts) AS ts", "command", "output")
