@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .model import Graph
-from .tables import written
+from .operators import kept_index
+from .operators.index import concept_pairs
+from .tables import folder, written
 
 AS_OF = "2024-01-31"
 
@@ -34,10 +36,10 @@ PARTS = {
         UNION ALL SELECT 3000000 + s_suppkey, concat('supplier-', s_suppkey), 'supplier', CAST(NULL AS STRING) FROM supplier
         UNION ALL SELECT 4000000 + p_partkey, concat('part-', p_partkey), 'part', concat(p_name, ' ', p_brand, ' ', p_type) FROM part
         UNION ALL SELECT 5000000 + c_custkey, concat('customer-', c_custkey), 'customer', CAST(NULL AS STRING) FROM customer
-        UNION ALL SELECT 6000000 + d.doc_id, concat(CASE WHEN quality = 1 THEN 'lesson-' ELSE 'decision-' END, d.doc_id), CASE WHEN quality = 1 THEN 'lesson' ELSE 'decision' END, text FROM documents d JOIN lab ON d.doc_id = lab.doc_id
+        UNION ALL SELECT 6000000 + d.doc_id, concat(CASE WHEN quality = 1 THEN 'lesson-' WHEN quality = 0 THEN 'decision-' ELSE 'document-' END, d.doc_id), CASE WHEN quality = 1 THEN 'lesson' WHEN quality = 0 THEN 'decision' ELSE 'document' END, text FROM documents d LEFT JOIN lab ON d.doc_id = lab.doc_id
         UNION ALL SELECT id, word, 'term', CAST(NULL AS STRING) FROM term_ids""",
     "entities": "SELECT id, name, type, description, {day} AS created, {day} AS updated, CAST(NULL AS TIMESTAMP) AS last_referenced FROM base",
-    "mentions": "SELECT word, w.doc_id FROM word_docs w JOIN lab ON w.doc_id = lab.doc_id",
+    "mentions": "SELECT word, doc_id FROM word_docs",
     "supplies": "SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey",
     "edges": """
         SELECT CAST(2000000 + n_nationkey AS BIGINT) AS source_id, CAST(1000000 + n_regionkey AS BIGINT) AS target_id, 'part-of' AS relation, CAST(1.0 AS DOUBLE) AS weight FROM nation
@@ -112,6 +114,17 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return _stored[key]
 
 
+_indexes: dict[tuple[str, str], tuple[Graph, DataFrame, kept_index.Kept]] = {}
+
+
+def indexes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, kept_index.Kept]:
+    """The concept pairs and the text index of a folder's graph, kept once an application like the graph."""
+    g, key = graph(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes or _indexes[key][0] is not g:
+        _indexes[key] = g, written(concept_pairs(g), "concepts"), kept_index.build(g, folder(spark, "index"))
+    return _indexes[key][1:]
+
+
 def _there(spark: SparkSession, g: Graph) -> bool:
     """Whether the written tables still are where they were, and the session is the one that wrote them."""
     if g.entities.sparkSession is not spark:

@@ -135,10 +135,14 @@ def detect_context(cwd: Column) -> Column:
 def truncate_bytes(text: Column, budget: int, mark: str = "\n[truncated]") -> Column:
     """Cut to a UTF-8 byte budget at a whole character, and mark the cut.
 
-    The longest prefix within the budget has at least budget / 4 characters, so only prefixes from there are compared.
+    The bytes are cut; where that breaks a character, its first bytes, three at most, go as well.
     """
-    sizes = F.transform(F.sequence(F.lit(budget // 4), F.lit(budget)), lambda k: F.when(F.octet_length(F.substring(text, F.lit(1), k)) <= budget, k))
-    return F.when(F.octet_length(text) > budget, F.concat(F.substring(text, F.lit(1), F.array_max(sizes)), F.lit(mark))).otherwise(text)
+    cut = F.substring(F.encode(text, "UTF-8"), 1, budget)
+    last = lambda k: F.hex(F.substring(cut, -k, 1))
+    begins = lambda k, first: last(k) >= first  # noqa: E731  C0: two bytes or more, E0: three or more, F0: four
+    broken = F.when(last(1) < "80", 0).when(begins(1, "C0"), 1).when(begins(2, "E0"), 2).when(begins(2, "C0"), 0).when(begins(3, "F0"), 3).otherwise(0)
+    whole = F.decode(F.substring(cut, F.lit(1), F.lit(budget) - broken), "UTF-8")
+    return F.when(F.octet_length(text) > budget, F.concat(whole, F.lit(mark))).otherwise(text)
 
 
 def skip_reason(message: Column) -> Column:

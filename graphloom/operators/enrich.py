@@ -179,22 +179,48 @@ def dedupe_relationships(rows: DataFrame) -> DataFrame:
     return rows.dropna(subset=key).groupBy(*key).agg(F.min("seq").alias("seq"))
 
 
-def resume_pending(files: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files(file) that aren't processed yet, and how far the work is."""
+def resume_pending(files: DataFrame, processed: DataFrame, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """files(file) that aren't processed yet, how far the work is, and the candidates(file, ...) that finished files gave.
+
+    A file that was cut short isn't in `processed`: it is pending, and what it gave before is left to its next run.
+    """
     done = processed.select("file").distinct()
     progress = files.join(done.withColumn("d", F.lit(1)), "file", "left").agg(F.count("d").alias("done"), F.count(F.lit(1)).alias("total"))
-    return files.join(done, "file", "left_anti"), progress.withColumn("fraction", F.round(F.col("done") / F.greatest(F.col("total"), F.lit(1)), 6))
+    kept = None if candidates is None else candidates.join(done, "file", "left_semi")
+    return files.join(done, "file", "left_anti"), progress.withColumn("fraction", F.round(F.col("done") / F.greatest(F.col("total"), F.lit(1)), 6)), kept
 
 
-def compact_events(events: DataFrame, result_cap: int = 600, input_cap: int = 800) -> DataFrame:
-    """K1: events(session_id, seq, event_type, ts, role, blocks) without noise types, images and long payloads."""
+def compact_events(lines: DataFrame, result_cap: int = 600, input_cap: int = 800) -> DataFrame:
+    """K1: lines(session_id, seq, line) -> (session_id, seq, type, timestamp, cwd, gitBranch, role, content, blocks).
 
-    def compact(b):
-        cap = F.when(b["type"] == "tool_result", cap_with_marker(b["text"], result_cap)).otherwise(b["text"])
-        return F.struct(b["type"].alias("type"), cap.alias("text"), b["name"].alias("name"), cap_with_marker(b["input"], input_cap).alias("input"), F.when(b["is_error"], True).alias("is_error"))
-
-    fine = events.where(~F.coalesce("event_type", F.lit("")).isin(*DROPPED_EVENTS))
-    return fine.withColumn("blocks", F.transform(F.filter("blocks", lambda b: b["type"] != "image"), compact))
+    Events of noise types go, and lines that are no JSON object. A content that is one text comes as `content`. Images go;
+    of a tool use each string in its input is capped by itself, and what isn't a string stays; of a tool result the
+    text is capped, or each text of a list, whose images and other parts go. `input`, `result` and `other` (blocks of
+    other kinds, as they were) are JSON.
+    """
+    kind = "try_variant_get(b, '$.type', 'string')"
+    of = lambda v: f"schema_of_variant({v})"
+    cap = lambda t, n: f"CASE WHEN length({t}) > {n} THEN concat(left({t}, {n}), '...[+', length({t}) - {n}, ']') ELSE {t} END"
+    text = lambda v: f"CAST({v} AS STRING)"
+    capped = lambda v, n: f"CASE WHEN {of(v)} = 'STRING' THEN CAST({cap(text(v), n)} AS VARIANT) ELSE {v} END"
+    given, result = "try_variant_get(b, '$.input', 'variant')", "try_variant_get(b, '$.content', 'variant')"
+    inside = f"CASE WHEN {of(given)} LIKE 'OBJECT%' THEN to_json(transform_values(try_variant_get(b, '$.input', 'map<string,variant>'), (k, v) -> {capped('v', input_cap)})) ELSE to_json({capped(given, input_cap)}) END"
+    some = f"transform(filter(try_variant_get(b, '$.content', 'array<variant>'), c -> try_variant_get(c, '$.type', 'string') = 'text'), c -> named_struct('type', 'text', 'text', coalesce({cap("try_variant_get(c, '$.text', 'string')", result_cap)}, '')))"
+    back = f"CASE WHEN {of(result)} LIKE 'ARRAY%' THEN to_json({some}) ELSE to_json({capped(result, result_cap)}) END"
+    known = f"coalesce({kind} IN ('text', 'thinking', 'tool_use', 'tool_result'), false)"
+    block = f"""named_struct('type', {kind},
+        'text', CASE {kind} WHEN 'text' THEN coalesce(try_variant_get(b, '$.text', 'string'), '') WHEN 'thinking' THEN coalesce(try_variant_get(b, '$.thinking', 'string'), '') END,
+        'name', CASE WHEN {kind} = 'tool_use' THEN try_variant_get(b, '$.name', 'string') END, 'input', CASE WHEN {kind} = 'tool_use' THEN {inside} END,
+        'is_error', CASE WHEN {kind} = 'tool_result' AND try_variant_get(b, '$.is_error', 'boolean') THEN true END, 'result', CASE WHEN {kind} = 'tool_result' THEN {back} END,
+        'other', CASE WHEN NOT {known} THEN to_json(b) END)"""
+    top = lambda k: F.expr(f"try_variant_get(v, '$.{k}', 'string')").alias(k)
+    content = "try_variant_get(v, '$.message.content', 'variant')"
+    rows = lines.select("session_id", "seq", F.expr("try_parse_json(line) AS v")).where("schema_of_variant(v) LIKE 'OBJECT%'").where(~F.coalesce(top("type"), F.lit("")).isin(*DROPPED_EVENTS))
+    return rows.select(
+        "session_id", "seq", *map(top, ("type", "timestamp", "cwd", "gitBranch")), F.expr("try_variant_get(v, '$.message.role', 'string') AS role"),
+        F.expr(f"CASE WHEN {of(content)} = 'STRING' THEN {text(content)} END AS content"),
+        F.expr(f"transform(filter(try_variant_get(v, '$.message.content', 'array<variant>'), b -> NOT coalesce({kind} = 'image', false)), b -> {block}) AS blocks"),
+    )
 
 
 def slice_since(events: DataFrame, cutoffs: DataFrame, context: int = 10) -> DataFrame:

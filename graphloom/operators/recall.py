@@ -15,6 +15,8 @@ from ..model import Graph
 from ..tables import written
 from .fuzzy import partial_ratio, token_set_ratio
 from .index import bm25_search, concept_index, concept_pairs, idf_table
+from .kept_index import Kept
+from .lessons import activate_lessons, match_message, severity_order, trigger_table
 
 KEY = ["session_id", "turn"]
 IDF_LEAST, IDF_UNKNOWN = 3.0, 6.0
@@ -76,7 +78,7 @@ def match_concept(graph: Graph, messages: DataFrame, with_idf: bool = True, pair
     return ranked.where(keep).drop("n_multi")
 
 
-def match_fulltext(graph: Graph, messages: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def match_fulltext(graph: Graph, messages: DataFrame, pairs: DataFrame | None = None, kept: Kept | None = None) -> DataFrame:
     """(*KEY, name, score, pos) of the best five within 60 % of the best score, gated.
 
     A hyphenated word of the message counts as its parts.
@@ -84,7 +86,7 @@ def match_fulltext(graph: Graph, messages: DataFrame, pairs: DataFrame | None =
     low = idf_table(graph, pairs).where(F.col("idf") < IDF_LEAST).select(F.col("term").alias("word"))
     said = worded(messages)
     words = said.select(*KEY, F.explode(F.flatten(F.transform("words", lambda w: F.split(w, "-")))).alias("word")).distinct().where(F.length("word") >= 5).join(low, "word", "left_anti")
-    hits = bm25_search(graph, words, KEY, 5).withColumn("best", F.min("score").over(Window.partitionBy(*KEY)))
+    hits = bm25_search(graph, words, KEY, 5, kept).withColumn("best", F.min("score").over(Window.partitionBy(*KEY)))
     hits = hits.where(F.col("score") / F.col("best") >= 0.6).withColumn("name", F.lower("name")).join(said.select(*KEY, "words"), KEY)
     return _gated(hits, graph, F.array_intersect(name_parts(F.col("name")), "words")).select(*KEY, "name", "score", "pos")
 
@@ -121,10 +123,13 @@ def _first_stage(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def recall_match(graph: Graph, messages: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """(*KEY, name, stage, rank). Later stages run only for messages with fewer than three, then two names."""
+def recall_match(graph: Graph, messages: DataFrame, fuzzy: bool = True, pairs: DataFrame | None = None, kept: Kept | None = None) -> DataFrame:
+    """(*KEY, name, stage, rank). Later stages run only for messages with fewer than three, then two names.
+
+    `pairs` and `kept` are the graph's concept pairs and its text index, where they are kept.
+    """
     place = lambda *order: F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)).cast("long")
-    pairs = written(concept_pairs(graph), "concepts")
+    pairs = written(concept_pairs(graph), "concepts") if pairs is None else pairs
     exact = match_exact(graph, messages).select(*KEY, "name", F.lit(1).alias("stage"), place(F.desc("relevance"), F.col("name")).alias("place"))
     concept = match_concept(graph, messages, pairs=pairs).select(*KEY, "name", F.lit(2).alias("stage"), F.col("pos").cast("long").alias("place"))
     found = written(_first_stage(exact.unionByName(concept)), "recall")  # read by each later stage
@@ -133,7 +138,7 @@ def recall_match(graph: Graph, messages: DataFrame, fuzzy: bool = True) -> DataF
         full = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n).select(*KEY)
         return messages.join(full, KEY, "left_anti")
 
-    text = match_fulltext(graph, open_below(found, 3), pairs).select(*KEY, "name", F.lit(3).alias("stage"), F.col("pos").cast("long").alias("place"))
+    text = match_fulltext(graph, open_below(found, 3), pairs, kept).select(*KEY, "name", F.lit(3).alias("stage"), F.col("pos").cast("long").alias("place"))
     found = written(_first_stage(found.unionByName(text)), "recall")
     if fuzzy:
         last = match_fuzzy(graph, open_below(found, 2)).select(*KEY, "name", F.lit(4).alias("stage"), place(F.col("kind"), F.desc("score"), F.col("name"), F.col("word")).alias("place"))
@@ -156,20 +161,32 @@ def recall_edges(graph: Graph, hub_names: DataFrame | None = None, include_obsol
     return edges if hub_names is None else edges.join(hub_names.select(F.col("name").alias("source")), "source", "left_anti")
 
 
+def first_edges(edges: DataFrame, nodes: DataFrame, n: int = 6) -> DataFrame:
+    """nodes(me) -> (me, r, edge columns): the first n edges of each by relation, source and target, both ways.
+
+    What is first doesn't depend on who asks, so a node is ranked once; a task keeps n edges of a node before they are
+    shuffled, so a hub's edges never meet.
+    """
+    cols = ["source_id", "source", "relation", "target", "target_id", "weight"]
+    out = edges.select(F.col("source_id").alias("me"), *cols)
+    into = edges.where("source_id <> target_id").select(F.col("target_id").alias("me"), *cols)
+    rank = F.row_number().over(Window.partitionBy("me").orderBy("relation", "source", "target"))
+    return out.unionByName(into).join(nodes, "me", "left_semi").withColumn("r", rank).where(F.col("r") <= n)
+
+
 def recall_context(graph: Graph, matches: DataFrame, hub_names: DataFrame | None = None) -> DataFrame:
-    """(*KEY, part, pos, line): up to 4 entities, 6 edges, 6 properties and 4 neighbours for each message.
+    """(*KEY, part, pos, line, name, description): up to 4 entities, 6 edges, 6 properties and 4 neighbours for each message.
+
+    Name and description are those of entities and neighbours.
 
     V9: obsolete and hub edges are filtered before the limits of 6 for each entity.
     """
     by = lambda *c: Window.partitionBy(*KEY).orderBy(*c)
     seen = written(visible(graph, matches).withColumn("at", F.row_number().over(by(F.col("rank")))), "recalled")
-    entities = seen.where("at <= 4").select(*KEY, F.lit("entity").alias("part"), F.col("at").alias("pos"), F.concat(F.col("name"), F.lit(" ["), F.coalesce("type", F.lit("")), F.lit("]")).alias("line"))
+    entities = seen.where("at <= 4").select(*KEY, F.lit("entity").alias("part"), F.col("at").alias("pos"), F.concat(F.col("name"), F.lit(" ["), F.coalesce("type", F.lit("")), F.lit("]")).alias("line"), "name", "description")
     drive = seen.where("at <= 5").select(*KEY, "at", F.col("id").alias("me"))
-    edges = recall_edges(graph, hub_names)
-    cols = ["source_id", "source", "relation", "target", "target_id", "weight"]
-    near = drive.join(edges.select(*cols), F.col("me") == F.col("source_id")).unionByName(drive.join(edges.select(*cols), F.col("me") == F.col("target_id")).where("source_id <> target_id"))
-    w = Window.partitionBy(*KEY, "at").orderBy("relation", "source", "target")
-    near = written(near.withColumn("r", F.row_number().over(w)).where("r <= 6"), "near")
+    first = first_edges(recall_edges(graph, hub_names), drive.select("me").distinct())
+    near = written(drive.join(first, "me"), "near")
     weight = F.when(F.col("weight") != 1.0, F.concat(F.lit(" ["), F.col("weight").cast("string"), F.lit("]"))).otherwise("")
     lines = near.withColumn("pos", F.row_number().over(by(F.col("at"), F.col("r")))).where("pos <= 6").select(*KEY, F.lit("edge").alias("part"), "pos", F.concat("source", F.lit(" --["), "relation", F.lit("]--> "), "target", weight).alias("line"))
     other = near.select(*KEY, F.when(F.col("me") == F.col("source_id"), F.col("target_id")).otherwise(F.col("source_id")).alias("id")).distinct()
@@ -178,11 +195,11 @@ def recall_context(graph: Graph, matches: DataFrame, hub_names: DataFrame | None
         other = other.join(hub_names.select("name"), "name", "left_anti")
     other = other.where(~F.coalesce("type", F.lit("")).isin(HIDDEN_TYPES) & (F.coalesce("description", F.lit("")) != ""))
     order = F.coalesce(*[F.when(F.col("type") == t, F.lit(i)) for i, t in enumerate(NEIGHBOUR_TYPES)], F.lit(len(NEIGHBOUR_TYPES)))
-    connected = other.withColumn("pos", F.row_number().over(by(order, F.col("name")))).where("pos <= 4").select(*KEY, F.lit("connected").alias("part"), "pos", F.concat("name", F.lit(" ["), "type", F.lit("]")).alias("line"))
+    connected = other.withColumn("pos", F.row_number().over(by(order, F.col("name")))).where("pos <= 4").select(*KEY, F.lit("connected").alias("part"), "pos", F.concat("name", F.lit(" ["), "type", F.lit("]")).alias("line"), "name", "description")
     facts = seen.where("at <= 4").select(*KEY, "at", "id", "name").join(graph.properties, F.col("id") == F.col("entity_id"))
     facts = facts.withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "at").orderBy("key"))).where("r <= 3").withColumn("pos", F.row_number().over(by(F.col("at"), F.col("r")))).where("pos <= 6")
     props = facts.select(*KEY, F.lit("property").alias("part"), "pos", F.concat("name", F.lit("."), "key", F.lit(" = "), F.substring(F.coalesce("value", F.lit("")), 1, 150)).alias("line"))
-    return entities.unionByName(lines).unionByName(connected).unionByName(props)
+    return entities.unionByName(connected).unionByName(lines.unionByName(props), allowMissingColumns=True)
 
 
 def session_dedup(graph: Graph, matches: DataFrame, messages: DataFrame) -> DataFrame:
@@ -216,14 +233,56 @@ def session_dedup(graph: Graph, matches: DataFrame, messages: DataFrame) -> Data
     return lists.repartition("session_id").sortWithinPartitions(*KEY).mapInPandas(run, schema)
 
 
-def assemble_payload(context: DataFrame, emitted: DataFrame) -> DataFrame:
-    """(*KEY, payload): the context lines of emitted messages; after a session's first, fewer of them."""
+# What a payload opens with, at a session's first fire and later.
+ASKED = (
+    "DIRECTIVE: Answer using the graph data below -- this is your lived experience, more reliable than training data or file searches. "
+    "Do NOT search files or run commands for information already present here. You MUST cite entity names when referencing this data. "
+    "Connected entities (1-hop) may contain the actual answer -- read them carefully."
+)
+TOLD = (
+    "DIRECTIVE: Knowledge graph context for this message. This is deterministic recall from your knowledge graph -- treat it as ground truth. "
+    "You MUST reference matched entities by name. Do NOT search for information already present below. Connected entities (1-hop) are structurally related."
+)
+LATER = "KG: deterministic recall (header in session-start injection). Cite entities, do not re-search."
+HINT = "For deeper context: traverse <entity> 2"
+
+
+def assemble_payload(context: DataFrame, emitted: DataFrame, messages: DataFrame, lessons: DataFrame | None = None) -> DataFrame:
+    """(*KEY, payload) of emitted messages, with lessons(*KEY, text) at the end; messages with lessons alone have just those.
+
+    A session's first payload opens with a directive and closes with a hint, later ones are shorter and open with one line.
+    """
     fire = emitted.groupBy(*KEY).agg(F.max("first_fire").alias("first_fire"))
-    cap = F.when(F.col("part") == "entity", 4).when(F.col("first_fire"), F.when(F.col("part") == "connected", 4).otherwise(6)).otherwise(F.when(F.col("part") == "connected", 2).otherwise(3))
-    order = F.element_at(F.create_map(*[F.lit(x) for kv in {"entity": 0, "connected": 1, "edge": 2, "property": 3}.items() for x in kv]), F.col("part"))
-    hint = F.when((F.col("part") == "property") & F.col("line").contains(".doc = "), F.concat(F.lit("\n  [Deep context available: "), F.element_at(F.split("line", " = ", 2), 2), F.lit("]"))).otherwise("")
-    lines = context.join(fire, KEY).where(F.col("pos") <= cap).select(*KEY, F.struct(order.alias("o"), "pos", F.concat(F.lit("  "), "line", hint).alias("line")).alias("l"))
-    return lines.groupBy(*KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda s: s["line"]), "\n").alias("payload"))
+    first = F.col("first_fire")
+    cap = F.when(F.col("part") == "entity", 4).when(first, F.when(F.col("part") == "connected", 4).otherwise(6)).otherwise(F.when(F.col("part") == "connected", 2).otherwise(3))
+    about = F.coalesce(F.nullif("description", F.lit("")), F.lit("(no description)"))
+    described = F.when(F.col("part") == "entity", F.concat(F.lit(": "), F.substring(about, 1, 80))).when(F.col("part") == "connected", F.concat(F.lit(": "), F.substring(about, 1, 60))).otherwise("")
+    doc = F.when((F.col("part") == "property") & F.col("line").contains(".doc = "), F.concat(F.lit("\n  [Deep context available: "), F.element_at(F.split("line", " = ", 2), 2), F.lit("]"))).otherwise("")
+    lines = context.join(fire, KEY).where(F.col("pos") <= cap).withColumn("line", F.concat(F.lit("  "), "line", described, doc))
+    joined = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c])
+    parts = lines.groupBy(*KEY, "first_fire", "part").agg(F.array_join(joined("line"), "\n").alias("text"), F.array_join(F.slice(joined("name"), 1, 8), ", ").alias("names"))
+    own = lambda p, title=None: F.max(F.when(F.col("part") == p, F.concat(F.lit(f"{title}\n"), "text") if title else F.col("text"))).alias(p)
+    wide = parts.groupBy(*KEY, "first_fire").agg(F.max(F.when(F.col("part") == "entity", F.col("names"))).alias("names"), own("entity"), own("connected", "Connected (1-hop):"), own("edge", "Relationships:"), own("property", "Properties:"))
+    wide = wide.where("names IS NOT NULL").join(messages.select(*KEY, is_question(F.col("text")).alias("question")), KEY)
+    header = F.when(~first, LATER).when(F.col("question"), ASKED).otherwise(TOLD)
+    payload = F.concat_ws("\n", header, F.concat(F.lit("Matched: "), "names"), "entity", "connected", "edge", "property", F.when(first, HINT))
+    out = wide.select(*KEY, payload.alias("payload"))
+    if lessons is None:
+        return out
+    return out.join(lessons.select(*KEY, "text"), KEY, "full").select(*KEY, F.concat_ws("\n\n", "payload", "text").alias("payload"))
+
+
+def lesson_lines(graph: Graph, messages: DataFrame) -> DataFrame:
+    """H5 in a payload: (*KEY, text): the lessons that a message fires, two at most and each once a session."""
+    triggers = trigger_table(graph)
+    events = messages.select(F.xxhash64(*KEY).alias("event_id"), F.col("session_id"), F.timestamp_seconds("turn").alias("ts"), "text")
+    fired = activate_lessons(match_message(events, triggers))
+    about = triggers.groupBy("lesson").agg(F.max("description").alias("description"))
+    line = F.concat(F.lit("* "), "lesson", F.lit(" ["), F.upper("severity"), F.lit("]: "), F.substring(F.coalesce("description", F.lit("")), 1, 120), F.lit("\n  Triggered by: '"), "pattern", F.lit("' mentioned in message."))
+    rows = fired.join(about, "lesson").select("event_id", F.struct(severity_order(F.col("severity")).alias("o"), "lesson", line.alias("line")).alias("l"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n")
+    texts = rows.groupBy("event_id").agg(F.concat(F.lit("LESSON ACTIVATION (from conversation context):\n"), text, F.lit("\nConsider these lessons before proceeding.")).alias("text"))
+    return messages.select(*KEY, F.xxhash64(*KEY).alias("event_id")).join(texts, "event_id").select(*KEY, "text")
 
 
 def phrase_blacklist(log: DataFrame, rows: int = 50, phrases: int = 20) -> DataFrame:
@@ -233,8 +292,9 @@ def phrase_blacklist(log: DataFrame, rows: int = 50, phrases: int = 20) -> DataF
     return first.orderBy(F.desc("pos")).limit(phrases)
 
 
-def recall(graph: Graph, messages: DataFrame, fuzzy: bool = True) -> DataFrame:
+def recall(graph: Graph, messages: DataFrame, fuzzy: bool = True, pairs: DataFrame | None = None, kept: Kept | None = None) -> DataFrame:
     """The whole way from messages to payloads; C1 comes first."""
     open_messages = messages.where(skip_reason(F.col("text")).isNull())
-    emitted = written(session_dedup(graph, recall_match(graph, open_messages, fuzzy), open_messages), "emitted")
-    return assemble_payload(recall_context(graph, emitted.select(*KEY, F.lower("name").alias("name"), "rank")), emitted)
+    emitted = written(session_dedup(graph, recall_match(graph, open_messages, fuzzy, pairs, kept), open_messages), "emitted")
+    context = recall_context(graph, emitted.select(*KEY, F.lower("name").alias("name"), "rank"))
+    return assemble_payload(context, emitted, open_messages, lesson_lines(graph, open_messages))

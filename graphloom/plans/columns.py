@@ -89,9 +89,18 @@ ORACLES["b12_paths"] = "SELECT doc_id, concat(CASE lang WHEN 'en' THEN '/Users/t
 QUERIES["b13_truncate_bytes"] = lambda s, d: _docs(s, d).select("doc_id", C.truncate_bytes(F.col("text"), 450, "[cut]").alias("short"))
 ORACLES["b13_truncate_bytes"] = "SELECT doc_id, CASE WHEN strlen(text) > 450 THEN concat(substr(text, 1, list_max(list_filter(range(112, 451), lambda k: strlen(substr(text, 1, k)) <= 450))), '[cut]') ELSE text END AS short FROM documents"
 
-_MSG = lambda: F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Run "), F.substring("text", 1, 30))).when(F.col("turn") % 4 == 1, F.concat(F.lit("look at "), F.substring("text", 1, 20))).when(F.col("turn") % 4 == 2, F.concat(F.lit("What is "), "text", F.lit("?"))).otherwise(F.substring("text", 1, 14))
-_MSG_SQL = "CASE turn % 4 WHEN 0 THEN concat('Run ', substr(text, 1, 30)) WHEN 1 THEN concat('look at ', substr(text, 1, 20)) WHEN 2 THEN concat('What is ', text, '?') ELSE substr(text, 1, 14) END"
-QUERIES["c1_skip_reason"] = lambda s, d: _talk(s, d).select("conv_id", "turn", C.skip_reason(_MSG()).alias("reason"), C.skip_reason(F.col("text")).alias("plain"))
+_START = "array('Run ', 'look at ', 'What is ', '')"
+
+
+def c1(s, d):
+    """Every turn as a whole, and each of its sentences as a message of its own."""
+    start = F.element_at(F.expr(_START), (F.col("turn") % 4 + 1).cast("int"))
+    said = _talk(s, d).select("conv_id", "turn", F.lit(-1).alias("pos"), "text")
+    parts = _talk(s, d).select("conv_id", "turn", F.posexplode(F.split("text", "[.] ")).alias("pos", "text"))
+    return said.unionByName(parts).select("conv_id", "turn", "pos", C.skip_reason(F.concat(start, "text")).alias("reason"), C.skip_reason(F.col("text")).alias("plain"))
+
+
+QUERIES["c1_skip_reason"] = c1
 
 
 def skip_sql(e: str) -> str:
@@ -99,7 +108,8 @@ def skip_sql(e: str) -> str:
     return f"CASE WHEN length(trim({e}, ' ')) < 15 THEN 'short'{rows} WHEN length(trim({e}, ' ')) < 50 AND regexp_matches(trim({e}, ' '), '(?i){C.DIRECTIVE}') AND NOT regexp_matches(trim({e}, ' '), '{C.ENTITY_SHAPE}') THEN 'directive' END"
 
 
-ORACLES["c1_skip_reason"] = f"SELECT conv_id, turn, {skip_sql('m')} AS reason, {skip_sql('text')} AS plain FROM (SELECT conv_id, turn, text, {_MSG_SQL} AS m FROM conversations)"
+ORACLES["c1_skip_reason"] = f"""SELECT conv_id, turn, pos, {skip_sql("concat(['Run ', 'look at ', 'What is ', ''][turn % 4 + 1], text)")} AS reason, {skip_sql('text')} AS plain
+ FROM (SELECT conv_id, turn, -1 AS pos, text FROM conversations UNION ALL SELECT conv_id, turn, unnest(range(0, len(ts)))::INTEGER, unnest(ts) FROM (SELECT conv_id, turn, string_split(text, '. ') AS ts FROM conversations))"""
 
 _ASK = lambda: F.concat(F.element_at(F.array(F.lit("Run "), F.lit("look at "), F.lit("What is "), F.lit("")), (F.col("turn") % 4 + 1).cast("int")), "text", F.when(F.col("turn") % 4 == 2, "?").otherwise(""))
 QUESTION_SQL = f"(contains(text, '?') OR regexp_matches(text, '(?i){C.QUESTION}'))"

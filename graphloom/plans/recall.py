@@ -45,9 +45,9 @@ COMMON = {
 }
 G = ("entities", "relationships", "properties", "messages")
 
-QUERIES["g1_concept_index"] = lambda s, d: I.concept_index(X.graph(s, d))
+QUERIES["g1_concept_index"] = lambda s, d: I.concept_index(X.graph(s, d), pairs=X.indexes(s, d)[0])
 ORACLES["g1_concept_index"] = X.oracle("SELECT term, name FROM fine", *G, extra={k: COMMON[k] for k in ("concepts", "idf", "fine")})
-QUERIES["g2_idf_table"] = lambda s, d: I.idf_table(X.graph(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+QUERIES["g2_idf_table"] = lambda s, d: I.idf_table(X.graph(s, d), X.indexes(s, d)[0]).select("term", "df", F.round("idf", 6).alias("idf"))
 ORACLES["g2_idf_table"] = X.oracle("SELECT term, df, round(idf, 6) AS idf FROM idf", *G, extra={k: COMMON[k] for k in ("concepts", "idf")})
 
 BM25 = {
@@ -64,7 +64,7 @@ BM25 = {
 def g3(s, d):
     g, m = _gm(s, d)
     words = R.worded(m).select(*KEY, F.explode("words").alias("word")).where((F.length("word") >= 5) & ~F.col("word").contains("-"))
-    return I.bm25_search(g, words, KEY).select(*KEY, "name", F.round("score", 6).alias("score"), "pos")
+    return I.bm25_search(g, words, KEY, kept=X.indexes(s, d)[1]).select(*KEY, "name", F.round("score", 6).alias("score"), "pos")
 
 
 QUERIES["g3_bm25_search"] = g3
@@ -96,9 +96,9 @@ def _concept(word: str, stem: str) -> dict[str, str]:
 
 
 WITH_IDF = _concept("word NOT IN (FROM low)", "stem = word OR stem NOT IN (FROM low)")
-QUERIES["g6_match_concept"] = lambda s, d: R.match_concept(*_gm(s, d))
+QUERIES["g6_match_concept"] = lambda s, d: R.match_concept(*_gm(s, d), pairs=X.indexes(s, d)[0])
 ORACLES["g6_match_concept"] = X.oracle("FROM concept_hits", *G, extra=WITH_IDF)
-QUERIES["g6_match_concept_plain"] = lambda s, d: R.match_concept(*_gm(s, d), with_idf=False)
+QUERIES["g6_match_concept_plain"] = lambda s, d: R.match_concept(*_gm(s, d), with_idf=False, pairs=X.indexes(s, d)[0])
 ORACLES["g6_match_concept_plain"] = X.oracle("FROM concept_hits", *G, extra=_concept(f"word NOT IN ({_in(R.PLAIN_STOPS)})", "true"))
 
 TEXT = {
@@ -107,7 +107,7 @@ TEXT = {
     "top5": "SELECT *, min(score) OVER (PARTITION BY session_id, turn) AS best FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY score, name) AS pos FROM scored) WHERE pos <= 5",
     "text_hits": "SELECT session_id, turn, n.name, score, pos FROM (SELECT t.session_id, t.turn, lower(t.name) AS name, score, pos, words FROM top5 t JOIN said USING (session_id, turn) WHERE score / best >= 0.6) x JOIN names n USING (name) WHERE len(list_intersect(parts, words)) > 0 AND NOT (len(list_intersect(parts, words)) = 1 AND list_intersect(parts, words)[1] IN (FROM types))",
 }
-QUERIES["g7_match_fulltext"] = lambda s, d: R.match_fulltext(*_gm(s, d)).select(*KEY, "name", F.round("score", 6).alias("score"), "pos")
+QUERIES["g7_match_fulltext"] = lambda s, d: R.match_fulltext(*_gm(s, d), *X.indexes(s, d)).select(*KEY, "name", F.round("score", 6).alias("score"), "pos")
 ORACLES["g7_match_fulltext"] = X.oracle("SELECT session_id, turn, name, round(score, 6) AS score, pos::INTEGER AS pos FROM text_hits", *G, extra={**COMMON, "said_": "FROM said", **TEXT})
 QUERIES["g8_match_fuzzy"] = lambda s, d: R.match_fuzzy(*_gm(s, d)).withColumn("score", F.round("score", 6))
 
@@ -122,14 +122,14 @@ STAGED = {
     "three": "SELECT session_id, turn, name, sp FROM first_two UNION ALL SELECT session_id, turn, name, (3, pos) FROM text_hits",
     "matched": "SELECT session_id, turn, name, min(sp)[1]::INTEGER AS stage, row_number() OVER (PARTITION BY session_id, turn ORDER BY min(sp), name)::INTEGER AS rank FROM three GROUP BY session_id, turn, name",
 }
-QUERIES["g9_recall_match"] = lambda s, d: R.recall_match(*_gm(s, d), fuzzy=False)
+QUERIES["g9_recall_match"] = lambda s, d: R.recall_match(*_gm(s, d), False, *X.indexes(s, d))
 ORACLES["g9_recall_match"] = X.oracle("FROM matched", *G, extra=STAGED)
-QUERIES["g9_recall_match_fuzzy"] = lambda s, d: R.recall_match(*_gm(s, d))
+QUERIES["g9_recall_match_fuzzy"] = lambda s, d: R.recall_match(*_gm(s, d), True, *X.indexes(s, d))
 
 
 def g10(s, d):
     g, m = _gm(s, d)
-    return R.recall_context(g, R.recall_match(g, m, fuzzy=False).select(*KEY, "name", "rank"), Q.hubs(g, 3))
+    return R.recall_context(g, R.recall_match(g, m, False, *X.indexes(s, d)).select(*KEY, "name", "rank"), Q.hubs(g, 3)).drop("name", "description")
 
 
 QUERIES["g10_recall_context"] = g10
@@ -153,7 +153,7 @@ ORACLES["g10_recall_context"] = X.oracle(CONTEXT_ROWS, *G, extra=CONTEXT)
 
 def g11(s, d):
     g, m = _gm(s, d)
-    return R.session_dedup(g, R.recall_match(g, m, fuzzy=False), m)
+    return R.session_dedup(g, R.recall_match(g, m, False, *X.indexes(s, d)), m)
 
 
 EMITTED = {
@@ -166,7 +166,7 @@ EMITTED = {
 }
 QUERIES["g11_session_dedup"] = g11
 ORACLES["g11_session_dedup"] = X.oracle("FROM emitted", *G, extra={**STAGED, **{k: v.replace("{talk}", "messages") for k, v in EMITTED.items()}}).replace("WITH ", "WITH RECURSIVE ", 1)
-QUERIES["g12_assemble_payload"] = lambda s, d: R.recall(*_gm(s, d), fuzzy=False)
+QUERIES["g12_assemble_payload"] = lambda s, d: R.recall(*_gm(s, d), False, *X.indexes(s, d))
 _RECALLED = {
     "open_": f"SELECT * FROM messages WHERE {skip_sql('text')} IS NULL",
     **STAGED,
@@ -181,10 +181,15 @@ _RECALLED = {
 _RECALLED["seen"] = _RECALLED["seen"].replace("FROM matched m", "FROM shown m")
 _RECALLED["edge"] = _RECALLED["edge"].replace(" AND s.name NOT IN (FROM hubs)", "")
 _RECALLED["context"] = _RECALLED["context"].replace(" AND name NOT IN (FROM hubs)", "")
+_RECALLED["context"] = _RECALLED["context"].replace("concat(name, ' [', type, ']') AS line FROM", "concat(name, ' [', type, ']: ', coalesce(nullif(substr(description, 1, 80), ''), '(no description)')) AS line FROM").replace("concat(name, ' [', type, ']') FROM other", "concat(name, ' [', type, ']: ', substr(description, 1, 60)) FROM other")
+_RECALLED["seen"] = _RECALLED["seen"].replace("e.type,", "e.type, e.description,")
+_PARTS = {"entity": "", "connected": "Connected (1-hop):\n", "edge": "Relationships:\n", "property": "Properties:\n"}
 ORACLES["g12_assemble_payload"] = X.oracle(
-    """SELECT session_id, turn, string_agg(concat('  ', line, CASE WHEN part = 'property' AND contains(line, '.doc = ') THEN concat(chr(10), '  [Deep context available: ', substr(line, position(' = ' IN line) + 3), ']') ELSE '' END), chr(10)
- ORDER BY CASE part WHEN 'entity' THEN 0 WHEN 'connected' THEN 1 WHEN 'edge' THEN 2 ELSE 3 END, pos) AS payload FROM context JOIN fire USING (session_id, turn)
- WHERE pos <= CASE WHEN part = 'entity' THEN 4 WHEN first THEN CASE WHEN part = 'connected' THEN 4 ELSE 6 END WHEN part = 'connected' THEN 2 ELSE 3 END GROUP BY session_id, turn""",
+    f"""SELECT session_id, turn, concat_ws(chr(10), CASE WHEN NOT first THEN '{R.LATER}' WHEN {QUESTION_SQL} THEN '{R.ASKED}' ELSE '{R.TOLD}' END, concat('Matched: ', names), {', '.join(f"CASE WHEN {p} IS NOT NULL THEN concat('{t}', {p}) END" for p, t in _PARTS.items())}, CASE WHEN first THEN '{R.HINT}' END) AS payload
+ FROM (SELECT session_id, turn, first, {', '.join(f"string_agg(line_, chr(10) ORDER BY pos) FILTER (part = '{p}') AS {p}" for p in _PARTS)}, any_value(names) AS names FROM
+ (SELECT *, concat('  ', line, CASE WHEN part = 'property' AND contains(line, '.doc = ') THEN concat(chr(10), '  [Deep context available: ', substr(line, position(' = ' IN line) + 3), ']') ELSE '' END) AS line_ FROM context JOIN fire USING (session_id, turn)
+ JOIN (SELECT session_id, turn, string_agg(name, ', ' ORDER BY spot) AS names FROM seen WHERE spot <= 4 GROUP BY ALL) USING (session_id, turn)
+ WHERE pos <= CASE WHEN part = 'entity' THEN 4 WHEN first THEN CASE WHEN part = 'connected' THEN 4 ELSE 6 END WHEN part = 'connected' THEN 2 ELSE 3 END) GROUP BY session_id, turn, first) JOIN open_ USING (session_id, turn)""",
     *G, extra=_RECALLED,
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 QUERIES["g13_phrase_blacklist"] = lambda s, d: R.phrase_blacklist(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.concat_ws(" ", "event_type", F.col("user_id") % 7).alias("phrase")))

@@ -16,4 +16,4 @@ ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recalled context of every user message."""
     g, messages = X.graph(spark, sf_dir), X.spark_table(spark, sf_dir, "messages")
-    return recall_context(g, recall_match(g, messages).select(*KEY, "name", "rank"))
+    return recall_context(g, recall_match(g, messages, True, *X.indexes(spark, sf_dir)).select(*KEY, "name", "rank")).drop("name", "description")

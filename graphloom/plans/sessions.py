@@ -10,7 +10,7 @@ from ..operators import ledger as L
 from ..sources import interchange, logs, transcripts
 from ..tables import written
 from .graph import NAMED
-from .texts import gate_lines, mixed_lines
+from .texts import gate_lines, mixed_lines, nested_lines
 
 QUERIES, ORACLES = {}, {}
 NOW = 1706659200.0  # 2024-01-31
@@ -197,13 +197,13 @@ ORACLES["j3_extract_candidates"] = f"SELECT 'entity' AS kind, session_id::VARCHA
 
 def _mixed(s, d):
     name = F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source"))
-    return _t(s, d, "documents").select(F.col("doc_id").alias("seq"), F.element_at(F.array(F.lit("entity"), F.lit("relationship"), F.lit("note")), (F.col("doc_id") % 3 + 1).cast("int")).alias("kind"), name.alias("name"), F.when(F.col("doc_id") % 4 == 1, F.col("lang")).otherwise("").alias("type"), F.when(F.length("text") > 900, F.substring("text", 1, 40)).alias("description"), F.create_map(F.concat(F.lit("k"), F.col("doc_id") % 3), F.col("doc_id").cast("string")).alias("props"), F.col("source"), F.lit("in").alias("relation"), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("target"))
+    return _t(s, d, "documents").select(F.col("doc_id").alias("seq"), F.element_at(F.array(F.lit("entity"), F.lit("relationship"), F.lit("note")), (F.col("doc_id") % 3 + 1).cast("int")).alias("kind"), name.alias("name"), F.when(F.col("doc_id") % 4 == 1, F.col("lang")).otherwise("").alias("type"), F.when(F.length("text") > 900, F.col("text")).alias("description"), F.create_map(F.concat(F.lit("k"), F.col("doc_id") % 3), F.col("doc_id").cast("string")).alias("props"), F.col("source"), F.lit("in").alias("relation"), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("target"))
 
 
 QUERIES["j4_regroup_candidates"] = lambda s, d: E.regroup_candidates(_mixed(s, d))[0].select("seq", "name").unionByName(E.regroup_candidates(_mixed(s, d))[1].select("seq", F.col("source").alias("name")))
 ORACLES["j4_regroup_candidates"] = "SELECT doc_id AS seq, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN upper(source) ELSE source END AS name FROM documents WHERE doc_id % 3 < 2"
 QUERIES["j5_dedupe_entities"] = lambda s, d: E.dedupe_entities(_mixed(s, d).select("seq", "name", "type", "description", "props")).select("name", "type", "description", F.array_join(F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("props"))
-ORACLES["j5_dedupe_entities"] = """WITH m AS (SELECT doc_id AS seq, lower(source) AS k, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS name, CASE WHEN doc_id % 4 = 1 THEN lang END AS type, CASE WHEN length(text) > 900 THEN substr(text, 1, 40) END AS description, concat('k', doc_id % 3) AS pk FROM documents)
+ORACLES["j5_dedupe_entities"] = """WITH m AS (SELECT doc_id AS seq, lower(source) AS k, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS name, CASE WHEN doc_id % 4 = 1 THEN lang END AS type, CASE WHEN length(text) > 900 THEN text END AS description, concat('k', doc_id % 3) AS pk FROM documents)
 SELECT arg_min(name, seq) AS name, arg_min(type, seq) FILTER (type IS NOT NULL) AS type, arg_min(description, seq) FILTER (description <> '') AS description, any_value(p) AS props FROM m JOIN (SELECT k, string_agg(concat(pk, '=', v), ',' ORDER BY pk) AS p FROM (SELECT k, pk, max(seq) AS v FROM m GROUP BY k, pk) GROUP BY k) USING (k) GROUP BY k"""
 QUERIES["j6_dedupe_relationships"] = lambda s, d: E.dedupe_relationships(_mixed(s, d).select("seq", "source", "relation", "target"))
 ORACLES["j6_dedupe_relationships"] = "SELECT source, 'in' AS relation, lang AS target, min(doc_id) AS seq FROM documents WHERE doc_id % 5 > 0 GROUP BY source, lang"
@@ -211,13 +211,35 @@ QUERIES["j7_resume_pending"] = lambda s, d: E.resume_pending(_t(s, d, "documents
 ORACLES["j7_resume_pending"] = "SELECT count(l.doc_id) AS done, count(*) AS total, round(count(l.doc_id) / count(*), 6)::DOUBLE AS fraction FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id"
 
 
+def j7_kept(s, d):
+    """Candidates of a run that stopped half-way: those of labelled documents are kept, others come with their own run."""
+    some = _t(s, d, "documents").select(F.col("doc_id").alias("file"), "source", "lang")
+    return E.resume_pending(some.select("file"), _t(s, d, "labels").select(F.col("doc_id").alias("file")), some)[2]
+
+
+QUERIES["j7_kept_candidates"] = j7_kept
+ORACLES["j7_kept_candidates"] = "SELECT doc_id AS file, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
+
+
 def k1(s, d):
-    rows = transcripts.canonical_events(gate_lines(s, d, 0)).withColumn("event_type", F.when(F.col("seq") % 5 == 0, "system").otherwise(F.col("event_type")))
-    return E.compact_events(rows, 600, 800).select("session_id", "seq", F.transform("blocks", lambda b: b["type"])[0].alias("first"), F.length(F.transform("blocks", lambda b: b["text"])[0]).alias("n"))
+    """Every block of every event."""
+    rows = E.compact_events(nested_lines(s, d)).select("session_id", "seq", "type", "cwd", "gitBranch", "role", F.posexplode("blocks").alias("pos", "b"))
+    get = lambda c, path: F.get_json_object(F.col(c), path)
+    return rows.select(
+        "session_id", "seq", F.col("type").alias("event"), "cwd", F.col("gitBranch").alias("branch"), "role", "pos", F.col("b.type").alias("kind"), F.col("b.text").alias("text"), F.col("b.name").alias("name"),
+        get("b.input", "$.command").alias("command"), get("b.input", "$.n").cast("long").alias("n"), get("b.input", "$.more.deep").alias("deep"), F.col("b.is_error").alias("is_error"),
+        F.when(F.col("b.result").startswith("["), get("b.result", "$[0].text")).otherwise(F.from_json(F.concat(F.lit("["), "b.result", F.lit("]")), "array<string>")[0]).alias("result"), F.length(get("b.result", "$[1]")).alias("more_results"),
+    )
+
+
+def _capped(limit: int) -> str:
+    return f"CASE WHEN length(text) > {limit} THEN concat(text[1:{limit}], '...[+', length(text) - {limit}, ']') ELSE text END"
 
 
 QUERIES["k1_compact_events"] = k1
-ORACLES["k1_compact_events"] = f"SELECT session_id, seq, CASE WHEN used THEN 'tool_use' ELSE 'text' END AS first, CASE WHEN NOT used THEN length(concat(['shipped', 'fixed', 'looked at', 'decided'][conv_id % 4 + 1], ' ', text))::INTEGER END AS n FROM (SELECT *, turn % 3 = 2 AND role <> 'user' AS used FROM ({_KEPT})) WHERE seq % 5 <> 0"
+ORACLES["k1_compact_events"] = f"""SELECT session_id, seq, 'user' AS event, concat('/work/', conv_id % 7) AS cwd, 'main' AS branch, role, 0 AS pos, ['text', 'tool_use', 'tool_result', 'tool_result'][k + 1] AS kind, CASE WHEN k = 0 THEN text END AS text, CASE WHEN k = 1 THEN 'Bash' END AS name,
+ CASE WHEN k = 1 THEN {_capped(800)} END AS command, CASE WHEN k = 1 THEN turn END AS n, CASE WHEN k = 1 THEN text END AS deep, CASE WHEN k = 2 AND turn % 8 = 2 THEN true END AS is_error, CASE WHEN k >= 2 THEN {_capped(600)} END AS result, NULL::INTEGER AS more_results
+ FROM (SELECT *, turn % 4 AS k FROM ({_KEPT})) WHERE seq % 5 <> 0"""
 
 
 def _cut(s, d):

@@ -39,3 +39,20 @@ GATE_LINES_SQL = """SELECT (conv_id // 20)::BIGINT AS session_id, conv_id * 1000
  CASE WHEN turn % 3 = 2 AND role <> 'user' THEN concat('"', CASE WHEN conv_id % 3 = 0 THEN 'Edit' ELSE 'Read' END, '" ', repeat('x', 60))
  ELSE concat(['shipped', 'fixed', 'looked at', 'decided'][conv_id % 4 + 1], ' ', text) END AS line
  FROM conversations"""
+
+
+def nested_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(session_id, seq, line): turns as text, tool use with a nested input, and results as text or as a list with images."""
+    talk = spark.read.parquet(f"{d}/conversations.parquet").withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
+    text, image = F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("image").alias("type"), F.lit("png").alias("source"))
+    given = F.struct(F.col("text").alias("command"), F.col("turn").alias("n"), F.struct(F.col("text").alias("deep")).alias("more"))
+    kinds = [
+        F.to_json(F.array(text)),
+        F.to_json(F.array(F.struct(F.lit("tool_use").alias("type"), F.lit("t1").alias("id"), F.lit("Bash").alias("name"), given.alias("input")))),
+        F.to_json(F.array(F.struct(F.lit("tool_result").alias("type"), F.col("text").alias("content"), (F.col("turn") % 8 == 2).alias("is_error")))),
+        F.concat(F.lit("["), F.to_json(image), F.lit(','), F.lit('{"type":"tool_result","tool_use_id":"t1","content":['), F.to_json(image), F.lit(","), F.to_json(text), F.lit("]}]")),
+    ]
+    blocks = F.element_at(F.array(*kinds), (F.col("turn") % 4 + 1).cast("int"))
+    head = F.to_json(F.struct(F.when(F.col("seq") % 5 == 0, "system").otherwise("user").alias("type"), F.lit("u").alias("uuid"), F.concat(F.lit("/work/"), F.col("conv_id") % 7).alias("cwd"), F.lit("main").alias("gitBranch")))
+    line = F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"message":{"role":"'), F.col("role"), F.lit('","model":"m","content":'), F.col("b"), F.lit("}}"))
+    return talk.withColumns({"h": head, "b": blocks}).select((F.col("conv_id") / 20).cast("long").alias("session_id"), "seq", line.alias("line"))

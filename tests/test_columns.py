@@ -38,3 +38,14 @@ def test_messages(spark):
 def test_paths(spark):
     for token, ok in (("src/a.py:12", True), ("a/b.tar", True), ("f(x).py", False), ("http://a/b.md", False), ("a/.env", False), ("plain", False)):
         assert _one(spark, token, C.path_like) is ok
+
+
+def test_truncate_bytes_at_every_place(spark):
+    """Characters of one to four bytes, cut at every byte."""
+    from graphloom.functions.columns import truncate_bytes
+
+    texts = ["aé日😀bé", "😀😀", "ééééé", "日本語です", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in range(1, 18):
+        got = {r["t"]: r["c"] for r in df.select("t", truncate_bytes(F.col("t"), n, "|").alias("c")).collect()}
+        assert got == {t: t if len(t.encode()) <= n else t.encode()[:n].decode(errors="ignore") + "|" for t in texts}
