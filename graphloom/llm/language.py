@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import binaries, hash_words, some_rows, text_batches
+from .common import binaries, hash_words, text_batches
 
 GRAMS, SLOTS, STEP, PIECE = (1, 2, 3, 4), 1 << 16, 64, 128
 _MUL = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -104,7 +105,7 @@ def fit(texts: list[bytes], labels: np.ndarray, n: int, rounds: int = 40, rate:
     breaks = breaks[breaks <= len(number)]
     parts = list(zip(breaks[:-1], breaks[1:], strict=True))
     order = np.concatenate([np.arange(*parts[i]) for i in rng.permutation(len(parts))]) if parts else np.zeros(0, int)
-    order = order[: len(order) // STEP * STEP] if len(order) >= STEP else np.resize(order, STEP)
+    order = np.resize(order, max(1, -(-len(order) // STEP)) * STEP)  # the last sequence is filled up from the first
     seq, gold = number[order].reshape(-1, STEP), label[order].reshape(-1, STEP)
     w, a = np.zeros((2 * SLOTS, n), np.float32), np.zeros((n, n))
     hot = np.eye(n)[gold]
@@ -181,10 +182,28 @@ def held(doc_id, folds: int):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("None"))), F.lit(folds)) == 0
 
 
-def train(docs: DataFrame, folds: int, sample: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, emission weights and transitions, from at most `sample` labelled documents outside the held-out fold."""
+def chosen(rows: DataFrame, sample: int, least: int) -> DataFrame:
+    """Of each language's rows its share of `sample`, `least` at least, or all if fewer: those first by a hash of id and text.
+
+    A threshold on the hash, from the language's count, comes before the ranking, so no ranking sees a whole language.
+    """
+    counts = rows.groupBy("lang").count()
+    quota = max(least, sample // max(1, counts.count()))
+    share = F.least(F.lit(1.0), (quota + 6 * quota**0.5 + 10) / F.col("count"))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    some = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(h <= F.col("share") * (1 << 40))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id", "text"))
+    return some.withColumn("rank", rank).where(F.col("rank") <= quota).select("lang", "text")
+
+
+def train(docs: DataFrame, folds: int, sample: int, least: int = 50) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, emission weights and transitions, from labelled documents outside the held-out fold.
+
+    Every language that occurs there is learned, however rare: each has an equal share of `sample` documents, but
+    `least` at least, so the fit sees at most max(sample, least * languages) of them.
+    """
     rows = docs.where(~held(F.col("doc_id"), folds) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
-    rows = some_rows(rows, sample, "doc_id", "text").collect()  # bounded by `sample`
+    rows = sorted(chosen(rows, sample, least).collect())
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return [], np.zeros((0, 0)), np.zeros((0, 0))

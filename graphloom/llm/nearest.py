@@ -11,13 +11,14 @@ Each part returns its k best of each query and the k best of those win.
 
 Defined results: vectors null, zero, or with null or non-finite components, and rows without id, take no part; vectors of
 each length are searched among themselves; a query never finds its own id; of rows that share an id the nearest counts,
-once; ties go to the smaller id; with fewer candidates than `k` all that are visited are returned; an empty table gives
-an empty result. Other columns are not read.
+once, and rows that also share the vector are one; ties go to the smaller id; a query that found fewer than `k` ids
+visits all cells, so `k` are returned unless fewer exist; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, pack, some_rows, unpack
+from .common import discard, materialize, pack, some_rows, unpack
 
 BLOCK, GROUP, PART = 256, 16, 4000
 
@@ -91,7 +92,12 @@ def needed_fraction(x: np.ndarray, left: np.ndarray, right: np.ndarray, k: int,
     return float(np.quantile(found, target)) if found else 1.0
 
 
-def nearest(rows: DataFrame, every: int = 100, k: int = 10, centroids: int = 64, sample: int = 20_000, target: float = 0.97) -> DataFrame:
+def centroids_for(n: int) -> int:
+    """A quarter of the root of the rows, to a power of two: 64 to 256, which the sample can still fit."""
+    return min(256, max(64, 1 << round(math.log2(max(1, n) ** 0.5 / 4 + 1))))
+
+
+def nearest(rows: DataFrame, every: int = 100, k: int = 10, centroids: int | None = None, sample: int = 20_000, target: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for every row whose id is divisible by `every`."""
     good = usable(rows)
     found = None
@@ -105,10 +111,13 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, centroids: int = 64,
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _nearest(good: DataFrame, dim: int, every: int, k: int, centroids: int, sample: int, target: float) -> DataFrame:
+def _nearest(good: DataFrame, dim: int, every: int, k: int, centroids: int | None, sample: int, target: float) -> DataFrame:
     """(query_id, vec_id, score): candidates among vectors of one length."""
+    good = materialize(good.dropDuplicates(["vec_id", "v"]), "nearest-rows")
     x = np.array([r["v"] for r in some_rows(good, sample, "vec_id").select("v").collect()])  # bounded by `sample`
-    half = max(1, dim // 2)
+    centre, half = x.mean(0), max(1, dim // 2)
+    x = x - centre
+    centroids = centroids or centroids_for(good.count())
     left = codebook(x[:, :half], centroids)
     right = codebook(x[:, half:], centroids) if dim > 1 else np.zeros((1, 0))
     nb = len(right)
@@ -117,25 +126,26 @@ def _nearest(good: DataFrame, dim: int, every: int, k: int, centroids: int, samp
     def assign(batches):
         for b in batches:
             col = b.column("v")
-            v = col.flatten().to_numpy().reshape(-1, dim)
+            v = col.flatten().to_numpy().reshape(-1, dim) - centre
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), col, pa.array(distances(v[:, :half], left).argmin(1), pa.int32()), pa.array(distances(v[:, half:], right).argmin(1), pa.int32())], ["vec_id", "v", "a", "b"])
 
     index = materialize(good.mapInArrow(assign, "vec_id long, v array<double>, a int, b int"), "nearest-index")
     counts = np.zeros(len(left) * nb, np.int64)
     for r in index.groupBy("a", "b").count().collect():  # at most centroids ** 2 rows
         counts[r["a"] * nb + r["b"]] = r["count"]
+    discard(good)
     total = int(counts.sum())
     wanted = min(total, int(np.ceil(fraction * total)) + k)
     salts = np.maximum(1, -(-counts.reshape(len(left), nb).sum(1) // PART)).astype(int).tolist()
 
-    def blocks(batches):
+    def blocks(batches, wanted):
         """Blocks of queries: ids, vectors and the cells of each as bits; one row for each first-half centroid they visit."""
-        ids, vs, n = [], [], 0
+        ids, vs = [], []
 
         def out():
             q = np.array(vs)
             bits = np.zeros((len(q), len(counts)), bool)
-            for i, (da, db) in enumerate(zip(distances(q[:, :half], left), distances(q[:, half:], right), strict=True)):
+            for i, (da, db) in enumerate(zip(distances((q - centre)[:, :half], left), distances((q - centre)[:, half:], right), strict=True)):
                 bits[i, visit(da, db, counts, wanted)] = True
             blob = pack(np.array(ids, np.int64), q.ravel(), np.packbits(bits, axis=1).ravel())
             any_a = bits.any(0).reshape(len(left), nb).any(1)
@@ -153,41 +163,54 @@ def _nearest(good: DataFrame, dim: int, every: int, k: int, centroids: int, samp
         if ids:
             yield out()
 
-    asked = index.where(F.col("vec_id") % every == 0)
-    groups = max(1, -(-asked.count() // (BLOCK * GROUP)))
     split = F.element_at(F.array(*map(F.lit, salts)), F.col("a") + 1)
-    near = asked.select("vec_id", "v", "a", "b").repartitionByRange(groups * 4, "a", "b", "vec_id").sortWithinPartitions("a", "b", "vec_id").select("vec_id", "v")
-    blocked = materialize(near.mapInArrow(blocks, "a int, block long, blob binary").withColumn("turn", F.pmod(F.xxhash64("block"), F.lit(groups))), "nearest-queries")
-    queries = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), split - 1)))
-    visits = blocked.select(F.col("a").alias("visited"), F.col("turn").alias("by")).distinct()
-    parts = index.withColumn("salt", F.pmod(F.xxhash64("vec_id", "b"), split).cast("int")).join(visits, F.col("a") == F.col("visited")).select("vec_id", "v", "b", F.col("a").alias("a"), "salt", F.col("by").alias("turn"))
     key = ["a", "salt", "turn"]
 
+    def found_by(asked: DataFrame, wanted: int) -> DataFrame:
+        groups = max(1, -(-asked.count() // (BLOCK * GROUP)))
+        near = asked.select("vec_id", "v", "a", "b").repartitionByRange(groups * 4, "a", "b", "vec_id").sortWithinPartitions("a", "b", "vec_id").select("vec_id", "v")
+        blocked = materialize(near.mapInArrow(lambda batches: blocks(batches, wanted), "a int, block long, blob binary").withColumn("turn", F.pmod(F.xxhash64("block"), F.lit(groups))), "nearest-queries")
+        queries = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), split - 1)))
+        visits = blocked.select(F.col("a").alias("visited"), F.col("turn").alias("by")).distinct()
+        parts = index.withColumn("salt", F.pmod(F.xxhash64("vec_id", "b"), split).cast("int")).join(visits, F.col("a") == F.col("visited")).select("vec_id", "v", "b", F.col("a").alias("a"), "salt", F.col("by").alias("turn"))
+        return parts.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+
     def search(held: pa.Table, asking: pa.Table) -> pa.Table:
         found = []
         if held.num_rows:
             a = held.column("a")[0].as_py()
+            held = held.sort_by("vec_id")
             ids = held.column("vec_id").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # the rows of an id stand together
             x = held.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            moved = x - centre
             cell = a * nb + held.column("b").to_numpy()
             for blob in asking.column("blob").to_pylist():
                 qid, q, bits = unpack(blob)
                 q = q.reshape(len(qid), dim)
                 bits = np.unpackbits(bits.reshape(len(qid), -1), axis=1, count=len(counts)).astype(bool)
-                near = np.where(bits[:, cell] & (qid[:, None] != ids), distances(q, x), np.inf)
-                if len(ids) > k:
-                    cut = np.partition(near, k - 1, axis=1)[:, k - 1]
-                else:
-                    cut = near.max(1)
+                near = np.where(bits[:, cell] & (qid[:, None] != ids), distances(q - centre, moved), np.inf)
+                of_id = near if len(first) == len(ids) else np.minimum.reduceat(near, first, axis=1)
+                cut = np.partition(of_id, k - 1, axis=1)[:, k - 1] if len(first) > k else of_id.max(1)
+                slack = 1e-12 * (((q - centre) ** 2).sum(1) + (moved * moved).sum(1).max())  # of rounding in expanded squares
                 for i in range(len(qid)):
-                    c = np.flatnonzero((near[i] <= cut[i] + 1e-9 * (1 + cut[i] if np.isfinite(cut[i]) else 0)) & np.isfinite(near[i]))
+                    c = np.flatnonzero((near[i] <= cut[i] + slack[i]) & np.isfinite(near[i]))
                     d = np.sqrt(((x[c] - q[i]) ** 2).sum(1))
-                    best = np.lexsort((ids[c], d))[:k]
+                    order = np.lexsort((d, ids[c]))
+                    order = order[np.concatenate([[True], ids[c][order][1:] != ids[c][order][:-1]])] if len(c) else order
+                    best = order[np.lexsort((ids[c][order], d[order]))[:k]]
                     found += zip([int(qid[i])] * len(best), ids[c[best]].tolist(), d[best].tolist(), strict=True)
         cols = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    return parts.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+    asked = index.where(F.col("vec_id") % every == 0)
+    found = found_by(asked, wanted)
+    others = index.select("vec_id").distinct().count() - 1
+    if others + 1 == total:  # no id repeats: the rows visited are as many ids
+        return found
+    found = materialize(found, "nearest-found")
+    enough = found.select("query_id", "vec_id").distinct().groupBy("query_id").count().where(F.col("count") >= min(k, others))
+    return found.unionByName(found_by(asked.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti"), total))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,26 @@ def test_nearest(spark, monkeypatch):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_among_repeated_rows(spark):
+    """Every row forty times and ids with several vectors: ten different ids all the same; far from the origin too."""
+    rng = np.random.default_rng(8)
+    for offset in (0.0, 1e6):
+        own = {i: (rng.normal(size=6) + offset).tolist() for i in range(0, 3000, 100)}
+        rows = [(i, v) for i, v in own.items() for _ in range(40)] + [(i, (rng.normal(size=6) + offset).tolist()) for i in (100, 100, 250, 250)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        got = {}
+        for r in nearest.nearest(df, every=1000, centroids=4).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert set(got) == {0, 1000, 2000}
+        for q, ids in got.items():
+            best = {}
+            for i, v in rows:
+                if i != q:
+                    d = float(np.sqrt(((np.array(v) - np.array(own[q])) ** 2).sum()))
+                    best[i] = min(best.get(i, d), d)
+            assert len(set(ids)) == 10 and len(set(ids) & set(sorted(best, key=lambda i: (best[i], i))[:10])) >= 9
+
+
 def recall(spark, rows):
     got = {}
     for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
@@ -235,6 +255,18 @@ def test_clusters_need_little():
     assert nearest.needed_fraction(x, left, right, 10, 0.97) < 0.3
 
 
+def test_rare_language(spark):
+    """One document in 2,500 is of another language, and is found."""
+    rnd = random.Random(1)
+    en, de = "the and of to in that was his with for had she you but her".split(), "der und die nicht ich sie mit auf ein den haben wir nur auch nach".split()
+    text = lambda words, n: " ".join(rnd.choices(words, k=n))
+    rows = [(i, text(en, 12), "en") for i in range(20_000)] + [(30_000 + i, text(de, 12), "de") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang"]: r["count"] for r in language.chosen(df, 800, 50).groupBy("lang").count().collect()} == {"en": 400, "de": 8}
+    found = {r["doc_id"] for r in language.identify(df).where("lang_pred = 'de'").collect()}
+    assert found == {30_000 + i for i in range(8)}
+
+
 def test_words_without_letters(spark):
     df = spark.createDataFrame([(1, "² ½ ①", "en"), (2, "the cat and the dog " * 30, "en"), (3, "der hund und die katze " * 30, "de"), (4, "²a", "en")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, folds=1_000_000).collect()}
