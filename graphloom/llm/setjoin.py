@@ -182,6 +182,33 @@ def passing_pairs(key: np.ndarray, place: np.ndarray, n: np.ndarray, t: Threshol
         at = to
 
 
+def open_pairs(key: np.ndarray, place: np.ndarray, n: np.ndarray, rank: np.ndarray, still: np.ndarray, t: Threshold, extra, limit: int = 1 << 20):
+    """As passing_pairs, but only pairs whose later row, by rank, is still open: each open row meets the rows of its key that sizes allow."""
+    starts = _runs(key)
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    filed, width, own = place < t.index(n), int(n.max(initial=0)) + 1, np.flatnonzero(still)
+    if not len(own):
+        return
+    at_size = group * width + n
+    least = -(-t.num * n[own] // t.den)
+    first = np.searchsorted(at_size, group[own] * width + least, "left")
+    count = np.searchsorted(at_size, group[own] * width + np.minimum(t.longest(n[own]), width - 1), "right") - first
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(own):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        c = count[at:to]
+        later = np.repeat(own[at:to], c)
+        other = np.repeat(first[at:to], c) + np.arange(len(later)) - np.repeat(np.cumsum(c) - c, c)
+        ok = rank[other] < rank[later]
+        i, j = np.minimum(later[ok], other[ok]), np.maximum(later[ok], other[ok])
+        ok = filed[i] & (np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= t.need(n[i] + n[j]))
+        i, j = i[ok], j[ok]
+        ok = extra(i, j)
+        yield j[ok], i[ok]
+        at = to
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node reachable. Nodes are 64-bit numbers.
 
@@ -319,30 +346,28 @@ def _bucket_pairs(table: pa.Table, t: Threshold, first_round: bool, same_state:
     ranked = np.lexsort((ids, line, doc))
     order[ranked] = np.arange(base)
 
-    def skip(i, j):
-        if first_round:
-            return np.ones(len(i), bool)
-        if same_state:
-            return state[number[i]] != state[number[j]]
-        return state[np.where(order[number[i]] > order[number[j]], number[i], number[j])] == 0
+    def may(a, b):
+        """What the vectors of classes allow: summed minima of counts, or parities that bound the symmetric difference."""
+        if wide:
+            return np.minimum(vectors[a], vectors[b]).sum(1, dtype=np.int64) >= t.need(sizes[a] + sizes[b])
+        return (sizes[a] + sizes[b] - np.bitwise_count(vectors[a] ^ vectors[b]).sum(1, dtype=np.int64)) // 2 >= t.need(sizes[a] + sizes[b])
 
     def extra(i, j):
-        ok = skip(i, j)
+        ok = np.ones(len(i), bool) if first_round or not same_state else state[number[i]] != state[number[j]]
         for x in range(0, len(i), 1 << 16):
             at = np.flatnonzero(ok[x : x + (1 << 16)]) + x
-            a, b = number[i[at]], number[j[at]]
-            if wide:
-                ok[at] = np.minimum(vectors[a], vectors[b]).sum(1, dtype=np.int64) >= t.need(sizes[a] + sizes[b])
-            else:
-                ok[at] = (sizes[a] + sizes[b] - np.bitwise_count(vectors[a] ^ vectors[b]).sum(1, dtype=np.int64)) // 2 >= t.need(sizes[a] + sizes[b])
+            ok[at] = may(number[i[at]], number[j[at]])
         return ok
 
     best, partner_flag, codes = np.full(base, NO_PAIR), np.zeros(base, bool), []
-    leaders = _lead(key, place, number, sizes, order, vectors, t, best, partner_flag) if first_round and wide else key == key
-    if not first_round and wide:
-        leaders = _mixed(key, state[number])
-    for j, i in passing_pairs(key[leaders], place[leaders], sizes[number[leaders]], t, lambda a, b: extra(np.flatnonzero(leaders)[a], np.flatnonzero(leaders)[b]), vectors[number[leaders]] if wide else None):
-        at = np.flatnonzero(leaders)
+    leaders = _lead(key, number, order, may, best, partner_flag) if first_round else _mixed(key, state[number]) if same_state else key == key
+    at = np.flatnonzero(leaders)
+    more = lambda a, b: extra(at[a], at[b])
+    if first_round or same_state:
+        pairs = passing_pairs(key[at], place[at], sizes[number[at]], t, more, vectors[number[at]] if wide else None)
+    else:
+        pairs = open_pairs(key, place, sizes[number], order[number], state[number] == 0, t, more)
+    for j, i in pairs:
         a, b = order[number[at[i]]], order[number[at[j]]]
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         if not first_round:
@@ -352,8 +377,8 @@ def _bucket_pairs(table: pa.Table, t: Threshold, first_round: bool, same_state:
     if first_round:
         hi = np.flatnonzero(best != NO_PAIR)
         lo = best[hi]
-        more = np.flatnonzero(partner_flag)
-        a, b = np.concatenate([ids[ranked[lo]], ids[ranked[more]]]), np.concatenate([ids[ranked[hi]], ids[ranked[more]]])
+        open_ = np.flatnonzero(partner_flag)
+        a, b = np.concatenate([ids[ranked[lo]], ids[ranked[open_]]]), np.concatenate([ids[ranked[hi]], ids[ranked[open_]]])
     else:
         code = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
         a, b = ids[ranked[code // base]], ids[ranked[code % base]]
@@ -371,7 +396,7 @@ def _improve(best: np.ndarray, flag: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     flag[lost] = True
 
 
-def _lead(key, place, number, sizes, order, vectors, t: Threshold, best, flag, over: int = 64, leads: int = 6) -> np.ndarray:
+def _lead(key, number, order, may, best, flag, over: int = 64, leads: int = 6) -> np.ndarray:
     """In large groups, take the first class as leader and settle all that pass beside it; again with the rest.
 
     All classes of such a group are flagged, so the second round looks at their other pairs. Returns the rows still to be
@@ -388,7 +413,7 @@ def _lead(key, place, number, sizes, order, vectors, t: Threshold, best, flag, o
             c = number[rows]
             lead = rows[np.argmin(order[c])]
             x = number[lead]
-            ok = (np.minimum(vectors[c], vectors[x]).sum(1, dtype=np.int64) >= t.need(sizes[c] + sizes[x])) & (rows != lead)
+            ok = may(c, np.full(len(c), x)) & (rows != lead)
             _improve(best, flag, np.full(ok.sum(), order[x]), order[c[ok]])
             todo[rows[ok]] = False
             rows = rows[~ok & (rows != lead)]

@@ -199,3 +199,23 @@ def test_repeated_rows(spark):
     spans = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup(df, 4).collect())
     assert spans == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 6)]
     assert sorted(r["component_id"] or 0 for r in ngram_join(df, 2, Fraction(60, 100)).collect()) == [0, 1, 1, 1, 1]
+
+
+def test_one_large_group_of_lines(spark):
+    """Lines of a few templates that share their frequent words: most are alike, some only nearly, and none is lost."""
+    rnd = random.Random(12)
+    lines = [f"see the annual report of the fund on page p{i} now" for i in range(500)]
+    lines += [f"see the annual report of the {rnd.choice(['fund', 'bank', 'board'])} on page p{rnd.randint(0, 900)} {rnd.choice(['now', 'here', 'and there', 'or not at all'])}" for _ in range(400)]
+    rnd.shuffle(lines)
+    rows = list(enumerate(lines))
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = {i: x[1] for i, x in without_repeats(rows).items()}
+    assert got == want and 0 < sum(1 for x in want.values() if not x) < 60
+
+
+def test_one_large_group_of_texts(spark):
+    rnd = random.Random(13)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words + [f"x{rnd.randint(0, 300)}"] + (["y"] * rnd.choice([0, 0, 1, 6])))) for i in range(300)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: c for i, (_, c) in components(rows, 3, Fraction(90, 100)).items()}
