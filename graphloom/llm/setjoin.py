@@ -296,6 +296,7 @@ def verify(pairs: DataFrame, sets: DataFrame, t: Threshold, share) -> DataFrame:
 
 
 FILED_BYTES, BUCKET_CLASSES = 8 << 20, 25_000
+LARGE, LARGE_LINES = 64, 4096  # classes under one token from which leaders go first; small sets are cheap to compare pair by pair
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -360,7 +361,7 @@ def _bucket_pairs(table: pa.Table, t: Threshold, first_round: bool, same_state:
         return ok
 
     best, partner_flag, codes = np.full(base, NO_PAIR), np.zeros(base, bool), []
-    leaders = _lead(key, number, order, may, best, partner_flag) if first_round else _mixed(key, state[number]) if same_state else key == key
+    leaders = _lead(key, number, order, may, best, partner_flag, LARGE if wide else LARGE_LINES) if first_round else _mixed(key, state[number]) if same_state else key == key
     at = np.flatnonzero(leaders)
     more = lambda a, b: extra(at[a], at[b])
     if first_round or same_state:
@@ -396,7 +397,7 @@ def _improve(best: np.ndarray, flag: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     flag[lost] = True
 
 
-def _lead(key, number, order, may, best, flag, over: int = 64, leads: int = 6) -> np.ndarray:
+def _lead(key, number, order, may, best, flag, over: int, leads: int = 6) -> np.ndarray:
     """In large groups, take the first class as leader and settle all that pass beside it; again with the rest.
 
     All classes of such a group are flagged, so the second round looks at their other pairs. Returns the rows still to be
