@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
+from .. import versions
 from ..operators import mutate as M
 from ..operators import query as Q
+from ..tables import folder
 from .columns import DEGREES_SQL, HUBS_SQL
 
 QUERIES, ORACLES = {}, {}
@@ -47,6 +49,18 @@ for _p, (_ty, _de) in _POLICY.items():
     )
 
 
+def e1_committed(s, d):
+    """The same change set, as a commit on a stored graph, read back."""
+    v = versions.create(X.graph(s, d), folder(s, "stored"))
+    old = versions.read(s, v)
+    v = versions.commit(s, v, {"entities": versions.changes(old, M.upsert_entities(old, _changes(s, d), AS_OF))["entities"]})
+    return versions.read(s, v).entities.select("name", "type", "description", F.date_format("updated", "yyyy-MM-dd").alias("updated"))
+
+
+QUERIES["e1_upsert_entities_committed"] = e1_committed
+ORACLES["e1_upsert_entities_committed"] = ORACLES["e1_upsert_entities_overwrite"]
+
+
 def e2(s, d):
     bought = _t(s, d, "orders").join(_t(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("Customer_"), "o_custkey").alias("source"), F.lit("bought").alias("relation"), F.concat(F.lit("Part_"), "l_partkey").alias("target"))
     lost = _t(s, d, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("source"), F.lit("knows").alias("relation"), F.lit("nobody").alias("target"))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
+from .. import versions
 from ..operators import index as I
+from ..operators import kept_index
+from ..operators import mutate as M
 from ..operators import query as Q
 from ..operators import recall as R
 from ..functions.columns import STOP_CONCEPTS
 from .columns import CONTENT, NAME_PARTS, QUESTION_SQL, TOKENS, _in, skip_sql, stems_sql
-from .graph import PLAIN, POSTINGS
+from ..tables import folder, written
+from .graph import CHANGES, PLAIN, POSTINGS, _changes
 
 QUERIES, ORACLES = {}, {}
 KEY = R.KEY
@@ -72,6 +76,26 @@ ORACLES["g3_bm25_search"] = X.oracle(
     "SELECT session_id, turn, name, round(score, 6) AS score, pos::INTEGER AS pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY score, name) AS pos FROM scored) WHERE pos <= 10",
     *G, extra={"said": COMMON["said"], "terms_": "SELECT DISTINCT session_id, turn, word FROM (SELECT session_id, turn, unnest(words) AS word FROM said) WHERE len(word) >= 5 AND NOT contains(word, '-')", **BM25},
 )
+def g3_changed(s, d):
+    """The search after a change set (E1 over parts and suppliers) has gone into a kept index; types are asked for as well."""
+    g, m = _gm(s, d)
+    kept = kept_index.build(g, folder(s, "index"))
+    new = g.with_(entities=written(M.upsert_entities(g, _changes(s, d), X.AS_OF).entities, "changed"))
+    kept = kept_index.update(kept, new, versions.changes(g, new)["entities"].select("id"))
+    words = R.worded(m).select(*KEY, F.explode(F.concat("words", F.array(F.lit("vendor"), F.lit("produ")))).alias("word")).where((F.length("word") >= 5) & ~F.col("word").contains("-"))
+    return kept_index.search(kept, words, KEY)[0].select(*KEY, "name", F.round("score", 6).alias("score"), "pos")
+
+
+QUERIES["g3_search_after_changes"] = g3_changed
+_NEW = {
+    "changes": CHANGES,
+    "changed": "SELECT e.id, e.name, CASE WHEN c.name IS NULL THEN e.type ELSE c.type END AS type, CASE WHEN c.name IS NULL THEN e.description ELSE c.description END AS description FROM entities e LEFT JOIN changes c ON lower(e.name) = c.name UNION ALL SELECT 1000000000 + row_number() OVER (), name, type, description FROM changes WHERE name NOT IN (SELECT lower(name) FROM entities)",
+    **{k: v.replace("FROM entities", "FROM changed").replace("JOIN entities", "JOIN changed") for k, v in BM25.items()},
+}
+ORACLES["g3_search_after_changes"] = X.oracle(
+    "SELECT session_id, turn, name, round(score, 6) AS score, pos::INTEGER AS pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY score, name) AS pos FROM scored) WHERE pos <= 10",
+    *G, extra={"said": COMMON["said"], "terms_": "SELECT DISTINCT session_id, turn, word FROM (SELECT session_id, turn, unnest(list_concat(words, ['vendor', 'produ'])) AS word FROM said) WHERE len(word) >= 5 AND NOT contains(word, '-')", **_NEW},
+)
 QUERIES["g4_hyphen_index"] = lambda s, d: I.postings(X.graph(s, d), I.HYPHENS)
 ORACLES["g4_hyphen_index"] = X.oracle(POSTINGS.replace("{p}", "[\\p{L}\\p{N}_-]+"), "entities")
 

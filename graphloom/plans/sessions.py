@@ -8,7 +8,8 @@ from .. import fixtures as X
 from ..operators import enrich as E
 from ..operators import ledger as L
 from ..sources import interchange, logs, transcripts
-from ..tables import written
+from ..streaming import queue
+from ..tables import folder, written
 from .graph import NAMED
 from .texts import gate_lines, mixed_lines, nested_lines
 
@@ -305,3 +306,26 @@ QUERIES["l8_append_worklog"] = l8
 ORACLES["l8_append_worklog"] = """WITH b AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M') AS t, event_type, props, user_id % 2 = 0 AS cont FROM events WHERE event_type NOT IN ('view', 'click')),
 r AS (SELECT *, day IN (SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders) OR row_number() OVER (PARTITION BY day ORDER BY t, event_id) > 1 AS below, concat('### ', t, ' | ', event_type, CASE WHEN cont THEN ' (continued)' ELSE '' END) AS h FROM b)
 SELECT event_id AS session_id, CASE WHEN below THEN h WHEN cont THEN concat('## ', day, chr(10), chr(10), h) ELSE concat('## ', day, ' | ', event_type, ' | ', t) END AS header, props AS body FROM r"""
+
+
+def l3_live(s, d):
+    """The events as a log of the queue, replayed as a stream; what it comes to at the last event."""
+    root = folder(s, "queue")
+    kind = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "failed").otherwise("file")
+    log = _t(s, d, "events").select(F.col("user_id").cast("long").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    end = log.agg(F.max("ts").alias("t"))
+    clock = end.select(F.lit(-1).cast("long").alias("session_id"), F.expr("t + INTERVAL 2 HOURS").alias("ts"), F.lit("clock").alias("kind"))
+    for part in (log, clock):
+        part.write.mode("append").parquet(f"{root}/log")
+        queue.queue_stream(s.readStream.schema(log.schema).parquet(f"{root}/log"), f"{root}/out", f"{root}/state").awaitTermination()
+    changes = s.read.schema(queue.CHANGE).parquet(f"{root}/out")
+    return queue.states(changes, str(end.select(F.col("t").cast("string")).first()[0])).select("session_id", "state", "ledger", "failures")
+
+
+QUERIES["l3_live_queue"] = l3_live
+ORACLES["l3_live_queue"] = """WITH e AS (SELECT user_id AS session_id, epoch_ms(ts) AS t, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'failed' ELSE 'file' END AS kind FROM events),
+ s AS (SELECT session_id, max(t) FILTER (kind = 'enqueue') AS q, max(t) FILTER (kind = 'file') AS m, max(t) FILTER (kind = 'ok') AS p, count(*) FILTER (kind IN ('ok', 'failed')) AS tries FROM e GROUP BY session_id),
+ f AS (SELECT session_id, count(*) FILTER (kind = 'failed' AND (p IS NULL OR t > p))::INTEGER AS failures FROM e JOIN s USING (session_id) GROUP BY session_id),
+ own AS (SELECT *, CASE WHEN now - q > 172800000 THEN 'stale' WHEN m IS NULL THEN 'missing' WHEN now - m >= 600000 THEN 'ready' ELSE 'waiting' END AS o FROM s, (SELECT max(t) AS now FROM e))
+SELECT session_id, CASE WHEN q IS NOT NULL THEN CASE WHEN p IS NULL THEN o WHEN coalesce(m, 0) > p THEN concat(o, '*') ELSE 'done' END END AS state, CASE WHEN tries > 0 THEN CASE WHEN failures = 0 THEN 'processed' WHEN failures >= 3 THEN 'dead' ELSE 'retry' END END AS ledger, failures
+FROM own JOIN f USING (session_id) WHERE q IS NOT NULL OR tries > 0"""
