@@ -6,7 +6,7 @@ ordinary shuffle, in which no group is large.
 
 Defined results: a null text counts as empty; texts are equal when identical after lower-casing A-Z only; of equal texts
 the row with the largest doc_id stays (a null id is the smallest; of rows that also share the id exactly one stays); an
-empty table gives an empty result. Only doc_id and text are read, so other columns can't clash.
+empty table gives an empty result; a text of any length is hashed whole. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

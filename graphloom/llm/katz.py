@@ -11,7 +11,7 @@ Discounts: Good-Turing for counts up to 5 (where the counts of counts give no ra
 higher counts lose half a count as well, so that every history keeps something to back off with.
 
 Defined results: A-Z count as a-z; a null text has only its end token; texts of any length are scored whole; a null id
-counts as the text 'None' when documents are split; repeated rows are scored each, and equal counts have equal shares;
+counts as the text 'None' when documents are split, and ids are read as whole numbers; repeated rows are scored each, and equal counts have equal shares;
 without training documents every token is unknown; an empty table gives an empty result. Other columns are not read.
 """
 

@@ -5,7 +5,8 @@ lexicon entry, all hashed. Emission weights and transitions are learned together
 likelihood from forward-backward; training sequences join segments of documents of different languages, so transitions
 are learned as in code-switched text. Prediction runs forward-backward over whole texts: pieces of a text get transfer
 matrices, those are chained, then every word gets its posterior. A text's language has the largest mean posterior over
-its words with letters. The fit uses at most `sample` labelled documents, chosen by a hash of their id.
+its words with letters. The fit uses at most `sample` labelled documents, an equal share for each language and `least` at
+least, chosen by a hash of id and text.
 
 Defined results: a null text or one without letters is `und` with score 0; without labelled rows every text is; of
 languages on a tie the first by name is predicted; texts of any length are read whole; repeated rows are judged each; a

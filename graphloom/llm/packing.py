@@ -7,7 +7,9 @@ most tightly, if they fit it more tightly than it did. Pieces then find their bi
 rank is the task's own count plus the counts of the tasks before it, so no length is ever gathered in one task.
 
 Defined results: null text counts as empty and still has its end token; a document over `capacity` tokens is cut into
-full pieces and a last one; repeated rows are packed each; an empty table gives an empty result.
+full pieces and a last one, however long it is; repeated rows are packed each; pieces of one length are interchangeable, so
+which of them lies in which bin is left open; rows without id come back without one; an empty table gives an empty result.
+Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ without spaces falls into short parts. Words met before in the worker are rememb
 ones are not.
 
 For models with identity normalisation, dummy prefix and byte fallback. Defined results: null counts as empty, an empty
-text has no ids; repeated rows are encoded each; an empty table gives an empty result.
+text has no ids; a text of any length is encoded whole; of pairs of one rank the leftmost merges first, as in the library;
+repeated rows, and rows without id, are encoded each; an empty table gives an empty result. Only doc_id and text are read,
+so other columns can't clash.
 """
 
 from __future__ import annotations
