@@ -91,6 +91,17 @@ def m4(s, d):
 QUERIES["m4_apply_proposals"] = m4
 ORACLES["m4_apply_proposals"] = "SELECT kind, count(*) AS n FROM (SELECT ['project', 'goal', 'memory', 'lesson', 'insight', 'correction', 'obsolete'][doc_id % 7 + 1] AS kind, doc_id % 14 < 7 AS known FROM documents) WHERE kind NOT IN ('project', 'goal') OR known GROUP BY kind"
 
+def m4_refused(s, d):
+    """The same with a document whose headings, the documents' first lines, have no section for learnings: every learning is an error."""
+    sections = _t(s, d, "documents").select(F.lit("ALGERIA plan").alias("section")).distinct()
+    headings = _t(s, d, "documents").select(F.concat(F.lit("## "), F.split("text", "\n")[0]).alias("section"))
+    out = P.apply_proposals(X.graph(s, d), _proposals(s, d), sections, sections.select("section", F.lit("- x").alias("bullet")), _memory(s, d)[0], AS_OF, "claude", headings)
+    return out[5].select("name", "error").unionByName(out[4].select(F.col("kind").alias("name"), F.col("n").cast("string").alias("error")))
+
+
+QUERIES["m4_refused_proposals"] = m4_refused
+ORACLES["m4_refused_proposals"] = "SELECT concat('T ', doc_id) AS name, 'no section for learnings' AS error FROM documents WHERE doc_id % 7 IN (3, 4, 5)"
+
 QUERIES["n1_project_activity"] = lambda s, d: A.project_activity(_docs(s, d)).select("project", "sessions", "words", _day("first"), _day("last"))
 ORACLES["n1_project_activity"] = f"SELECT project, count(DISTINCT date) AS sessions, sum(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')))::BIGINT AS words, strftime(min(date), '%Y-%m-%d') AS first, strftime(max(date), '%Y-%m-%d') AS last FROM ({DOCS}) GROUP BY project"
 QUERIES["n2_topics"] = lambda s, d: A.topics(_docs(s, d))
