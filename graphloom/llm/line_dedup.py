@@ -113,14 +113,15 @@ def repeated_lines(docs: DataFrame, least: Fraction, fewest: int) -> DataFrame:
     first = F.min(F.struct("doc_id", "line", "proof")).alias("e")
     classes = rows.groupBy("id").agg(first, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "vector")])
     classes = materialize(classes.select("id", "copies", "n", "prefix", "vector", F.col("e.proof").alias("proof"), F.col("e.doc_id").cast("long").alias("doc"), F.col("e.line").alias("line"), F.lit(0).cast("long").alias("state")), "line-classes")
+    lines = materialize(rows.select("doc_id", "text_hash", "line", "id", "proof"), "line-ids")  # prefixes and vectors are the classes' only from here on
+    discard(rows)
     settle = lambda links: links.select(F.col("b").alias("id")).distinct().withColumn("state", F.lit(1).cast("long"))
     linked = similar(classes.where("length(prefix) > 0").drop("copies", "proof"), lambda known: line_words(docs, known, fewest), t, False, False, settle)
     later = linked.select(F.col("b").alias("id")).distinct().withColumn("later", F.lit(True))
     judged = classes.select("id", "copies", F.col("proof").alias("own"), F.struct("doc", "line").alias("e")).join(later, "id", "left").where("later OR copies > 1")
     judged = materialize(judged, "line-judged")
     discard(linked, classes)
-    heavy = F.broadcast(judged.where(F.col("copies") >= max(2, -(-rows.count() // HEAVY))))  # at most HEAVY classes
-    lines = rows.select("doc_id", "text_hash", "line", "id", "proof")
+    heavy = F.broadcast(judged.where(F.col("copies") >= max(2, -(-lines.count() // HEAVY))))  # at most HEAVY classes
     here = F.struct(F.col("doc_id").cast("long").alias("doc"), "line")
     gone = lambda df: df.where((F.col("proof") == F.col("own")) & (F.coalesce("later", F.lit(False)) | (here > F.col("e")))).select("doc_id", "text_hash", "line")
     common = gone(lines.join(heavy, "id"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -269,6 +270,17 @@ def maybe(f: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return f[(ids.view(np.uint64) >> np.uint64(64 - int(np.log2(len(f))))).astype(np.int64)]
 
 
+def among(classes: DataFrame, named: DataFrame) -> DataFrame:
+    """The classes of the named ids; a filter passes over all classes first, so that only those it may hold are shuffled."""
+    known = present(named, "id")
+
+    @F.pandas_udf("boolean")
+    def held(ids: pd.Series) -> pd.Series:
+        return pd.Series(maybe(known, ids.to_numpy()))
+
+    return classes.where(held("id")).join(named, "id", "left_semi")
+
+
 def same_share(x: bytes, y: bytes, t: Threshold) -> bool:
     """Whether two sets of words, each joined by spaces, reach the threshold."""
     x, y = set(x.split()), set(y.split())
@@ -504,7 +516,7 @@ def similar(classes: DataFrame, sets_of, t: Threshold, same_state: bool, wide: b
     judged = judge(found.where("a <> b"))
     links = judged.where("alike").select("a", "b")
     if not named.isEmpty():
-        second = classes.join(named, "id", "left_semi").drop("state").join(settle(links), "id", "left").withColumn("state", F.coalesce("state", F.col("id") if same_state else F.lit(0).cast("long")))
+        second = among(classes, named).drop("state").join(settle(links), "id", "left").withColumn("state", F.coalesce("state", F.col("id") if same_state else F.lit(0).cast("long")))
         second = materialize(second.select(*columns), "named")
         rest = materialize(candidate_pairs(second, t, False, same_state, wide).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         more = judge(rest)

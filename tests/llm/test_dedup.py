@@ -3,16 +3,21 @@
 import hashlib
 import random
 import re
+import time
 from fractions import Fraction
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.llm.common import Spans, hash_words
+from graphloom.llm import setjoin
+from graphloom.llm.common import CLEANUP, Spans, hash_words, materialize, shared_dir
 from graphloom.llm.exact_dedup import MisraGries, exact_dedup
 from graphloom.llm.line_dedup import line_dedup, op9_line_dedup
 from graphloom.llm.ngram_join import drop_near_copies, ngram_join
+from graphloom.llm.setjoin import among
 from graphloom.llm.substring_dedup import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -213,6 +218,54 @@ def test_one_large_group_of_lines(spark):
     assert got == want and 0 < sum(1 for x in want.values() if not x) < 60
 
 
+def shuffled(spark):
+    """Shuffle files on disk and their sizes."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f: f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    before, set_before = shuffled(spark), spark.conf.get(CLEANUP, None)
+    written = materialize(spark.range(50_000, numPartitions=4).repartition(3, "id"), "test-shuffled")
+    end = time.time() + 20
+    while (left := shuffled(spark).keys() - before.keys()) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and written.count() == 50_000
+    assert spark.conf.get(CLEANUP, None) == set_before
+
+
+def test_named_classes_alone_are_shuffled(spark):
+    at = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(at)
+    classes = materialize(spark.range(20_000).select(F.xxhash64("id").alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("prefix")), "test-classes")
+    named = materialize(spark.range(0, 20_000, 1000).select(F.xxhash64("id").alias("id")), "test-named")
+    spark.conf.set(at, "-1")
+    try:
+        before = shuffled(spark)
+        found = among(classes, named)
+        rows = found.collect()
+        sent = sum(n for f, n in shuffled(spark).items() if f not in before)
+    finally:
+        spark.conf.set(at, old)
+    assert sorted(rows) == sorted(classes.join(named, "id", "left_semi").collect()) and len(rows) == 20
+    assert sent < 200_000  # the prefixes alone have 2.5 MB
+
+
+def test_pairs_are_searched_without_the_table_of_lines(spark, docs, rows, monkeypatch):
+    """While pairs are searched, prefixes and vectors are on disk once: with the classes, not with every line as well."""
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    there, old = [], set(root.iterdir())
+
+    def spy(df, name):
+        there.append({p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - old})
+        return materialize(df, name)
+
+    monkeypatch.setattr(setjoin, "materialize", spy)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup(docs).collect()}
+    assert got == {i: x[1] for i, x in without_repeats(rows).items()}
+    assert there and all("line-classes" in x and "line-rows" not in x for x in there)
+
+
 def test_one_large_group_of_texts(spark):
     rnd = random.Random(13)
     words = [f"w{i}" for i in range(40)]
