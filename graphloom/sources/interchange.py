@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..operators.mutate import upsert_entities, upsert_properties, upsert_relationships
+from ..operators.mutate import resolved, upsert_entities, upsert_properties
+from ..tables import written
 
 SCHEMAS = {
     "entities": "name string, type string, description string",
@@ -43,14 +44,11 @@ def read_single_document(spark: SparkSession, path: str) -> dict[str, DataFrame]
 
 
 def graph_import(graph: Graph, tables: dict[str, DataFrame], as_of: str) -> Graph:
-    """Entities first, then edges and properties whose ends resolve; given weights stay."""
+    """Entities first, then edges and properties whose ends resolve; given weights stay, the largest of an edge's."""
     graph = upsert_entities(graph, tables["entities"], as_of)
-    before = graph.relationships
+    graph = graph.with_(entities=written(graph.entities, "imported"))  # each end, fact and name looks into it
     key = ["source_id", "target_id", "relation"]
-    plain = upsert_relationships(graph, tables["relationships"], as_of)
-    names = plain.named_edges().select(*key, F.lower("source").alias("s"), F.lower("target").alias("t"))
-    given = tables["relationships"].groupBy(F.lower("source").alias("s"), F.lower("target").alias("t"), "relation").agg(F.max("weight").alias("_w"))
-    weights = names.join(given, ["s", "t", "relation"]).select(*key, "_w")
-    fresh = plain.relationships.join(before.select(*key), key, "left_anti").join(weights, key, "left").withColumn("weight", F.coalesce("_w", "weight")).select(*before.columns)
+    given = resolved(graph, resolved(graph, tables["relationships"], "source", "source_id"), "target", "target_id").groupBy(*key).agg(F.max("weight").alias("weight"))
+    fresh = given.join(graph.relationships.select(*key), key, "left_anti").select(*key, F.coalesce("weight", F.lit(1.0)).alias("weight"), F.lit(as_of).cast("date").alias("created"))
     facts = tables["properties"].withColumn("updated", F.lit(as_of).cast("date"))
-    return upsert_properties(graph.with_(relationships=before.unionByName(fresh)), facts)
+    return upsert_properties(graph.with_(relationships=graph.relationships.unionByName(fresh)), facts)
